@@ -79,9 +79,16 @@ def _is_array(df: DataFrame, name: str) -> bool:
 # --------------------------------------------------------------------------- #
 
 
-def rule_hits(events: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+def rule_hits(
+    events: DataFrame,
+    rules: Sequence[Rule],
+    keep: Sequence[str] = (),
+    only: DataFrame | None = None,
+) -> DataFrame:
     """One row per (event, rule it satisfies): ``rule_id, key, value, t, w, hit``.
 
+    ``only(rule_id, key)`` limits the result to those groups.
+
     ``t`` is the event time and ``w`` the rule's window, both in microseconds;
     ``value`` is the distinct field, ``hit`` the ratio numerator. A rule whose
     condition cannot be compiled is logged and left out; the others run.
@@ -97,9 +104,10 @@ def rule_hits(events: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     kept = [F.col(c) for c in keep]
     if not slots:
         slots = [F.when(F.lit(False), F.struct(*_slot_fields("", "", "", 0, 0, False)))]
-    return events.select(
+    hits = events.select(
         micros("ts").alias("t"), *kept, F.explode(F.array_compact(F.array(*slots))).alias("m")
     ).select("m.*", "t", *keep)
+    return hits if only is None else hits.join(only, ["rule_id", "key"], "left_semi")
 
 
 def _slot_fields(rule_id, key, value, w, hit, _):
@@ -232,7 +240,9 @@ def _group_spans(hits: DataFrame, ratio_thresholds: dict[str, float]) -> DataFra
     )
 
 
-def fired_spans(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def fired_spans(
+    events: DataFrame, rules: Sequence[Rule], only: DataFrame | None = None
+) -> DataFrame:
     """``rule_id, key, observed, span_lo, span_hi`` of everything that fired."""
     rules = [r for r in rules if r.enabled]
     by_type = {k: [r for r in rules if r.type == k] for k in
@@ -241,12 +251,12 @@ def fired_spans(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     whole = by_type["match"] + by_type["ratio"]
     if whole:
         ratios = {r.id: float(r.threshold) for r in by_type["ratio"]}
-        parts.append(_group_spans(rule_hits(events, whole), ratios))
+        parts.append(_group_spans(rule_hits(events, whole, only=only), ratios))
     steps = []
     if by_type["threshold"]:
-        steps.append(_steps_for_counts(rule_hits(events, by_type["threshold"])))
+        steps.append(_steps_for_counts(rule_hits(events, by_type["threshold"], only=only)))
     if by_type["distinct"]:
-        steps.append(_steps_for_distinct(rule_hits(events, by_type["distinct"])))
+        steps.append(_steps_for_distinct(rule_hits(events, by_type["distinct"], only=only)))
     if steps:
         windowed = by_type["threshold"] + by_type["distinct"]
         need = F.element_at(
@@ -271,10 +281,12 @@ def fired_spans(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 _EVIDENCE_COLUMNS = ("event_id", "src_ip", "session_id", "service", "command", "path")
 
 
-def evaluate_rules(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def evaluate_rules(
+    events: DataFrame, rules: Sequence[Rule], only: DataFrame | None = None
+) -> DataFrame:
     """Alerts of every enabled rule, one row per (rule, group key)."""
     rules = [r for r in rules if r.enabled]
-    spans = fired_spans(events, rules)
+    spans = fired_spans(events, rules, only)
     base = events
     for name in _EVIDENCE_COLUMNS:
         base = base.withColumn(name, column_or_null(events, name).cast("string"))
