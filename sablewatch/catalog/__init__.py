@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection",)
+MODULES = ("detection", "statistics", "sources_view")
 
 
 def load_catalog():

@@ -57,8 +57,8 @@ def timeseries(
         first = anchor - F.make_dt_interval(secs=F.lit(hours * 3600.0).cast("decimal(18,6)"))
     steps = F.sequence(floor(first), floor(anchor), F.lit(width).cast("bigint"))
     spine = counts.select("series").distinct().select(
-        "series", F.timestamp_seconds(F.explode(steps)).alias("bucket")
-    )
+        "series", F.explode(steps).alias("second")
+    ).select("series", F.timestamp_seconds("second").alias("bucket"))
     return spine.join(counts, ["bucket", "series"], "left").select(
         "bucket", "series", F.coalesce("n", F.lit(0)).alias("n")
     )
