@@ -64,7 +64,10 @@ def _sql(values: list[str], index: str) -> str:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    raw = load(spark, sf, "events")
+    return project_events(load(spark, sf, "events"))
+
+
+def project_events(raw: DataFrame) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     base = raw.select(
         e.alias("eid"),

@@ -131,6 +131,21 @@ def source_classes(spark, sf):
     return sources(spark, sf).groupBy("classification").agg(F.count("*").alias("sources"))
 
 
+_BY_SESSION = tuple(
+    c.replace("SELECT src_ip, min(ts)", "SELECT session_id AS src_ip, min(ts)").replace(
+        "FROM ev GROUP BY src_ip", "FROM ev GROUP BY session_id") for c in SCORE_CTES)
+
+
+@query("session_classes", sql(
+    "SELECT classification, count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events "
+    "FROM scored GROUP BY 1", *_BY_SESSION))
+def session_classes(spark, sf):
+    """The class ladder over sessions, which are small enough to reach every rung."""
+    ev = events(spark, sf).withColumn("src_ip", F.col("session_id"))
+    return C.scored_facts(C.source_facts(ev), as_of()).groupBy("classification").agg(
+        F.count("*").alias("sessions"), F.sum("event_count").alias("events"))
+
+
 _TAGS = f"""tagrows AS (
   SELECT DISTINCT src_ip, 0 AS grp, t AS tag FROM (SELECT src_ip, unnest(threat_tags) AS t FROM ev)
     WHERE regexp_matches(t, '^(scanner|research|malware|tool|ti):')
@@ -319,12 +334,12 @@ def digest(spark, sf):
 
 
 @query("new_arrivals", sql(f"""
-  SELECT src_ip FROM (SELECT * FROM final WHERE last_seen >= {AS_OF} - INTERVAL 696 HOUR
+  SELECT src_ip FROM (SELECT * FROM final WHERE last_seen >= {AS_OF} - INTERVAL 735 HOUR
     ORDER BY threat_score DESC, src_ip LIMIT 500)
-  WHERE first_seen >= {AS_OF} - INTERVAL 696 HOUR""", *SCORE_CTES))
+  WHERE first_seen >= {AS_OF} - INTERVAL 735 HOUR""", *SCORE_CTES))
 def new_arrivals(spark, sf):
-    top = R.top_sources(sources(spark, sf), 696, as_of(), 500)
-    return R.new_arrivals(top, 696, as_of()).select("src_ip")
+    top = R.top_sources(sources(spark, sf), 735, as_of(), 500)
+    return R.new_arrivals(top, 735, as_of()).select("src_ip")
 
 
 @query("map_feed", sql("""

@@ -258,10 +258,11 @@ PACKABLE_TYPES = ("elf", "pe", "unknown")
 
 # --- fixed values: indicator patterns ---------------------------------------
 IOC_URL = r"""(?i)https?://[^\s"'<>\\)\x00]{4,2048}"""
-IOC_IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+# Word edges are spelled out: bytes above 0x7F are no word characters here.
+IOC_IPV4 = r"(?<![A-Za-z0-9_])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9_])"
 IOC_DOMAIN = (
-    r"(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+"
-    r"(?:com|net|org|ru|cn|info|biz|top|xyz|io|cc|su|tk|pw|onion)\b"
+    r"(?i)(?<![A-Za-z0-9_])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+"
+    r"(?:com|net|org|ru|cn|info|biz|top|xyz|io|cc|su|tk|pw|onion)(?![A-Za-z0-9_])"
 )
 SECOND_STAGE_URL = r"""(?:https?|ftp|tftp)://[^\s;'"|&)]+"""
 

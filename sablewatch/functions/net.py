@@ -76,6 +76,10 @@ def _v6_groups(text: Column) -> Column:
 
 def parse_address(ip: Column) -> Column:
     """Struct ``(version int, hex string)``; null when not an address."""
+    return let(ip, _parse_text)
+
+
+def _parse_text(ip: Column) -> Column:
     v4 = F.when(ip.rlike(_V4), F.struct(F.lit(4).alias("version"), _v4_hex(ip).alias("hex")))
     v6 = let(
         _v6_hex(ip),
@@ -99,6 +103,10 @@ def network_key(address_hex: Column, plen: Column) -> Column:
 
 def parse_network(value: Column) -> Column:
     """Struct ``(version, plen, key)`` of a CIDR or bare address; host bits allowed."""
+    return let(value, _parse_block)
+
+
+def _parse_block(value: Column) -> Column:
     given = F.when(value.contains("/"), F.trim(F.substring_index(value, "/", -1)))
     address = parse_address(F.trim(F.substring_index(value, "/", 1)))
 

@@ -57,12 +57,8 @@ def distinct_addresses(events: DataFrame, ip: str = "src_ip") -> DataFrame:
 
 def network_table(dim: DataFrame, cidr: str) -> DataFrame:
     """Add the join key ``version, plen, key``; unparseable rows are dropped."""
-    return (
-        dim.withColumn("_net", parse_network(F.col(cidr)))
-        .filter(F.col("_net").isNotNull())
-        .select("*", "_net.version", "_net.plen", "_net.key")
-        .drop("_net")
-    )
+    parsed = F.explode(F.array_compact(F.array(parse_network(F.col(cidr))))).alias("_net")
+    return dim.select("*", parsed).select("*", "_net.*").drop("_net")
 
 
 def longest_prefix_match(addresses: DataFrame, networks: DataFrame, payload: Column) -> DataFrame:

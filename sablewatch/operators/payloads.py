@@ -200,15 +200,24 @@ def behaviour_tags(strings: Column) -> Column:
     )
 
 
-def extract_iocs(text: Column) -> Column:
-    """Struct of defanged ``urls, ipv4, domains`` in order of appearance."""
+def extract_iocs(text: Column, byte_text: bool = False) -> Column:
+    """Struct of defanged ``urls, ipv4, domains`` in order of appearance.
+
+    ``byte_text`` says that ``text`` holds one character per byte, so URLs are
+    read back as UTF-8.
+    """
     found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     octets_fit = lambda a: F.forall(
         F.split(a, r"\."), lambda o: o.cast("int") <= 255
     )
+    readable = lambda a: (
+        F.transform(a, lambda u: F.try_validate_utf8(F.decode(F.encode(u, "ISO-8859-1"), "UTF-8")))
+        if byte_text
+        else a
+    )
     finish = lambda a: F.array_distinct(defang_all(F.slice(a, 1, MAX_IOCS)))
     return F.struct(
-        finish(found(IOC_URL)).alias("urls"),
+        finish(readable(found(IOC_URL))).alias("urls"),
         finish(F.filter(found(IOC_IPV4), octets_fit)).alias("ipv4"),
         F.array_distinct(
             defang_all(F.transform(F.slice(found(IOC_DOMAIN), 1, MAX_IOCS), F.lower))
@@ -238,8 +247,7 @@ def text_entropy(texts: DataFrame, key: str, column: str) -> DataFrame:
     long text is not held as a histogram in Python.
     """
     counts = (
-        texts.select(key, F.explode(F.split(column, "")).alias("ch"))
-        .filter(F.col("ch") != "")
+        texts.select(key, F.explode(F.regexp_extract_all(column, F.lit("(?s)."), F.lit(0))).alias("ch"))
         .groupBy(key, "ch")
         .agg(F.count("*").alias("n"))
     )
@@ -268,7 +276,7 @@ def profile(files: DataFrame, content: str = "content") -> DataFrame:
         .withColumn("_text", latin1(c))
     )
     staged = staged.withColumn("_strings", extract_strings(F.col("_text"))).withColumn(
-        "iocs", extract_iocs(F.col("_text"))
+        "iocs", extract_iocs(F.col("_text"), byte_text=True)
     )
     kind = F.col("_kind.file_type")
     staged = staged.withColumn("elf", F.when(kind == "elf", elf_header(c))).withColumn(

@@ -82,7 +82,8 @@ def http_haystack(path: Column, body: Column, headers: Column) -> Column:
 
 
 def pattern_tags(haystack: Column) -> Column:
-    return tag_list(*[(haystack.rlike(p), tag) for tag, _, p in HTTP_PATTERNS])
+    # (?d): only a newline ends a line, so "$" also matches before a last one.
+    return tag_list(*[(haystack.rlike("(?d)" + p), tag) for tag, _, p in HTTP_PATTERNS])
 
 
 def severity_of_tags(tags: Column, ranks: dict[str, int]) -> Column:
@@ -274,11 +275,8 @@ def second_stage_urls(events: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def is_default_login(username: Column, password: Column) -> Column:
-    known = [F.struct(F.lit(u), F.lit(p)) for u, p in DEFAULT_LOGINS]
-    pair = F.struct(username, password)
-    return F.coalesce(F.array_contains(F.array(*known), pair), F.lit(False)) & (
-        username.isNotNull() & password.isNotNull()
-    )
+    pair = F.concat(username, F.lit("\0"), password)
+    return F.coalesce(pair.isin([f"{u}\0{p}" for u, p in DEFAULT_LOGINS]), F.lit(False))
 
 
 def login_labels() -> Column:

@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablewatch.functions.columns import has_text
-from sablewatch.functions.net import parse_network
+from sablewatch.functions.net import let, parse_network
 
 
 def _indicator_rows(tokens: DataFrame, source: Column) -> DataFrame:
     """``kind, value, source`` of valid addresses and networks."""
-    return (
-        tokens.filter(has_text("token") & parse_network(F.col("token")).isNotNull())
-        .select(
-            F.when(F.col("token").contains("/"), "cidr").otherwise("ip").alias("kind"),
-            F.col("token").alias("value"),
-            source.alias("source"),
-        )
+
+    def row(token: Column) -> Column:
+        kind = F.when(token.contains("/"), "cidr").otherwise("ip")
+        valid = has_text(token) & parse_network(token).isNotNull()
+        return F.when(valid, F.struct(kind.alias("kind"), token.alias("value")))
+
+    rows = tokens.select(
+        F.explode(F.array_compact(F.array(let(F.col("token"), row)))).alias("r"),
+        source.alias("source"),
     )
+    return rows.select("r.*", "source")
 
 
 def read_indicators(spark: SparkSession, path: str) -> DataFrame:
@@ -42,20 +45,30 @@ def clean_feed(lines: DataFrame, source: str) -> DataFrame:
 
 def parse_prefixes(lines: DataFrame) -> DataFrame:
     """``prefix, asn, as_org`` of tab lines (two spaces or commas as a fallback)."""
-    line = F.trim("value")
-    rows = lines.select(line.alias("line")).filter(
-        (F.col("line") != "") & ~F.col("line").startswith("#")
-    )
-    parts = F.when(F.col("line").contains("\t"), F.split("line", "\t")).otherwise(
-        F.split("line", r"\s{2,}|,")
-    )
-    rows = rows.withColumn("p", parts).filter(F.size("p") >= 2)
-    asn = F.regexp_replace(F.upper(F.trim(F.col("p")[1])), "^AS", "")
-    return rows.select(
-        F.trim(F.col("p")[0]).alias("prefix"),
-        F.when(asn.rlike(r"^\d{1,18}$"), asn).cast("bigint").alias("asn"),
-        F.coalesce(F.trim(F.get("p", F.lit(2))), F.lit("")).alias("as_org"),
-    ).filter(F.col("asn").isNotNull() & parse_network(F.col("prefix")).isNotNull())
+
+    def fields(p: Column) -> Column:
+        asn = F.regexp_replace(F.upper(F.trim(F.get(p, F.lit(1)))), "^AS", "")
+        row = F.struct(
+            F.trim(F.get(p, F.lit(0))).alias("prefix"),
+            F.when(asn.rlike(r"^\d{1,18}$"), asn).cast("bigint").alias("asn"),
+            F.coalesce(F.trim(F.get(p, F.lit(2))), F.lit("")).alias("as_org"),
+        )
+        return let(
+            F.when(F.size(p) >= 2, row),
+            lambda r: F.when(
+                r["asn"].isNotNull() & parse_network(r["prefix"]).isNotNull(), r
+            ),
+        )
+
+    def record(line: Column) -> Column:
+        parts = F.when(line.contains("\t"), F.split(line, "\t")).otherwise(
+            F.split(line, r"\s{2,}|,")
+        )
+        return F.when((line != "") & ~line.startswith("#"), let(parts, fields))
+
+    # One nested expression, exploded: a filter on it would compute it twice.
+    rows = lines.select(F.explode(F.array_compact(F.array(let(F.trim("value"), record)))).alias("r"))
+    return rows.select("r.*")
 
 
 def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
