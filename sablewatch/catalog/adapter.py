@@ -63,11 +63,25 @@ def _sql(values: list[str], index: str) -> str:
     return f"([{quoted}])[({index}) + 1]"
 
 
+_VIEWS: dict[tuple[str, str], DataFrame] = {}
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return project_events(load(spark, sf, "events"))
+    """The event view, planned once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VIEWS:
+        _VIEWS[key] = project_events(load(spark, sf, "events"), spread=True)
+    use_utc(spark)
+    return _VIEWS[key]
+
 
+def spread_out(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table that is one small file; a large scan is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
-def project_events(raw: DataFrame) -> DataFrame:
+
+def project_events(raw: DataFrame, spread: bool = False) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     base = raw.select(
         e.alias("eid"),
@@ -77,6 +91,8 @@ def project_events(raw: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("threat_score"),
     )
+    if spread:
+        base = spread_out(base, "eid")
     k, kind, uid = F.col("k"), F.col("kind"), F.col("uid")
     auth = kind.isin(0, 1, 2, 3, 8, 11)
     web = kind.isin(5, 6)
@@ -171,6 +187,10 @@ def project_events(raw: DataFrame) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    return spread_out(load(spark, sf, name), key)
+
+
 EVENTS_SQL = f"""
 raw AS (
   SELECT event_id AS eid, user_id AS uid, ts, value AS threat_score,

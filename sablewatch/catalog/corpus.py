@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sablewatch.catalog.adapter import events, load, project_events, sql
+from sablewatch.catalog.adapter import events, project_events, sql, texts
 from sablewatch.catalog.detection import fixture_rules
 from sablewatch.catalog.registry import query
 from sablewatch.functions.columns import micros
@@ -22,14 +22,14 @@ from sablewatch.sources.sinks import read_events
 
 def files(spark, sf):
     """Page bodies as captured files."""
-    return load(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", F.encode("html", "UTF-8").alias("content"))
 
 
 @query("payload_dedupe", """
   SELECT sha256(text) AS sha256, count(*) OVER () AS payloads
   FROM (SELECT DISTINCT text FROM documents)""")
 def payload_dedupe(spark, sf):
-    docs = load(spark, sf, "documents").select(F.encode("text", "UTF-8").alias("content"))
+    docs = texts(spark, sf, "documents", "doc_id").select(F.encode("text", "UTF-8").alias("content"))
     unique = P.deduplicate(docs)
     return unique.select("sha256", unique.agg(F.count("*")).scalar().alias("payloads"))
 
@@ -48,7 +48,7 @@ def typed_files(spark, sf):
         .when(n == 2, F.concat(F.lit("%PDF"), html))
         .when(n == 3, F.concat(F.lit("BZh"), html))
         .otherwise(html))
-    return load(spark, sf, "pages").select("page_id", F.encode(body, "UTF-8").alias("content"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", F.encode(body, "UTF-8").alias("content"))
 
 
 @query("file_types", _TYPED + """
@@ -82,7 +82,7 @@ def elf_files(spark, sf):
                      F.lit("34000000"), zeros(4), zeros(4), zeros(2), F.lit("2000"), count,
                      F.lit("00"), zeros(6), segment, zeros(28))
     raw = F.concat(F.unhex(F.when(wide, big).otherwise(small)), F.encode("html", "UTF-8"))
-    return load(spark, sf, "pages").select("page_id", raw.alias("content"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", raw.alias("content"))
 
 
 @query("elf_headers", """
@@ -107,7 +107,7 @@ def pe_headers(spark, sf):
                            (n % 3 + 1).cast("int"))
     head = F.concat(F.lit("4D5A" + "00" * 58 + "40000000" + "50450000"), le(machine, 2),
                     le(n % 100, 2), le(F.length("html") % 60000, 4), F.lit("00" * 12))
-    rows = load(spark, sf, "pages").select(
+    rows = texts(spark, sf, "pages", "page_id").select(
         "page_id", F.concat(F.unhex(head), F.encode("html", "UTF-8")).alias("content"))
     rows = rows.withColumn("h", P.pe_header(F.col("content")))
     return rows.select("page_id", "h.arch", "h.sections", F.col("h.timestamp").alias("stamp"))
@@ -143,8 +143,8 @@ def byte_entropy(spark, sf):
       unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY 1, 2)
   GROUP BY doc_id""")
 def char_entropy(spark, sf):
-    return P.text_entropy(load(spark, sf, "documents"), "doc_id", "text").select(
-        "doc_id", F.round("entropy", 4).alias("entropy"))
+    docs = texts(spark, sf, "documents", "doc_id")
+    return docs.select("doc_id", F.round(P.text_entropy("text"), 4).alias("entropy"))
 
 
 @query("behaviour_tags", sql("""
@@ -191,13 +191,13 @@ def _iocs(df, key, column):
 
 @query("document_iocs", _ioc_sql("documents", "doc_id", "text"))
 def document_iocs(spark, sf):
-    return _iocs(load(spark, sf, "documents"), "doc_id", "text")
+    return _iocs(texts(spark, sf, "documents", "doc_id"), "doc_id", "text")
 
 
 @query("page_iocs", _ioc_sql("(SELECT page_id, url || ' ' || html AS body FROM pages)",
                              "page_id", "body"))
 def page_iocs(spark, sf):
-    pages = load(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("body"))
+    pages = texts(spark, sf, "pages", "page_id").select("page_id", F.concat_ws(" ", "url", "html").alias("body"))
     return _iocs(pages, "page_id", "body")
 
 

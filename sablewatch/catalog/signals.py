@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sablewatch.catalog.adapter import events, load, sql
+from sablewatch.catalog.adapter import events, sql, texts
 from sablewatch.catalog.registry import query
 from sablewatch.constants import (
     GENERIC_USERNAMES,
@@ -65,7 +65,7 @@ def http_tags(spark, sf):
                                            for t, _, p in HTTP_PATTERNS])}, ',') AS tags
   FROM (SELECT page_id, url_decode(url) || chr(10) || html AS hay FROM pages)""")
 def page_tags(spark, sf):
-    pages = load(spark, sf, "pages").select("page_id", F.col("url").alias("path"),
+    pages = texts(spark, sf, "pages", "page_id").select("page_id", F.col("url").alias("path"),
                                             F.col("html").alias("body"),
                                             F.lit("GET").alias("http_method"))
     return T.tag_http(pages).select("page_id", _joined())
@@ -76,7 +76,7 @@ def page_tags(spark, sf):
                                           for t, _, p in HTTP_PATTERNS])}, ',') AS tags
   FROM documents""")
 def document_tags(spark, sf):
-    docs = load(spark, sf, "documents").withColumn(
+    docs = texts(spark, sf, "documents", "doc_id").withColumn(
         "tags", T.pattern_tags(F.concat(F.lit("\n"), "text")))
     return docs.select("doc_id", _joined())
 
@@ -242,7 +242,7 @@ def second_stage_urls(spark, sf):
     left(url, instr(url, 'http') - 1) || 'hxxp' || substr(url, instr(url, 'http') + 4)
     ELSE url END, '.', '[.]') AS url FROM pages""")
 def defang_urls(spark, sf):
-    return load(spark, sf, "pages").select("page_id", text.defang(F.col("url")).alias("url"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", text.defang(F.col("url")).alias("url"))
 
 
 # --------------------------------------------------------------------------- #

@@ -1,7 +1,7 @@
 """Payload corpus profiling over a bytes column, and payload reports.
 
 Profiles run once per distinct content. Everything is a native expression
-except byte entropy, which is a vectorised pandas UDF.
+except entropy, which is a vectorised pandas UDF.
 """
 
 from __future__ import annotations
@@ -240,24 +240,20 @@ def byte_entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(bits)
 
 
-def text_entropy(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """Character entropy per row as a histogram aggregate: ``key, entropy``.
+@F.pandas_udf("double")
+def text_entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Shannon entropy in bits per character, one histogram per text."""
 
-    Characters are counted by (row, character) with map-side combine, so one
-    long text is not held as a histogram in Python.
-    """
-    counts = (
-        texts.select(key, F.explode(F.regexp_extract_all(column, F.lit("(?s)."), F.lit(0))).alias("ch"))
-        .groupBy(key, "ch")
-        .agg(F.count("*").alias("n"))
-    )
-    # H = log2(N) - sum(n log2 n) / N needs no second pass for N.
-    return counts.groupBy(key).agg(
-        (
-            F.log2(F.sum("n").cast("double"))
-            - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / F.sum("n")
-        ).alias("entropy")
-    )
+    def bits(text) -> float:
+        if not text:
+            return 0.0
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        counts = np.unique(points, return_counts=True)[1]
+        share = counts / len(points)
+        return float(-(share * np.log2(share)).sum()) + 0.0
+
+    for batch in batches:
+        yield batch.map(bits)
 
 
 # --------------------------------------------------------------------------- #

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sablewatch.functions.columns import has_text, literal_map, micros
-from sablewatch.functions.topk import first_k, ranked_list
+from sablewatch.functions.topk import first_k
 from sablewatch.plans.rule_catalog import Rule, RuleError
 from sablewatch.schemas import column_or_null
+from sablewatch.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -284,9 +285,14 @@ _EVIDENCE_COLUMNS = ("event_id", "src_ip", "session_id", "service", "command", "
 def evaluate_rules(
     events: DataFrame, rules: Sequence[Rule], only: DataFrame | None = None
 ) -> DataFrame:
-    """Alerts of every enabled rule, one row per (rule, group key)."""
+    """Alerts of every enabled rule, one row per (rule, group key).
+
+    Finding the firing spans runs at once and is checkpointed; the evidence is
+    built lazily from it.
+    """
     rules = [r for r in rules if r.enabled]
-    spans = fired_spans(events, rules, only)
+    # One row per alert, read by three branches below: computed once, here.
+    spans = cut_lineage(fired_spans(events, rules, only))
     base = events
     for name in _EVIDENCE_COLUMNS:
         base = base.withColumn(name, column_or_null(events, name).cast("string"))
@@ -296,49 +302,50 @@ def evaluate_rules(
     return _assemble(members, _samples(members), rules)
 
 
-def _samples(members: DataFrame) -> DataFrame:
-    """Bounded evidence lists per alert: ``(rule_id, key, picks map)``."""
-    set_rows = members.select(
-        *_RK,
-        F.explode(
+_SET_FACETS = {"ips": "src_ip", "paths": "path", "values": "value"}
+_ORDERED_FACETS = {"events": "event_id", "commands": "command"}
+
+
+def _cells(facets: dict[str, str]) -> Column:
+    """One ``(facet, v)`` per present value. An empty distinct value is a value."""
+    return F.explode(
+        F.array_compact(
             F.array(
-                F.struct(F.lit("ips").alias("facet"), F.col("src_ip").alias("v")),
-                F.struct(F.lit("paths").alias("facet"), F.col("path").alias("v")),
-                F.struct(F.lit("values").alias("facet"), F.col("value").alias("v")),
-            )
-        ).alias("f"),
-    ).select(*_RK, "f.*")
-    # An empty distinct value is a value; an empty path or address is not.
-    keep = F.col("v").isNotNull() & ((F.col("v") != "") | (F.col("facet") == "values"))
-    sets = first_k(set_rows.filter(keep).distinct(), [*_RK, "facet"], [F.col("v")], 25)
-    ordered_rows = members.select(
-        *_RK,
-        "t",
-        "event_id",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(F.lit("events").alias("facet"), F.col("event_id").alias("v")),
+                *[
                     F.when(
-                        has_text("command"),
-                        F.struct(F.lit("commands").alias("facet"), F.col("command").alias("v")),
-                    ),
-                )
+                        F.col(c).isNotNull() if c == "value" else has_text(c),
+                        F.struct(F.lit(f).alias("facet"), F.col(c).alias("v")),
+                    )
+                    for f, c in facets.items()
+                ]
             )
-        ).alias("f"),
-    ).select(*_RK, "t", "event_id", "f.*")
+        )
+    ).alias("f")
+
+
+def _samples(members: DataFrame) -> DataFrame:
+    """Bounded evidence lists per alert, one array column per facet."""
+    sets = members.select(*_RK, _cells(_SET_FACETS)).select(*_RK, "f.*").distinct()
+    sets = first_k(sets, [*_RK, "facet"], [F.col("v")], EVIDENCE_VALUES)
+    ordered = members.select(*_RK, "t", "event_id", _cells(_ORDERED_FACETS)).select(
+        *_RK, "t", "event_id", "f.*"
+    )
     ordered = first_k(
-        ordered_rows, [*_RK, "facet"], [F.col("t"), F.col("event_id")], EVIDENCE_COMMANDS
+        ordered, [*_RK, "facet"], [F.col("t"), F.col("event_id")], EVIDENCE_COMMANDS
     )
     cols = [*_RK, "facet", "_rank", "v"]
-    lists = (
-        sets.select(*cols)
-        .unionByName(ordered.select(*cols))
-        .groupBy(*_RK, "facet")
-        .agg(ranked_list(F.col("v")).alias("vs"))
-    )
-    return lists.groupBy(*_RK).agg(
-        F.map_from_entries(F.collect_list(F.struct("facet", "vs"))).alias("picks")
+    both = sets.select(*cols).unionByName(ordered.select(*cols))
+    # At most 25 values a facet reach this aggregate.
+    return both.groupBy(*_RK).agg(
+        *[
+            F.transform(
+                F.array_sort(
+                    F.collect_list(F.when(F.col("facet") == f, F.struct("_rank", "v")))
+                ),
+                lambda x: x["v"],
+            ).alias(f)
+            for f in (*_SET_FACETS, *_ORDERED_FACETS)
+        ]
     )
 
 
@@ -357,7 +364,7 @@ def _assemble(members: DataFrame, samples: DataFrame, rules: Sequence[Rule]) ->
     row = core.join(samples, _RK, "left").join(F.broadcast(_rule_table(core, rules)), "rule_id")
 
     def pick(facet: str, k: int) -> Column:
-        return F.slice(F.try_element_at(F.col("picks"), F.lit(facet)), 1, k)
+        return F.when(F.size(facet) > 0, F.slice(facet, 1, k))
 
     first, last = F.timestamp_micros("lo"), F.timestamp_micros("hi")
     whole = F.col("observed").cast("bigint")
