@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sablewatch.constants import (
     BEHAVIOUR_NEEDLES,
@@ -225,7 +226,7 @@ def extract_iocs(text: Column, byte_text: bool = False) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Shannon entropy in bits per byte, one histogram per value."""
 
@@ -240,7 +241,7 @@ def byte_entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(bits)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Shannon entropy in bits per character, one histogram per text."""
 
