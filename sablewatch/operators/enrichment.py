@@ -6,6 +6,8 @@ A longest-prefix lookup is an equi-join on (version, length, network key).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,58 +63,110 @@ def network_table(dim: DataFrame, cidr: str) -> DataFrame:
     return dim.select("*", parsed).select("*", "_net.*").drop("_net")
 
 
-def longest_prefix_match(addresses: DataFrame, networks: DataFrame, payload: Column) -> DataFrame:
-    """``ip, match`` with the ``payload`` of the most specific covering network.
+def longest_prefix_match(addresses: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """``ip`` and, per layer, the value of the most specific covering network.
 
-    ``networks`` comes from :func:`network_table`. Each address is expanded to
-    one row per prefix length that occurs (at most 33 or 129), joined by key,
-    and reduced with ``max_by``. Equal lengths resolve to the smaller payload.
+    A layer is ``version, plen, key, <layer name>``; all layers share one pass.
+    Each address becomes one row per prefix length that occurs (at most 33 or
+    129), joined by key and reduced with ``max_by``. Of equal networks the
+    smaller value counts.
     """
-    lengths = networks.groupBy("version").agg(F.collect_set("plen").alias("plens"))
-    probes = addresses.select("ip", "address.*").join(
-        F.broadcast(lengths), "version"  # two rows: one per address family
+    names = list(layers)
+    key = ["version", "plen", "key"]
+    stacked = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [layers[n].select(*key, n) for n in names],
     )
-    probes = probes.select("ip", "version", "hex", F.explode("plens").alias("plen")).select(
-        "ip", "version", "plen", network_key(F.col("hex"), F.col("plen")).alias("key")
+    dim = stacked.groupBy(*key).agg(*[F.min(n).alias(n) for n in names])
+    lengths = stacked.groupBy("version").agg(F.collect_set("plen").alias("plens"))
+    probes = (
+        addresses.filter(F.col("address").isNotNull())
+        .select("ip", "address.*")
+        .join(F.broadcast(lengths), "version")  # two rows: one per address family
+        .select("ip", "version", "hex", F.explode("plens").alias("plen"))
+        .select("ip", "version", "plen", network_key(F.col("hex"), F.col("plen")).alias("key"))
     )
-    dim = networks.groupBy("version", "plen", "key").agg(F.min(payload).alias("match"))
     return (
-        probes.join(dim, ["version", "plen", "key"])
+        probes.join(dim, key)
         .groupBy("ip")
-        .agg(F.max_by("match", "plen").alias("match"))
+        .agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("plen"))).alias(n) for n in names])
     )
 
 
 _GEO_FIELDS = ("country", "country_name", "city", "latitude", "longitude")
 
 
-def geo_lookup(addresses: DataFrame, geo: DataFrame | None) -> DataFrame:
-    """``ip`` plus geography; ``geo(network, country, ...)`` lists CIDR blocks.
+def geo_layer(geo: DataFrame) -> DataFrame:
+    """``geo(network, country, ...)``: geography by CIDR block."""
+    place = F.struct(*[column_or_null(geo, f, _geo_type(f)).alias(f) for f in _GEO_FIELDS])
+    return network_table(geo, "network").select("version", "plen", "key", place.alias("geo"))
 
-    Only public addresses are looked up; ``geo_source`` says why there is none.
-    """
-    fields = F.struct(
-        *[column_or_null(geo if geo is not None else addresses, f).alias(f) for f in _GEO_FIELDS]
+
+def _geo_type(field: str) -> str:
+    return "double" if field in ("latitude", "longitude") else "string"
+
+
+def asn_layer(prefixes: DataFrame) -> DataFrame:
+    """``prefixes(prefix, asn, as_org)``; operators are tagged here, once per prefix."""
+    owner = F.struct(
+        F.col("asn").cast("bigint").alias("asn"),
+        "as_org",
+        operator_tags(F.col("as_org")).alias("asn_tags"),
     )
-    if geo is None:
-        found = addresses.select("ip", "scope", F.lit(None).alias("match"))
-        place = lambda f: F.lit(None).cast("double" if f[0] == "l" else "string")
-    else:
-        public = addresses.filter(F.col("scope") == "public")
-        match = longest_prefix_match(public, network_table(geo, "network"), fields)
-        found = addresses.select("ip", "scope").join(match, "ip", "left")
-        place = lambda f: F.col(f"match.{f}").cast(
-            "double" if f[0] == "l" else "string"
-        )
-    missing = "unavailable" if geo is None else "not-found"
+    return network_table(prefixes, "prefix").select("version", "plen", "key", owner.alias("owner"))
+
+
+def indicator_layer(indicators: DataFrame) -> DataFrame:
+    nets = network_table(enabled(indicators).filter(F.col("kind") == "cidr"), "value")
+    return nets.select("version", "plen", "key", F.col("source").alias("net"))
+
+
+def enabled(indicators: DataFrame) -> DataFrame:
+    return indicators.filter("enabled") if "enabled" in indicators.columns else indicators
+
+
+def _geo_columns(match: Column | None, missing: str) -> list[Column]:
+    """Geography of public addresses; ``geo_source`` says why there is none."""
+    public = F.col("scope") == "public"
+    fields = [
+        (F.when(public, match[f]) if match is not None else F.lit(None).cast(_geo_type(f))).alias(f)
+        for f in _GEO_FIELDS
+    ]
+    found = match.isNotNull() if match is not None else F.lit(False)
     source = (
         F.when(F.col("scope") == "invalid", "invalid-address")
-        .when(F.col("scope") != "public", F.col("scope"))
-        .when(F.col("match").isNotNull(), "geolite2")
+        .when(~public, F.col("scope"))
+        .when(found, "geolite2")
         .otherwise(missing)
     )
-    return found.select(
-        "ip", *[place(f).alias(f) for f in _GEO_FIELDS], source.alias("geo_source")
+    return [*fields, source.alias("geo_source")]
+
+
+def _asn_columns(match: Column) -> list[Column]:
+    inner = F.col("scope").isin("private", "loopback", "link-local")
+    outside = ~inner & (F.col("scope") != "invalid")
+    kept = lambda f: F.when(outside, match[f])
+    source = (
+        F.when(F.col("scope") == "invalid", "invalid-address")
+        .when(inner, "private")
+        .when(match.isNotNull(), "prefix-table")
+        .otherwise("unavailable")
+    )
+    return [
+        kept("asn").alias("asn"),
+        F.when(has_text(match["as_org"]), kept("as_org")).alias("as_org"),
+        source.alias("asn_source"),
+        strings_or_empty(kept("asn_tags")).alias("asn_tags"),
+    ]
+
+
+def geo_lookup(addresses: DataFrame, geo: DataFrame | None) -> DataFrame:
+    """``ip`` plus geography, or why there is none."""
+    if geo is None:
+        return addresses.select("ip", *_geo_columns(None, "unavailable"))
+    match = longest_prefix_match(addresses, {"geo": geo_layer(geo)})
+    return addresses.join(match, "ip", "left").select(
+        "ip", *_geo_columns(F.col("geo"), "not-found")
     )
 
 
@@ -149,27 +203,9 @@ def operator_tags(as_org: Column) -> Column:
 
 
 def asn_lookup(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``ip, asn, as_org, asn_source, asn_tags`` from ``prefixes(prefix, asn, as_org)``."""
-    inner = F.col("scope").isin("private", "loopback", "link-local")
-    table = network_table(prefixes, "prefix").withColumn("asn_tags", operator_tags(F.col("as_org")))
-    match = longest_prefix_match(
-        addresses.filter(~inner & (F.col("scope") != "invalid")),
-        table,
-        F.struct(F.col("asn").cast("bigint").alias("asn"), "as_org", "asn_tags"),
-    )
-    source = (
-        F.when(F.col("scope") == "invalid", "invalid-address")
-        .when(inner, "private")
-        .when(F.col("match").isNotNull(), "prefix-table")
-        .otherwise("unavailable")
-    )
-    return addresses.select("ip", "scope").join(match, "ip", "left").select(
-        "ip",
-        "match.asn",
-        F.when(has_text("match.as_org"), F.col("match.as_org")).alias("as_org"),
-        source.alias("asn_source"),
-        strings_or_empty("match.asn_tags").alias("asn_tags"),
-    )
+    """``ip, asn, as_org, asn_source, asn_tags``."""
+    match = longest_prefix_match(addresses, {"owner": asn_layer(prefixes)})
+    return addresses.join(match, "ip", "left").select("ip", *_asn_columns(F.col("owner")))
 
 
 # --------------------------------------------------------------------------- #
@@ -177,36 +213,45 @@ def asn_lookup(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- #
 
 
-def indicator_lookup(addresses: DataFrame, indicators: DataFrame) -> DataFrame:
-    """``ip, ti_score, ti_tags`` for addresses on any list.
+def exact_lists(indicators: DataFrame) -> DataFrame:
+    """``ip, exact``: the sorted lists naming each address (feed-sized sets)."""
+    return (
+        enabled(indicators)
+        .filter(F.col("kind") == "ip")
+        .groupBy(F.col("value").alias("ip"))
+        .agg(F.array_sort(F.collect_set("source")).alias("exact"))
+    )
+
+
+def _listed(exact: Column, net: Column) -> Column:
+    """Struct ``(ti_score, ti_tags)``.
 
-    ``indicators(kind, value, source[, enabled])``, sources already prefixed.
     Every list naming the address adds its score; of the covering networks only
     the most specific counts, and not if its list already matched exactly.
     """
-    if "enabled" in indicators.columns:
-        indicators = indicators.filter(F.col("enabled"))
-    exact = (
-        indicators.filter(F.col("kind") == "ip")
-        .select(F.col("value").alias("ip"), "source")
-        .distinct()
-        .join(addresses.select("ip"), "ip")
-        .groupBy("ip")
-        .agg(F.array_sort(F.collect_set("source")).alias("exact"))
-    )
-    networks = network_table(indicators.filter(F.col("kind") == "cidr"), "value")
-    cidr = longest_prefix_match(
-        addresses.filter(F.col("address").isNotNull()), networks, F.col("source")
-    )
-    both = exact.join(cidr.withColumnRenamed("match", "net"), "ip", "full_outer")
-    listed = strings_or_empty("exact")
-    adds = F.col("net").isNotNull() & ~F.array_contains(listed, F.col("net"))
-    return both.select(
-        "ip",
+    listed = strings_or_empty(exact)
+    adds = net.isNotNull() & ~F.array_contains(listed, net)
+    return F.struct(
         (F.size(listed) * SCORE_EXACT_IP + F.when(adds, SCORE_CIDR).otherwise(0.0)).alias(
             "ti_score"
         ),
-        F.when(adds, F.concat(listed, F.array("net"))).otherwise(listed).alias("ti_tags"),
+        F.when(adds, F.concat(listed, F.array(net))).otherwise(listed).alias("ti_tags"),
+    )
+
+
+def indicator_lookup(addresses: DataFrame, indicators: DataFrame) -> DataFrame:
+    """``ip, ti_score, ti_tags`` for addresses on any list.
+
+    ``indicators(kind, value, source[, enabled])``, sources already prefixed.
+    """
+    nets = longest_prefix_match(addresses, {"net": indicator_layer(indicators)})
+    return (
+        addresses.select("ip")
+        .join(nets, "ip", "left")
+        .join(exact_lists(indicators), "ip", "left")
+        .filter(F.col("net").isNotNull() | F.col("exact").isNotNull())
+        .select("ip", _listed(F.col("exact"), F.col("net")).alias("l"))
+        .select("ip", "l.*")
     )
 
 
@@ -296,11 +341,19 @@ def enrich_addresses(
     prefixes: DataFrame,
     indicators: DataFrame,
 ) -> DataFrame:
-    """One row per distinct address with every address-level fact."""
-    return (
-        geo_lookup(addresses, geo)
-        .join(asn_lookup(addresses, prefixes), "ip")
-        .join(indicator_lookup(addresses, indicators), "ip", "left")
+    """One row per distinct address with every address-level fact, in one pass."""
+    layers = {"owner": asn_layer(prefixes), "net": indicator_layer(indicators)}
+    if geo is not None:
+        layers["geo"] = geo_layer(geo)
+    found = addresses.join(longest_prefix_match(addresses, layers), "ip", "left").join(
+        exact_lists(indicators), "ip", "left"
+    )
+    place = _geo_columns(
+        F.col("geo") if geo is not None else None, "unavailable" if geo is None else "not-found"
+    )
+    return found.select(
+        "ip", *place, *_asn_columns(F.col("owner")),
+        _listed(F.col("exact"), F.col("net")).alias("listed"),
     )
 
 
@@ -319,8 +372,7 @@ def enrich_events(
     own = [c for c in events.columns if c not in added]
     facts = facts.select(
         F.col("ip").alias("src_ip"),
-        *_GEO_FIELDS, "geo_source", "asn", "as_org", "asn_tags",
-        F.struct("ti_score", "ti_tags").alias("listed"),
+        *_GEO_FIELDS, "geo_source", "asn", "as_org", "asn_tags", "listed",
     )
     out = events.select(*own).join(facts, "src_ip", "left")
     out = out.join(classify_agents(events), "user_agent", "left")
@@ -348,7 +400,7 @@ def describe_addresses(
     return facts.select(
         F.col("ip").alias("src_ip"),
         *_GEO_FIELDS, "geo_source", "asn", "as_org", "asn_source", "asn_tags",
-        F.coalesce("ti_score", F.lit(0.0)).alias("threat_score"),
-        strings_or_empty("ti_tags").alias("threat_tags"),
+        F.col("listed.ti_score").alias("threat_score"),
+        F.col("listed.ti_tags").alias("threat_tags"),
         classify_address(F.col("ip")).alias("_class"),
     ).select("*", "_class.*").drop("_class")
