@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewatch.session import use_utc
+from sablewatch.session import shared_folder, use_utc
 
 # --- fixture values ----------------------------------------------------------
 USERNAMES = ["root", "admin", "user", "guest", "support", "oracle", "svc-backup"]
@@ -67,11 +67,17 @@ _VIEWS: dict[tuple[str, str], DataFrame] = {}
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    """The event view, planned once per application and folder."""
+    """The event table: derived from the whole of ``events`` and stored once per application.
+
+    Stored, because the reference's queries read a stored event table too, and
+    so filters and columns reach a Parquet scan.
+    """
+    use_utc(spark)
     key = (spark.sparkContext.applicationId, sf)
     if key not in _VIEWS:
-        _VIEWS[key] = project_events(load(spark, sf, "events"), spread=True)
-    use_utc(spark)
+        folder = shared_folder(spark, "event-table")
+        project_events(load(spark, sf, "events"), spread=True).write.parquet(folder)
+        _VIEWS[key] = spark.read.parquet(folder)
     return _VIEWS[key]
 
 

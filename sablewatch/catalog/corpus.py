@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sablewatch.catalog.adapter import events, project_events, sql, texts
@@ -12,7 +10,7 @@ from sablewatch.catalog.registry import query
 from sablewatch.functions.columns import micros
 from sablewatch.operators import campaigns as C
 from sablewatch.operators import payloads as P
-from sablewatch.session import ensure_checkpoint_dir, use_utc
+from sablewatch.session import shared_folder, use_utc
 from sablewatch.sources.sinks import read_events
 
 # --------------------------------------------------------------------------- #
@@ -412,13 +410,6 @@ def campaign_shared_values(spark, sf):
 # --------------------------------------------------------------------------- #
 
 
-def scratch(spark) -> str:
-    """A fresh folder beside the cluster's checkpoints."""
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark, sf):
     use_utc(spark)
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -432,7 +423,7 @@ def event_stream(spark, sf):
 def stream_hourly_counts(spark, sf):
     from sablewatch.streaming.ingest import tumbling_counts
 
-    folder = scratch(spark)
+    folder = shared_folder(spark, "stream")
     counts = tumbling_counts(event_stream(spark, sf))
 
     def keep(batch, _):
@@ -455,7 +446,7 @@ def stream_detection(spark, sf):
     from sablewatch.streaming.live import detection_step
     from sablewatch.streaming.tables import SnapshotTable
 
-    folder = scratch(spark)
+    folder = shared_folder(spark, "stream")
     rules = [r for r in fixture_rules() if r.id in ("shell_access_granted", "log4shell_attempt")]
     alerts, feed = (SnapshotTable(spark, f"{folder}/{n}") for n in ("alerts", "feed"))
     step = detection_step(lambda: events(spark, sf), rules, alerts, feed, hours=24 * 60)
@@ -472,7 +463,7 @@ def stream_sessions(spark, sf):
     from sablewatch.streaming.live import session_step
     from sablewatch.streaming.tables import SnapshotTable
 
-    folder = scratch(spark)
+    folder = shared_folder(spark, "stream")
     table = SnapshotTable(spark, f"{folder}/sessions")
     run_batches(event_stream(spark, sf), session_step(table), f"{folder}/cp",
                 once=True).awaitTermination()
@@ -484,6 +475,6 @@ def event_table(spark, sf):
     """Written by day and read back with a day filter that prunes folders."""
     from sablewatch.sources.sinks import write_events
 
-    folder = f"{scratch(spark)}/events"
+    folder = f"{shared_folder(spark, "stream")}/events"
     write_events(events(spark, sf), folder, mode="overwrite")
     return read_events(spark, folder).groupBy("session_id").agg(F.count("*").alias("events"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sablewatch.functions.columns import has_text, literal_map, micros
-from sablewatch.functions.topk import first_k
+from sablewatch.functions.topk import by_key, first_k
 from sablewatch.plans.rule_catalog import Rule, RuleError
 from sablewatch.schemas import column_or_null
 from sablewatch.session import cut_lineage
@@ -164,7 +164,7 @@ def _steps_for_distinct(hits: DataFrame) -> DataFrame:
         .groupBy(*_RK, "value", "w", F.floor(F.col("t") / F.col("w")).alias("b"))
         .agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     )
-    order = W.partitionBy(*_RK, "value", "w").orderBy("b")
+    order = by_key([*_RK, "value", "w"]).orderBy("b")
     edges = cells.withColumn("prev_hi", F.lag("hi").over(order)).withColumn(
         "next_lo", F.lead("lo").over(order)
     )
@@ -195,13 +195,13 @@ def _peaks(steps: DataFrame, thresholds: Column) -> DataFrame:
         F.sum("delta").alias("net"),
         F.sum(F.greatest("delta", F.lit(0))).alias("gain"),
     )
-    before = W.partitionBy(*_RK).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    before = by_key(_RK).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     live = (
         totals.withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
         .filter(F.col("base") + F.col("gain") >= thresholds)
         .select(*_RK, "b", "base")
     )
-    inside = W.partitionBy(*_RK, "b").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    inside = by_key([*_RK, "b"]).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     running = (
         steps.join(live, [*_RK, "b"])
         .groupBy(*_RK, "b", "base", "w", "at")

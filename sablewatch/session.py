@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """All event times are UTC; pin the session so casts agree with that."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """All event times are UTC; pin the session so casts agree with that.
+
+    Timestamps are written as INT64, because INT96 takes no filter at the scan.
+    """
+    for name, value in (
+        ("spark.sql.session.timeZone", "UTC"),
+        ("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"),
+    ):
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
     return spark
 
 
@@ -26,6 +34,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sablewatch-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the checkpoint folder all executors reach."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
