@@ -287,8 +287,8 @@ def evaluate_rules(
 ) -> DataFrame:
     """Alerts of every enabled rule, one row per (rule, group key).
 
-    Finding the firing spans runs at once and is checkpointed; the evidence is
-    built lazily from it.
+    Finding the firing spans runs at once and is stored; the evidence is built
+    lazily from it.
     """
     rules = [r for r in rules if r.enabled]
     # One row per alert, read by three branches below: computed once, here.

@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Unlike a checkpointed RDD the table has a size, so joins on it can be
+    broadcast when that size allows, and columns are pruned at the scan.
+    """
+    spark = use_utc(df.sparkSession)
+    folder = shared_folder(spark, "stage")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
