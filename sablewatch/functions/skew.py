@@ -36,8 +36,3 @@ def chunked_lag(
         .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_chunk", "_lag", "_first", "_carry")
     )
-
-
-def salted(df: DataFrame, row_id: Column, parts: int) -> DataFrame:
-    """Add ``_salt`` in ``[0, parts)`` derived from the row itself (retry-safe)."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(parts)))
