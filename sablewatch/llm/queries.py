@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sablewatch.llm import registry
 
-MODULES = ("repetition",)
+MODULES = ("repetition", "pieces", "attribution", "token_store")
 
 
 def load_queries():
