@@ -75,13 +75,13 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 class PieceHash:
     """Polynomial prefix sums: the hash of any ``data[start:end]`` in constant time."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> None:
         n = len(data)
         powers = np.full(n + 1, _BASE, np.uint64)
         powers[0] = 1
         np.cumprod(powers, out=powers)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.multiply(BYTE_VALUES[data], powers[:n], out=self.prefix[1:])
+        np.multiply(values[data], powers[:n], out=self.prefix[1:])
         np.cumsum(self.prefix, out=self.prefix)
         inverse = np.full(n + 1, _BASE_INVERSE, np.uint64)
         inverse[0] = 1

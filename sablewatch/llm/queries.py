@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sablewatch.llm import registry
 
-MODULES = ("repetition", "pieces", "attribution", "token_store")
+MODULES = ("repetition", "pieces", "attribution", "token_store", "ordinal", "line_dedup")
 
 
 def load_queries():
