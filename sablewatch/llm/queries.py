@@ -6,7 +6,8 @@ from importlib import import_module
 
 from sablewatch.llm import registry
 
-MODULES = ("repetition", "pieces", "attribution", "token_store", "ordinal", "line_dedup")
+MODULES = ("repetition", "pieces", "attribution", "token_store", "ordinal", "line_dedup",
+           "near_dedup", "repeats")
 
 
 def load_queries():
