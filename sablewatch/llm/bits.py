@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bits of a filter (1 MB). It is sent to all tasks, so its size does not follow
 #: the data; one that is too full only lets more rows pass to the join behind it.
@@ -19,15 +20,18 @@ def slots(values: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
 def send_filter(values: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
     """Marks the slots of the first column (long, no nulls) and sends them to all tasks."""
 
-    def mark(batches):
-        seen = np.zeros(bits, bool)
-        for batch in batches:
-            seen[slots(batch.column(0).to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_pydict({"b": [np.packbits(seen).tobytes()]})
+    slot = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1))
+    # At most `bits` distinct slots; one row of 8 KB for each 65,536 of them.
+    marked = values.select(slot.alias("slot")).distinct().withColumn("part", F.shiftright("slot", 16))
 
-    out = np.zeros(bits // 8, np.uint8)
-    for part in values.coalesce(8).mapInArrow(mark, "b binary").toLocalIterator():
-        out |= np.frombuffer(part.b, np.uint8)
+    def pack(key, group):
+        seen = np.zeros(1 << 16, bool)
+        seen[group["slot"].to_numpy() & 0xFFFF] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "b": [np.packbits(seen).tobytes()]})
+
+    out = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for row in marked.groupBy("part").applyInArrow(pack, "part long, b binary").toLocalIterator():
+        out[row.part] = np.frombuffer(row.b, np.uint8)
     return values.sparkSession.sparkContext.broadcast(out.tobytes())
 
 

@@ -16,7 +16,8 @@ metric, and ProbMinHash signatures agree in a register with probability J.
 3. Registers are cut into bands; documents that share a band are candidates. Each
    is compared with its band's earliest document. Bands whose documents do not all
    fall into one class that way are compared in full, in blocks of ``BLOCK``
-   signatures, except inside classes, where no link could change the result.
+   documents, except inside classes, where no link could change the result; of the
+   links that join a document to one class, one is enough.
 4. Candidate pairs whose signatures agree often enough are verified on the whole
    texts, exactly. Classes are the connected components of the verified links.
 
@@ -48,8 +49,8 @@ BANDS, ROWS = 25, 5
 #: Agreement of signatures below which a pair is not verified: 3.4 standard
 #: deviations under the threshold.
 AGREE = 0.68
-#: Signatures in a block of a full comparison.
-BLOCK = 256
+#: Documents in a block of a full comparison.
+BLOCK = 64
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -127,6 +128,17 @@ def band_keys(marks: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+def shingle_sets(column: pa.Array, size: int):
+    """``(ascending shingles, counts)`` of every text of a column."""
+    for block in blocks(column):
+        owner, gram, count = shingles(block, size)
+        order = np.lexsort((gram, owner))
+        gram, count = gram[order], count[order]
+        edges = np.searchsorted(owner[order], np.arange(len(block) + 1))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield gram[lo:hi], count[lo:hi]
+
+
 def _marks(column: pa.Array, registers: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, registers)
 
@@ -186,19 +198,11 @@ class NearDuplicates:
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
         size, threshold = self.size, self.threshold
 
-        def sets(column):
-            for block in blocks(column):
-                owner, gram, count = shingles(block, size)
-                order = np.lexsort((gram, owner))
-                gram, count = gram[order], count[order]
-                edges = np.searchsorted(owner[order], np.arange(len(block) + 1))
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    yield gram[lo:hi], count[lo:hi]
-
         def verify(batches):
             for batch in batches:
                 hit = [probability_jaccard(x, y) >= threshold - 1e-9
-                       for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)]
+                       for x, y in zip(shingle_sets(batch.column(2), size),
+                                       shingle_sets(batch.column(3), size), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
@@ -216,9 +220,10 @@ class NearDuplicates:
                     keys = band_keys(marks[worded], bands)
                     yield pa.RecordBatch.from_pydict({
                         "key": keys.ravel().view(np.int64),
+                        "band": np.tile(np.arange(bands, dtype=np.int32), len(worded)),
                         "node": batch.column(0).take(np.repeat(worded, bands))})
 
-        rows = self.nodes.select("node", "marks").mapInArrow(cut, "key long, node long")
+        rows = self.nodes.select("node", "marks").mapInArrow(cut, "key long, band int, node long")
         ranked = rows.join(self.nodes.select("node", F.struct(F.struct("doc_id"), "node").alias("rank")), "node")
         shared = (ranked.groupBy("key").agg(F.min("rank").alias("head"), F.count("*").alias("n"))
                   .filter("n > 1").select("key", F.col("head.node").alias("head"), "n"))
@@ -236,43 +241,59 @@ class NearDuplicates:
                  .join(signs.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
                  .select("a", "b", "x", "y").mapInArrow(agreeing, "a long, b long"))
         by_head = cut_lineage(self._verified(cut_lineage(pairs)))
-        rest = cut_lineage(self._verified(cut_lineage(self._unlinked(members, by_head))))
+        rest = cut_lineage(self._between_classes(members, by_head))
         return by_head.unionByName(rest)
 
-    def _unlinked(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        """Pairs of one band but of different classes whose signatures agree."""
-        registers, agree = self.registers, self.agree
+    def _between_classes(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """Verified links between documents of one band but of different classes."""
+        bands, registers, agree = self.bands, self.registers, self.agree
+        size, threshold = self.size, self.threshold
         classes = connected_components(links)
-        placed = members.filter("n > 2").join(classes, "node", "left").select(
-            "key", "node", "head", F.coalesce("component", "node").alias("class"))
+        placed = cut_lineage(members.filter("n > 2").join(classes, "node", "left").select(
+            "key", "band", "node", "head", "n", F.coalesce("component", "node").alias("class")))
         heads = placed.filter("node = head").select("key", F.col("class").alias("head_class"))
-        open_keys = (placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
-                                               F.count("*").alias("n")).filter("lo != hi"))
-        # Blocks of a band's signatures; what is not of its head's class meets all blocks.
-        full = (placed.join(open_keys.select("key", "n"), "key").join(heads, "key")
-                .join(self.nodes.select("node", "marks"), "node")
+        open_keys = (placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+                     .filter("lo != hi").select("key"))
+        opened = cut_lineage(placed.join(open_keys, "key", "left_semi").join(heads, "key"))
+        texts = self._texts(opened)
+        full = (opened.join(self.nodes.select("node", "marks"), "node").join(texts, "node")
                 .withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
-        entry = F.struct("node", "class", "marks")
-        whole = full.groupBy("key", "part").agg(F.collect_list(entry).alias("right"))
+        # What is not of its head's class meets all blocks of the band.
+        entry = F.struct("node", "class", "marks", "text")
+        whole = full.groupBy("key", "band", "part").agg(F.collect_list(entry).alias("right"))
         odd = (full.filter(F.col("class") != F.col("head_class"))
                .groupBy("key", F.col("part").alias("odd")).agg(F.collect_list(entry).alias("left")))
 
         def compare(batches):
             for batch in batches:
                 a, b = [], []
-                for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                    x, y = left.values, right.values
+                for band, left, right in zip(*batch.columns, strict=True):
+                    x, y, band = left.values, right.values, band.as_py()
                     one, two = (_marks(v.field("marks"), registers) for v in (x, y))
-                    classes_x, classes_y = x.field("class").to_numpy(), y.field("class").to_numpy()
-                    nodes_x, nodes_y = x.field("node").to_numpy(), y.field("node").to_numpy()
+                    class_x, class_y = (v.field("class").to_numpy() for v in (x, y))
+                    node_x, node_y = (v.field("node").to_numpy() for v in (x, y))
+                    sets_x = sets_y = None
                     for i in range(len(one)):
-                        hit = ((two == one[i]).mean(axis=1) >= agree) & (classes_y != classes_x[i])
-                        b.append(nodes_y[hit])
-                        a.append(np.full(int(hit.sum()), nodes_x[i]))
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-        met = odd.join(whole, "key").select("left", "right")
+                        same = two == one[i]
+                        share = same.mean(axis=1)
+                        # A pair is judged in the first band it shares.
+                        first = same.reshape(len(two), bands, -1).all(axis=2).argmax(axis=1)
+                        hits = np.flatnonzero((share >= agree) & (class_y != class_x[i]) & (first == band))
+                        if not len(hits):
+                            continue
+                        if sets_x is None:
+                            sets_x, sets_y = (list(shingle_sets(v.field("text"), size)) for v in (x, y))
+                        joined = set()
+                        for j in hits[np.argsort(-share[hits], kind="stable")].tolist():
+                            if class_y[j] not in joined and probability_jaccard(
+                                    sets_x[i], sets_y[j]) >= threshold - 1e-9:
+                                joined.add(class_y[j])
+                                a.append(max(node_x[i], node_y[j]))
+                                b.append(min(node_x[i], node_y[j]))
+                if a:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        met = odd.join(whole, "key").select("band", "left", "right")
         return met.mapInArrow(compare, "a long, b long").distinct()
 
     def classes(self) -> DataFrame:
