@@ -10,12 +10,14 @@
    every (number, substring).
 4. *Search.* Codes within Hamming distance ``r`` of a query's agree with it in some
    substring up to ``r // parts`` bits (pigeonhole), so probing all substrings that
-   near retrieves every code within ``r``. Radii grow per query until enough codes
-   within the radius are found for ``k`` neighbours to be trusted; what is found is
-   ranked by exact inner products in double precision.
-
-The radius at which a query stops is the one that holds ``enough * k`` codes; a query
-that never has so many sees every vector. Vectors that are null, zero, or hold null or
+   near retrieves every code within ``r``. Lists and the queries that probe them meet
+   in blocks of bounded size, where a pair is taken under the first list it shares.
+   The lists that a query's own substrings name come first; their ``k``-th best score
+   is its bound, and the probes that follow, up to ``probe_bits``, return only what
+   reaches it. Scores are inner products of the original vectors in double precision.
+
+A query that has found fewer than ``k`` neighbours in the end, while there are more
+vectors, probes every list. Vectors that are null, zero, or hold null or
 non-finite components take no part. A null id takes no part, neither as query nor as
 candidate. Rows that repeat an id and vector count once. Fewer candidates than ``k``:
 all of them. Extra columns are ignored.
@@ -39,10 +41,10 @@ BITS = 64
 PARTS = 8
 #: Vectors the rotation is learned on.
 SAMPLE = 10_000
-#: Codes within the radius, for each wanted neighbour, at which a search stops.
-ENOUGH = 10
-#: Most bits that a probed substring may differ in; searches that need more see all.
-PROBE_BITS = 3
+#: Most bits that a probed substring differs in: every code within distance 23.
+PROBE_BITS = 2
+#: Vectors, or queries, in a block.
+BLOCK = 2_048
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +79,13 @@ def substring(code: Column, part: int, bits: int, parts: int) -> Column:
 
 
 def flips(width: int, upto: int) -> list[int]:
-    """All masks of ``width`` bits with exactly ``upto`` bits set."""
-    return [sum(1 << i for i in chosen) for chosen in combinations(range(width), upto)]
+    """All masks of ``width`` bits with at most ``upto`` bits set."""
+    return [sum(1 << i for i in chosen) for n in range(upto + 1) for chosen in combinations(range(width), n)]
 
 
 def nearest(vectors: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec_id",
             vector_col: str = "embedding", bits: int = BITS, parts: int = PARTS,
-            sample: int = SAMPLE, enough: int = ENOUGH, probe_bits: int = PROBE_BITS) -> DataFrame:
+            sample: int = SAMPLE, probe_bits: int = PROBE_BITS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows for which ``queries`` holds.
 
     Runs jobs when called.
@@ -143,81 +145,96 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = K, id_col: str = "v
     coded = cut_lineage(folded.select("node", "v", "norm").mapInArrow(
         encode, "node long, code long, asked long"))
 
+    listed = folded.select("node", "v").join(coded.select("node", "code"), "node")
     wanted = rows.filter("_query").select("h", "h2").distinct()
-    asking = cut_lineage(folded.join(wanted, ["h", "h2"], "left_semi").join(coded, "node")
-                         .select("node", F.col("asked").alias("code")))
-
-    # The index: each code under each of its substrings. Equal codes are one entry.
-    entries = F.array(*[F.struct(F.lit(i).alias("part"), substring(F.col("code"), i, bits, parts).alias("value"))
-                        for i in range(parts)])
-    index = cut_lineage(coded.select("code").distinct().select("code", F.explode(entries).alias("e"))
-                        .select(F.col("e.part").alias("part"), F.col("e.value").alias("value"), "code"))
-    weights = coded.groupBy("code").agg(F.count("*").alias("n"))
-    open_, found, width = asking, None, bits // parts
-    met = None
-    for near in range(probe_bits + 1):
-        masks = F.array(*[F.lit(m).cast("long") for m in flips(width, near)])
-        probes = open_.select("node", "code", F.explode(entries).alias("e")).select(
-            "node", F.col("code").alias("asked"), F.col("e.part").alias("part"),
-            F.explode(F.transform(masks, lambda m: F.col("e.value").bitwiseXOR(m))).alias("value"))
-        # Every code within this radius has been probed once `near` bits are.
-        radius = parts * (near + 1) - 1
-        hits = (probes.join(index, ["part", "value"]).select("node", "asked", "code")
-                .withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))))
-                .filter(F.col("distance") <= radius).select("node", "code", "distance").distinct())
-        met = hits if met is None else met.join(open_.select("node"), "node", "left_semi").unionByName(hits).distinct()
-        met = cut_lineage(met)
-        counted = (met.join(weights, "code").groupBy("node", "distance").agg(F.sum("n").alias("n"))
-                   .groupBy("node").agg(F.sum("n").alias("n")))
-        ready = cut_lineage(open_.select("node").join(counted.filter(F.col("n") >= enough * (k + 1)), "node").select("node"))
-        done = met.join(ready, "node", "left_semi").select("node", "code")
-        found = done if found is None else found.unionByName(done)
-        open_ = cut_lineage(open_.join(ready, "node", "left_anti"))
-    candidates = found.join(coded.select("code", F.col("node").alias("other")), "code").select("node", "other")
-    # Queries without enough codes near them are compared with every vector, in blocks.
-    scored = _scores(candidates, folded).unionByName(_all_scores(open_, folded))
-    ranked = Window.partitionBy("node").orderBy(F.desc("score"), "least")
-    top = scored.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= k + 1)
-    # From vectors back to ids, ties to the smaller id, a query's own row left out.
-    spread = (top.join(folded.select(F.col("node").alias("other"), F.col("ids").alias("theirs")), "other")
-              .select("node", "score", F.explode("theirs").alias("vec_id")))
-    asked = (rows.filter("_query").select("h", "h2", F.col("id").alias("query_id")).distinct()
+    asking = cut_lineage(folded.join(wanted, ["h", "h2"], "left_semi").select("node", "v")
+                         .join(coded.select("node", F.col("asked").alias("code")), "node"))
+    width = bits // parts
+
+    def lists(df: DataFrame, masks: list[int]) -> DataFrame:
+        """Each row under every list it belongs to or probes, gathered in blocks."""
+        under = F.array(*[F.struct(F.lit(i).alias("part"), substring(F.col("code"), i, bits, parts).alias("value"))
+                          for i in range(parts)])
+        spread = df.withColumn("e", F.explode(under)).withColumn(
+            "value", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]),
+                                           lambda m: F.col("e.value").bitwiseXOR(m)))
+        ).withColumn("part", F.col("e.part")).drop("e")
+        # One row per list: parts * 2**width of them, whatever the table's size.
+        sizes = spread.groupBy("part", "value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        return (spread.join(F.broadcast(sizes), ["part", "value"])
+                .groupBy("part", "value", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+                .agg(F.collect_list(F.struct(*df.columns)).alias("rows")))
+
+    index = cut_lineage(lists(listed.select("node", "code", "v"), [0]))
+
+    def matches(asked: DataFrame, upto: int) -> DataFrame:
+        """``node, other, score`` of pairs that meet under a list and reach the bound.
+
+        ``asked`` has ``node, code, v, bound``; without a bound the best of each
+        block are returned.
+        """
+        met = lists(asked, flips(width, upto)).select("part", "value", F.col("rows").alias("q")).join(
+            index.select("part", "value", F.col("rows").alias("x")), ["part", "value"])
+
+        def compare(batches):
+            for batch in batches:
+                for part, q, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    q, x = q.values, x.values
+                    score = _grid(q) @ _grid(x).T
+                    apart = q.field("code").to_numpy().view(np.uint64)[:, None] ^ (
+                        x.field("code").to_numpy().view(np.uint64)[None, :])
+                    low = np.uint64((1 << width) - 1)
+                    for i in range(part):  # met under an earlier list already
+                        near = np.bitwise_count((apart >> np.uint64(width * i)) & low) <= upto
+                        score[near] = -np.inf
+                    bound = q.field("bound").to_numpy(zero_copy_only=False)
+                    most = min(k + 6, score.shape[1])
+                    best = -np.partition(-score, most - 1, axis=1)[:, most - 1]
+                    floor = np.where(np.isnan(bound), best, bound - 1e-9 * np.abs(bound))
+                    one, two = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                    yield pa.RecordBatch.from_pydict({
+                        "node": q.field("node").take(one), "other": x.field("node").take(two),
+                        "score": score[one, two]})
+
+        return met.select("part", "q", "x").mapInArrow(compare, "node long, other long, score double")
+
+    by_score = Window.partitionBy("node").orderBy(F.desc("score"), "other")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k + 6)
+
+    # A null bound means none: fewer than k + 1 vectors met so far.
+    blank = F.lit(None).cast("double").alias("bound")
+    first = cut_lineage(best(matches(asking.select("node", "code", "v", blank), 0)))
+    bounds = first.filter(F.col("n") == k + 1).select("node", F.col("score").alias("bound"))
+    bounded = asking.join(bounds, "node", "left").select("node", "code", "v", "bound")
+    found = cut_lineage(best(matches(bounded, probe_bits)).drop("n"))
+    counts = found.groupBy("node").agg(F.count("*").alias("n"))
+    short = (asking.join(counts, "node", "left").filter(F.coalesce("n", F.lit(0)) < min(k + 1, stats.n))
+             .select("node", "code", "v", blank))
+    rest = matches(short, width)
+    top = best(found.join(short.select("node"), "node", "left_anti").unionByName(rest)).select("node", "other")
+
+    # The exact scores of what is left, and from vectors back to ids: ties to the
+    # smaller id, a query's own row left out.
+    own = folded.select("node", F.col("v").alias("x"))
+    theirs = folded.select(F.col("node").alias("other"), F.col("v").alias("y"), "ids")
+    spread = (top.join(own, "node").join(theirs, "other")
+              .select("node", _inner("x", "y").alias("score"), F.explode("ids").alias("vec_id")))
+    named = (rows.filter("_query").select("h", "h2", F.col("id").alias("query_id")).distinct()
              .join(folded.select("h", "h2", "node"), ["h", "h2"]).select("node", "query_id"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (asked.join(spread, "node").filter("vec_id != query_id")
-            .withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
+    in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (named.join(spread, "node").filter("vec_id != query_id")
+            .withColumn("rank", F.row_number().over(in_order).cast("int")).filter(F.col("rank") <= k)
             .select(F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score"))
 
 
-def _inner(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+def _grid(rows: pa.StructArray) -> np.ndarray:
+    return rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
-def _scores(pairs: DataFrame, folded: DataFrame) -> DataFrame:
-    own = folded.select("node", F.col("v").alias("x"))
-    theirs = folded.select(F.col("node").alias("other"), F.col("v").alias("y"),
-                           F.element_at("ids", 1).alias("least"))
-    return pairs.join(own, "node").join(theirs, "other").select(
-        "node", "other", "least", _inner("x", "y").alias("score"))
-
-
-def _all_scores(open_: DataFrame, folded: DataFrame, block: int = 512) -> DataFrame:
-    """Scores of the given queries against all vectors, both in blocks.
-
-    Each task of vectors meets the blocks of queries; blocks are joined by number, so
-    that no row is sent more often than there are blocks of queries.
-    """
-    asked = open_.select("node").join(folded.select("node", "v"), "node")
-    n_blocks = max(1, -(-open_.count() // block))
-    if n_blocks == 1 and open_.isEmpty():
-        return folded.sparkSession.createDataFrame([], "node long, other long, least long, score double")
-    left = (asked.groupBy(F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("b"))
-            .agg(F.collect_list(F.struct("node", "v")).alias("q")))
-    right = folded.select(F.col("node").alias("other"), F.col("v").alias("y"),
-                          F.element_at("ids", 1).cast("long").alias("least"),
-                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
-    met = right.join(left, "b").select("other", "y", "least", F.explode("q").alias("q"))
-    return met.select(F.col("q.node").alias("node"), "other", "least", _inner("q.v", "y").alias("score"))
+def _inner(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
 
 
 @query("op4_multi_index_search")

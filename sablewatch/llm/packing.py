@@ -76,7 +76,7 @@ class Shelf:
                 del self.occupied[full]
 
     def find(self, size: int, source: int, cluster: int) -> int | None:
-        """The tightest bin that may take the item; of equal ones the oldest."""
+        """The tightest bin that may take the item, if any may."""
         key = size, source, cluster
         at = self.resume.get(key, size) if cluster else size
         open_ = [m for full, m in self.occupied.items() if not full & source]
