@@ -231,7 +231,7 @@ def hassh_census(spark, sf):
   SELECT url, min(epoch_us(ts)) AS first_us FROM (
     SELECT ts, unnest(regexp_extract_all(command, '(?:https?|ftp|tftp)://[^\\s;''"|&)]+')) AS url
     FROM ev WHERE command ILIKE '%http://%' OR command ILIKE '%https://%' OR command ILIKE '%tftp%')
-  GROUP BY 1 ORDER BY 2 LIMIT 50"""))
+  GROUP BY 1"""))
 def second_stage_urls(spark, sf):
     return T.second_stage_urls(events(spark, sf)).select(
         "url", micros("first_seen").alias("first_us"))

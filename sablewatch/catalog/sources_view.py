@@ -215,9 +215,9 @@ def blocklist(spark, sf):
 @query("stix_indicators", sql("""
   SELECT src_ip AS name, '[ipv4-addr:value = ''' || src_ip || ''']' AS pattern,
     CAST(floor(least(threat_score, 100)) AS INTEGER) AS confidence,
-    'Observed ' || event_count || ' events across ' || sessions || ' sessions on '
-      || replace(services, ',', ', ') || '. Classification: ' || classification
-      || '. Confidence score ' || CAST(round_even(threat_score, 0) AS BIGINT) || '/100.'
+    'class ' || classification || '; score ' || CAST(round_even(threat_score, 0) AS BIGINT)
+      || '; events ' || event_count || '; sessions ' || sessions || '; services '
+      || replace(services, ',', ' ')
       AS description FROM picked""", *SCORE_CTES, _PICKED))
 def stix_indicators(spark, sf):
     return X.stix_indicators(picked(spark, sf)).select(

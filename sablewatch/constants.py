@@ -249,15 +249,12 @@ BEHAVIOUR_NEEDLES = (
     ("nc -e", "backdoor:netcat"),
     ("/dev/tcp/", "backdoor:bash-tcp"),
 )
-MAX_STRINGS = 2000
-MAX_STRING_CHARS = 512
-MAX_IOCS = 200
 MIN_STRING_CHARS = 6
 PACKED_ENTROPY = 7.2
 PACKABLE_TYPES = ("elf", "pe", "unknown")
 
 # --- fixed values: indicator patterns ---------------------------------------
-IOC_URL = r"""(?i)https?://[^\s"'<>\\)\x00]{4,2048}"""
+IOC_URL = r"""(?i)https?://[^\s"'<>\\)\x00]{4,}"""
 # Word edges are spelled out: bytes above 0x7F are no word characters here.
 IOC_IPV4 = r"(?<![A-Za-z0-9_])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9_])"
 IOC_DOMAIN = (
@@ -278,7 +275,6 @@ FACET_WEIGHTS = {
 DISCRIMINATIVE_FACETS = ("credentials", "paths", "payloads", "usernames")
 CAMPAIGN_THRESHOLD = 0.35
 CAMPAIGN_MIN_SIZE = 2
-CAMPAIGN_SOURCES = 2000
 
 # --- fixed values: ATT&CK techniques (id, name, tactic) ---------------------
 TECHNIQUES = (
@@ -346,5 +342,3 @@ ALERT_CSV_COLUMNS = (
     "alert_id", "rule_id", "rule_name", "severity", "src_ip", "service", "title",
     "hit_count", "status", "first_seen", "last_seen",
 )
-EXPORT_ROWS = 100_000
-INDICATOR_EXPORT_ROWS = 5000

@@ -38,7 +38,7 @@ from sablewatch.functions.net import (
     parse_network,
     scope_of,
 )
-from sablewatch.functions.text import boundary_pattern
+from sablewatch.functions.text import name_in_text
 from sablewatch.schemas import column_or_null
 
 # --------------------------------------------------------------------------- #
@@ -285,8 +285,8 @@ def add_indicators(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def agent_signals(user_agent: Column) -> Column:
     """Struct ``(ti_score, ti_tags)`` of a user agent; nothing for none."""
-    malware = [(user_agent.rlike(boundary_pattern(n)), t) for n, t in MALWARE_AGENTS]
-    scanner = [(user_agent.rlike(boundary_pattern(n)), t) for n, t in SCANNER_AGENTS]
+    malware = [(name_in_text(user_agent, n), t) for n, t in MALWARE_AGENTS]
+    scanner = [(name_in_text(user_agent, n), t) for n, t in SCANNER_AGENTS]
     short = F.length(user_agent) < 8
     points = lambda pairs, each: sum(
         (F.when(c, each).otherwise(0.0) for c, _ in pairs), F.lit(0.0)

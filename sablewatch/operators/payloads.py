@@ -23,9 +23,6 @@ from sablewatch.constants import (
     IOC_DOMAIN,
     IOC_IPV4,
     IOC_URL,
-    MAX_IOCS,
-    MAX_STRING_CHARS,
-    MAX_STRINGS,
     MIN_STRING_CHARS,
     PACKABLE_TYPES,
     PACKED_ENTROPY,
@@ -183,12 +180,11 @@ def pe_header(content: Column) -> Column:
 
 
 def extract_strings(text: Column, least: int = MIN_STRING_CHARS) -> Column:
-    """Printable runs, ASCII then UTF-16LE, cut, deduplicated in order, capped."""
+    """Printable runs, ASCII then UTF-16LE, whole, deduplicated in order."""
     narrow = F.regexp_extract_all(text, F.lit(rf"[\x20-\x7e]{{{least},}}"), F.lit(0))
     wide = F.regexp_extract_all(text, F.lit(rf"(?:[\x20-\x7e]\x00){{{least},}}"), F.lit(0))
     wide = F.transform(wide, lambda s: F.replace(s, F.lit("\0"), F.lit("")))
-    cut = F.transform(F.concat(narrow, wide), lambda s: F.left(s, F.lit(MAX_STRING_CHARS)))
-    return F.slice(F.array_distinct(cut), 1, MAX_STRINGS)
+    return F.array_distinct(F.concat(narrow, wide))
 
 
 def behaviour_tags(strings: Column) -> Column:
@@ -216,12 +212,12 @@ def extract_iocs(text: Column, byte_text: bool = False) -> Column:
         if byte_text
         else a
     )
-    finish = lambda a: F.array_distinct(defang_all(F.slice(a, 1, MAX_IOCS)))
+    finish = lambda a: F.array_distinct(defang_all(a))
     return F.struct(
         finish(readable(found(IOC_URL))).alias("urls"),
         finish(F.filter(found(IOC_IPV4), octets_fit)).alias("ipv4"),
         F.array_distinct(
-            defang_all(F.transform(F.slice(found(IOC_DOMAIN), 1, MAX_IOCS), F.lower))
+            defang_all(F.transform(found(IOC_DOMAIN), F.lower))
         ).alias("domains"),
     )
 

@@ -11,7 +11,6 @@ from sablewatch.functions.topk import first_k
 from sablewatch.schemas import column_or_null
 
 TEXT_COLUMNS = ("command", "path", "username", "user_agent")
-LIVE_PAGE = 500
 
 
 def text_match(df: DataFrame, needle: str, columns=TEXT_COLUMNS) -> Column:
@@ -84,7 +83,7 @@ def events_after(
             F.max(F.struct("ts", "event_id"))
         ).scalar()
         out = out.filter(seen.isNull() | (F.struct("ts", "event_id") > seen))
-    return out.orderBy(F.desc("ts"), F.desc("event_id")).limit(min(limit, LIVE_PAGE))
+    return out.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
 
 
 def lookup(table: DataFrame, key: str, value: str) -> DataFrame:

@@ -249,11 +249,11 @@ def tag_shell(events: DataFrame) -> DataFrame:
     return _apply(with_first_url(events), shell_labels()).drop("_later")
 
 
-def second_stage_urls(events: DataFrame, limit: int = 50) -> DataFrame:
+def second_stage_urls(events: DataFrame, limit: int | None = None) -> DataFrame:
     """URLs named in commands, in order of first sighting."""
     command = F.col("command")
     mentions = command.ilike("%http://%") | command.ilike("%https://%") | command.ilike("%tftp%")
-    return (
+    found = (
         events.filter(mentions)
         .select(
             "ts", "event_id",
@@ -264,9 +264,9 @@ def second_stage_urls(events: DataFrame, limit: int = 50) -> DataFrame:
         .groupBy("url")
         .agg(F.min(F.struct("ts", "event_id", "pos")).alias("first"))
         .orderBy("first")
-        .limit(limit)
-        .select("url", F.col("first.ts").alias("first_seen"))
     )
+    kept = found if limit is None else found.limit(limit)
+    return kept.select("url", F.col("first.ts").alias("first_seen"))
 
 
 # --------------------------------------------------------------------------- #

@@ -25,12 +25,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``checkpoint()`` at the shared folder the cluster names.
 
-    Only a session that names none (tests, a laptop) gets a folder of its own.
+    Only a local session that names none (tests, a laptop) gets a folder of its own:
+    executors on other machines would not see it.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sablewatch-checkpoint-"))
 
 
