@@ -11,7 +11,7 @@ document reaches a wanted grade.
 Features are read from the bytes of the whole text, in numpy: the presence of each
 word (letters folded to lower case in ASCII, marks at its edges cut off), of each
 pair of marks at a word's end, and of steps of four shares (capital letters, marks,
-repeated words, words per line). Only features are weighed whose presence differs
+variety of words, length in words). Only features are weighed whose presence differs
 clearly between grades in the sample, so that rare words carry no noise.
 
 ``fit_ordinal`` learns from at most ``sample`` labelled documents, those with the
@@ -205,17 +205,21 @@ def score_ordinal(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id
     """``doc_id, expected_grade, tails`` and the columns named in ``keep``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by max_features
+    # Kept columns travel under names of their own, whatever they are called.
+    inner = [f"_keep_{i}" for i in range(len(keep))]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                         *(F.col(c) for c in keep))
+                         *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)))
 
     def score(block, rows):
         tails = sent.value.tails(len(block), *text_features(block))
         return {"doc_id": rows.column(0), "expected_grade": tails.sum(axis=1), "tails": list(tails),
-                **{c: rows.column(2 + i) for i, c in enumerate(keep)}}
+                **{n: rows.column(2 + i) for i, n in enumerate(inner)}}
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = f"doc_id {kinds['doc_id']}, expected_grade double, tails array<double>"
-    return map_blocks(source, "text", score, schema + "".join(f", `{c}` {kinds[c]}" for c in keep))
+    scored = map_blocks(source, "text", score, schema + "".join(f", {n} {kinds[n]}" for n in inner))
+    return scored.select("doc_id", "expected_grade", "tails",
+                         *(F.col(n).alias(c) for c, n in zip(keep, inner, strict=True)))
 
 
 def label_grades(labels: DataFrame) -> DataFrame:
