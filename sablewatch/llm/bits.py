@@ -30,7 +30,8 @@ def send_filter(values: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "b": [np.packbits(seen).tobytes()]})
 
     out = np.zeros((bits >> 16, 1 << 13), np.uint8)
-    for row in marked.groupBy("part").applyInArrow(pack, "part long, b binary").toLocalIterator():
+    # At most `bits >> 16` rows, 1 MB in all, in one job.
+    for row in marked.groupBy("part").applyInArrow(pack, "part long, b binary").collect():
         out[row.part] = np.frombuffer(row.b, np.uint8)
     return values.sparkSession.sparkContext.broadcast(out.tobytes())
 
