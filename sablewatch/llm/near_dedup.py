@@ -119,6 +119,24 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / total).sum())
 
 
+def plain_jaccards(a: tuple[np.ndarray, np.ndarray], others: list) -> np.ndarray:
+    """J of one weighted set with each of several where no shingle of either repeats.
+
+    There it is the Jaccard index, counted for all in one step; NaN for the others.
+    """
+    out = np.full(len(others), np.nan)
+    if not len(a[0]) or a[1].max() > 1:
+        return out
+    plain = [j for j, (elements, counts) in enumerate(others) if len(elements) and counts.max() == 1]
+    if plain:
+        sizes = np.array([len(others[j][0]) for j in plain])
+        every = np.concatenate([others[j][0] for j in plain])
+        at = np.minimum(np.searchsorted(a[0], every), len(a[0]) - 1)
+        both = np.add.reduceat((a[0][at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+        out[plain] = both / (len(a[0]) + sizes - both)
+    return out
+
+
 def band_keys(marks: np.ndarray, bands: int) -> np.ndarray:
     """One key per band (columns) of every signature (rows)."""
     cut = marks.reshape(len(marks), bands, -1).astype(np.uint64)
@@ -283,10 +301,15 @@ class NearDuplicates:
                             continue
                         if sets_x is None:
                             sets_x, sets_y = (list(shingle_sets(v.field("text"), size)) for v in (x, y))
+                        hits = hits[np.argsort(-share[hits], kind="stable")].tolist()
+                        score = plain_jaccards(sets_x[i], [sets_y[j] for j in hits])
                         joined = set()
-                        for j in hits[np.argsort(-share[hits], kind="stable")].tolist():
-                            if class_y[j] not in joined and probability_jaccard(
-                                    sets_x[i], sets_y[j]) >= threshold - 1e-9:
+                        for j, like in zip(hits, score.tolist(), strict=True):
+                            if class_y[j] in joined:
+                                continue
+                            if like != like:  # NaN: a shingle repeats
+                                like = probability_jaccard(sets_x[i], sets_y[j])
+                            if like >= threshold - 1e-9:
                                 joined.add(class_y[j])
                                 a.append(max(node_x[i], node_y[j]))
                                 b.append(min(node_x[i], node_y[j]))

@@ -314,3 +314,18 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in before.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == ids
+
+
+def test_plain_jaccards_equal_the_weighted_index():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (0, 1, 5, 40, 40, 60):
+        elements = np.unique(rng.integers(0, 70, n).astype(np.uint64))
+        sets.append((elements, np.ones(len(elements), np.int64)))
+    sets.append((sets[3][0], np.where(np.arange(len(sets[3][0])) == 0, 2, 1)))
+    for one in sets:
+        for two, found in zip(sets, near_dedup.plain_jaccards(one, sets), strict=True):
+            plain = all(len(e) and w.max() == 1 for e, w in (one, two))
+            assert np.isnan(found) != plain
+            if plain:
+                assert abs(found - near_dedup.probability_jaccard(one, two)) < 1e-12
