@@ -112,7 +112,7 @@ def pe_headers(spark, sf):
 
 
 @query("string_census", r"""
-  SELECT page_id, CAST(count(DISTINCT left(s, 512)) AS BIGINT) AS strings FROM (
+  SELECT page_id, CAST(count(DISTINCT s) AS BIGINT) AS strings FROM (
     SELECT page_id, unnest(regexp_extract_all(html, '[\x20-\x7e]{6,}')) AS s FROM pages)
   GROUP BY page_id""")
 def string_census(spark, sf):
@@ -331,7 +331,6 @@ def fingerprints(spark, sf):
       WHERE username IS NOT NULL AND password IS NOT NULL
     UNION ALL SELECT src_ip, 'payloads', payload_sha256 FROM ev WHERE payload_sha256 IS NOT NULL
     UNION ALL SELECT src_ip, 'services', service FROM ev)
-  WHERE src_ip IN (SELECT src_ip FROM ev GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2000)
   GROUP BY 1, 2"""))
 def fingerprint_tokens(spark, sf):
     from sablewatch.catalog.sources_view import sources
