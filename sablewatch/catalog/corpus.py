@@ -177,12 +177,14 @@ def _ioc_sql(table: str, key: str, column: str) -> str:
 
 
 def _iocs(df, key, column):
-    found = df.select(key, P.extract_iocs(F.col(column)).alias("i"))
+    return _ioc_rows(df.select(key, P.extract_iocs(F.col(column)).alias("i")), key, "i")
 
+
+def _ioc_rows(found, key, column):
     def named(kind):
         return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
 
-    rows = [F.transform(f"i.{f}", named(k))
+    rows = [F.transform(f"{column}.{f}", named(k))
             for f, k in (("urls", "url"), ("ipv4", "ipv4"), ("domains", "domain"))]
     return found.select(key, F.explode(F.concat(*rows)).alias("r")).select(key, "r.*")
 
@@ -199,36 +201,118 @@ def page_iocs(spark, sf):
     return _iocs(pages, "page_id", "body")
 
 
-@query("payload_profile", """
-  SELECT sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS size,
-    FALSE AS likely_packed FROM pages""")
+# Kinds by page id: script, packed program (4 KB of digests), PDF, program with the URL
+# as UTF-16, big-endian ELF with a symbol table (even ids) or without, plain page.
+_ELF_BIG = "7F454C460102010300" + "00" * 7 + "0002" + "0008" + "00" * 4 + "00" * 8
+_ELF_BIG += "00000034" + "00" * 6 + "0000" + "0000" + "0028" + "0001" + "0000" + "00000000" + "000000"
+_PROFILED = rf"""raw AS (
+  SELECT page_id, page_id % 6 AS n, html, url, CASE page_id % 6
+    WHEN 0 THEN encode('#!/usr/bin/python' || chr(10) || html)
+    WHEN 1 THEN encode('MZ') || unhex(array_to_string([sha256(html || i) FOR i IN range(128)], ''))
+    WHEN 2 THEN encode('%PDF' || html)
+    WHEN 3 THEN encode('MZ' || html) || unhex('00' || regexp_replace(hex(encode(url)), '(..)', '\100', 'g'))
+    WHEN 4 THEN unhex('{_ELF_BIG}' || CASE WHEN page_id % 4 = 0 THEN '02' ELSE '01' END
+      || '{"00" * 32}') || encode(html)
+    ELSE encode(html) END AS body FROM pages),
+  pairs AS (SELECT *, regexp_extract_all(hex(body), '..') AS bytes FROM raw),
+  marks AS (SELECT page_id, array_to_string([CASE WHEN x BETWEEN '20' AND '7E' THEN chr(('0x' || x)::INT)
+    WHEN x = '00' THEN chr(1) ELSE chr(2) END FOR x IN bytes], '') AS line FROM pairs),
+  strings AS (SELECT page_id, count(DISTINCT s) AS n_strings FROM (
+    SELECT page_id, unnest(regexp_extract_all(line, '[\x20-\x7e]{{6,}}') || [replace(w, chr(1), '')
+      FOR w IN regexp_extract_all(line, '(?:[\x20-\x7e]\x01){{6,}}')]) AS s FROM marks) GROUP BY 1),
+  counts AS (SELECT page_id, round_even(log2(sum(c)) - sum(c * log2(c)) / sum(c), 3) AS entropy FROM (
+    SELECT page_id, b, count(*) AS c FROM (SELECT page_id, unnest(bytes) AS b FROM pairs) GROUP BY 1, 2)
+    GROUP BY 1),
+  heads AS (SELECT page_id, avg(CASE WHEN b BETWEEN '20' AND '7E' OR b IN ('09', '0A', '0D')
+    THEN 1 ELSE 0 END) AS good FROM (SELECT page_id, unnest(bytes[1:1024]) AS b FROM pairs) GROUP BY 1),
+  profiled AS (SELECT page_id, sha256(body) AS sha256, octet_length(body) AS size, entropy,
+    coalesce(n_strings, 0) AS strings_count,
+    CASE n WHEN 0 THEN 'script-python' WHEN 1 THEN 'pe' WHEN 2 THEN 'pdf' WHEN 3 THEN 'pe'
+      WHEN 4 THEN 'elf' ELSE CASE WHEN good > 0.9 THEN 'text' ELSE 'unknown' END END AS file_type,
+    CASE WHEN n = 4 THEN 'mips' END AS arch, CASE WHEN n = 4 THEN 'big' END AS endianness,
+    CASE WHEN n = 4 THEN 'linux' END AS osabi, CASE WHEN n = 4 THEN 32 END AS bits,
+    CASE WHEN n = 4 THEN page_id % 4 <> 0 END AS stripped
+    FROM raw JOIN counts USING (page_id) JOIN heads USING (page_id) LEFT JOIN strings USING (page_id)),
+  packed AS (SELECT *, entropy >= 7.2 AND file_type IN ('elf', 'pe', 'unknown') AS likely_packed FROM profiled)"""
+
+
+def profiled_files(spark, sf):
+    """The pages as six kinds of captured files; see ``_PROFILED``."""
+    n, html = F.col("page_id") % 6, F.col("html")
+    utf8 = lambda *parts: F.encode(F.concat(*parts), "UTF-8")
+    noise = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(127)),
+                                     lambda i: F.sha2(F.concat(html, i.cast("string")), 256)), "")
+    section = F.when(F.col("page_id") % 4 == 0, "02").otherwise("01")
+    elf = F.unhex(F.concat(F.lit(_ELF_BIG), section, F.lit("00" * 32)))
+    content = (
+        F.when(n == 0, utf8(F.lit("#!/usr/bin/python\n"), html))
+        .when(n == 1, F.concat(utf8(F.lit("MZ")), F.unhex(noise)))
+        .when(n == 2, utf8(F.lit("%PDF"), html))
+        .when(n == 3, F.concat(utf8(F.lit("MZ"), html, F.lit("\0")), F.encode("url", "UTF-16LE")))
+        .when(n == 4, F.concat(elf, utf8(html)))
+        .otherwise(utf8(html)))
+    return texts(spark, sf, "pages", "page_id").select("page_id", content.alias("content"))
+
+
+@query("payload_profile", "WITH " + _PROFILED + " SELECT * FROM packed")
 def payload_profile(spark, sf):
-    return P.profile(files(spark, sf)).select("sha256", "size", "likely_packed")
+    return P.profile(profiled_files(spark, sf)).select(
+        "page_id", "sha256", "size", "entropy", "strings_count", "file_type", "arch",
+        "elf.endianness", "elf.osabi", "elf.bits", "stripped", "likely_packed")
+
+
+@query("payload_profile_iocs", _ioc_sql("pages", "page_id", "html"))
+def payload_profile_iocs(spark, sf):
+    """Indicators as the profile of the raw bytes lists them."""
+    found = P.profile(files(spark, sf)).select("page_id", "iocs")
+    return _ioc_rows(found, "page_id", "iocs")
+
+
+_NEXT = ("WITH " + _PROFILED + """, one AS (SELECT sha256, any_value(likely_packed) AS likely_packed,
+    any_value(strings_count) AS strings_count, any_value(entropy) AS entropy,
+    bool_or(page_id % 4 = 0) AS known FROM packed WHERE page_id % 7 <> 3 GROUP BY sha256),
+  n AS (SELECT count(*) AS seen, count(*) FILTER (page_id % 7 = 3) AS errors,
+    count(*) FILTER (page_id % 7 <> 3 AND sha256 NOT IN (SELECT sha256 FROM one WHERE known))
+      AS analysed FROM packed)""")
 
 
-@query("payload_profile_new", """
-  SELECT count(*) AS seen, 0 AS errors, count(*) FILTER (page_id % 4 <> 0) AS analysed,
-    count(*) FILTER (page_id % 4 = 0) AS skipped FROM pages""")
+@query("payload_profile_new", _NEXT + """
+  SELECT seen, errors, analysed, seen - errors - analysed AS skipped FROM n""")
 def payload_profile_new(spark, sf):
-    every = files(spark, sf)
-    stored = P.profile(every.filter(F.col("page_id") % 4 == 0))
-    _, counts = P.profile_new(every, stored, events(spark, sf))
-    return counts
+    return _profiled_anew(spark, sf)[1]
+
+
+@query("payload_table_next", _NEXT + """
+  SELECT sha256, likely_packed, strings_count, entropy, CAST(0 AS BIGINT) AS event_count FROM one""")
+def payload_table_next(spark, sf):
+    """The payload table after the run: what was stored and what is new."""
+    return _profiled_anew(spark, sf)[0].select(
+        "sha256", "likely_packed", "strings_count", "entropy", "event_count")
+
+
+def _profiled_anew(spark, sf):
+    """A seventh of the files cannot be read; every fourth readable one is stored already."""
+    bad = F.col("page_id") % 7 == 3
+    every = profiled_files(spark, sf).withColumn("content", F.when(~bad, F.col("content")))
+    stored = P.profile(every.filter((F.col("page_id") % 4 == 0) & ~bad)).dropDuplicates(["sha256"])
+    return P.profile_new(every, stored, events(spark, sf))
 
 
 _SEEN = """seen AS (SELECT payload_sha256 AS sha256, min(epoch_us(ts)) AS first_us,
   max(epoch_us(ts)) AS last_us, count(*) AS event_count FROM ev
   WHERE payload_sha256 IS NOT NULL GROUP BY 1)"""
-_PAYLOADS = "pays AS (SELECT sha256('payload-' || i) AS sha256, i FROM range(25) t(i))"
+_PAYLOADS = """pays AS (SELECT DISTINCT sha256('payload-' || page_id % 25) AS sha256, page_id % 25 AS i
+  FROM pages)"""
 
 
 def payload_table(spark, sf):
-    """Payload names of the fixture, five more than were ever seen."""
-    top = events(spark, sf).agg(F.max("k")).select(F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i"))
-    return top.select("i", F.sha2(F.concat(F.lit("payload-"), "i"), 256).alias("sha256"),
-                      F.array(F.concat(F.lit("tag-"), F.col("i") % 3)).alias("behaviour_tags"),
-                      F.element_at(F.array(F.lit("mips"), F.lit("arm"), F.lit(None)),
-                                   (F.col("i") % 3 + 1).cast("int")).alias("arch"))
+    """Names by page number; five were never seen in an event."""
+    i = (F.col("page_id") % 25).alias("i")
+    names = texts(spark, sf, "pages", "page_id").select(i).distinct()
+    return names.select("i", F.sha2(F.concat(F.lit("payload-"), "i"), 256).alias("sha256"),
+                        F.array(F.concat(F.lit("tag-"), F.col("i") % 3)).alias("behaviour_tags"),
+                        F.element_at(F.array(F.lit("mips"), F.lit("arm"), F.lit(None)),
+                                     (F.col("i") % 3 + 1).cast("int")).alias("arch"))
 
 
 @query("payload_sightings", sql("""

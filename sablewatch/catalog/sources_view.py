@@ -212,49 +212,117 @@ def blocklist(spark, sf):
     return X.blocklist_rows(picked(spark, sf))
 
 
+_ISO = """CASE WHEN epoch_us({0}) % 1000000 = 0 THEN strftime({0}, '%Y-%m-%dT%H:%M:%S+00:00')
+  ELSE strftime({0}, '%Y-%m-%dT%H:%M:%S.%f+00:00') END"""
+
+_ZULU = _ISO.replace("+00:00", "Z")
+_DNS = "6BA7B8109DAD11D180B400C04FD430C8"
+
+
+def _uuid5(name: str) -> str:
+    """Name-based id of a text in SQL: SHA-1, version and variant bits set."""
+    h = f"sha1(unhex('{_DNS}' || hex(encode({name}))))"
+    variant = f"substr('89ab', CAST(('0x' || substr({h}, 17, 1)) AS INT) % 4 + 1, 1)"
+    return (f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || "
+            f"{variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))")
+
+
+_MARKED = """marked AS (SELECT picked.*, tags FROM picked LEFT JOIN (
+  SELECT src_ip, list(tag ORDER BY grp, tag) AS tags FROM tagrows WHERE tag IS NOT NULL GROUP BY 1)
+  USING (src_ip))"""
+_STIX = f"""stix AS (SELECT 'indicator' AS type, '2.1' AS spec_version,
+  'indicator--' || {_uuid5("src_ip")} AS id, 'identity--' || {_uuid5("'sensor'")} AS created_by_ref,
+  {_ZULU.format("first_seen")} AS created, {_ZULU.format("last_seen")} AS modified,
+  {_ZULU.format("first_seen")} AS valid_from, 'Attacking address ' || src_ip AS name,
+  'class ' || classification || '; score ' || CAST(round_even(threat_score, 0) AS BIGINT)
+    || '; events ' || event_count || '; sessions ' || sessions || '; services '
+    || replace(services, ',', ' ') AS description,
+  ['malicious-activity'] AS indicator_types,
+  '[ipv4-addr:value = ''' || src_ip || ''']' AS pattern, 'stix' AS pattern_type,
+  CAST(floor(least(threat_score, 100)) AS INTEGER) AS confidence,
+  list_append(coalesce(tags, CAST([] AS VARCHAR[])), classification) AS labels FROM marked)"""
+
+
 @query("stix_indicators", sql("""
-  SELECT src_ip AS name, '[ipv4-addr:value = ''' || src_ip || ''']' AS pattern,
-    CAST(floor(least(threat_score, 100)) AS INTEGER) AS confidence,
-    'class ' || classification || '; score ' || CAST(round_even(threat_score, 0) AS BIGINT)
-      || '; events ' || event_count || '; sessions ' || sessions || '; services '
-      || replace(services, ',', ' ')
-      AS description FROM picked""", *SCORE_CTES, _PICKED))
+  SELECT * REPLACE (array_to_string(labels, ',') AS labels,
+    array_to_string(indicator_types, ',') AS indicator_types) FROM stix""",
+  *SCORE_CTES, _PICKED, _TAGS, _MARKED, _STIX))
 def stix_indicators(spark, sf):
-    return X.stix_indicators(picked(spark, sf)).select(
-        F.substring_index("name", " ", -1).alias("name"), "pattern", "confidence", "description")
+    rows = X.stix_indicators(picked(spark, sf))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("labels", "indicator_types")})
+
 
+@query("stix_bundle", sql(f"""
+  SELECT 0 AS part, '{{"type":"bundle","id":"bundle--' || {_uuid5(f"'sensor ' || {_ZULU.format(AS_OF)}")}
+    || '","objects":[' || to_json({{'type': 'identity', 'spec_version': '2.1',
+      'id': 'identity--' || {_uuid5("'sensor'")}, 'created': {_ZULU.format(AS_OF)},
+      'modified': {_ZULU.format(AS_OF)}, 'name': 'sensor: sensor', 'identity_class': 'system',
+      'description': 'Addresses below were recorded by this sensor.'}}) AS value
+  UNION ALL SELECT 1, ',' || to_json(stix) FROM stix
+  UNION ALL SELECT 2, ']}}'""", *SCORE_CTES, _PICKED, _TAGS, _MARKED, _STIX))
+def stix_bundle(spark, sf):
+    return X.stix_bundle(picked(spark, sf), "sensor", as_of())
 
-@query("misp_attributes", sql("""
-  SELECT src_ip AS value, threat_score >= 70 AS to_ids, 'ip-src' AS type,
-    classification || '; score ' || CAST(round_even(threat_score, 0) AS BIGINT) || '; '
-      || event_count || ' events; services: ' || services AS comment,
-    CAST(epoch_us(last_seen) // 1000000 AS VARCHAR) AS timestamp FROM picked""",
-  *SCORE_CTES, _PICKED))
+
+_MISP = """misp AS (SELECT 'ip-src' AS type, 'Network activity' AS category, src_ip AS value,
+  threat_score >= 70 AS to_ids,
+  classification || '; score ' || CAST(round_even(threat_score, 0) AS BIGINT) || '; '
+    || event_count || ' events; services: ' || services AS comment,
+  CAST(epoch_us(last_seen) // 1000000 AS VARCHAR) AS timestamp FROM picked)"""
+
+
+@query("misp_attributes", sql("SELECT * FROM misp", *SCORE_CTES, _PICKED, _MISP))
 def misp_attributes(spark, sf):
-    return X.misp_attributes(picked(spark, sf)).drop("category")
+    return X.misp_attributes(picked(spark, sf))
 
 
-_ISO = """CASE WHEN epoch_us({0}) % 1000000 = 0 THEN strftime({0}, '%Y-%m-%dT%H:%M:%S+00:00')
-  ELSE strftime({0}, '%Y-%m-%dT%H:%M:%S.%f+00:00') END"""
+@query("misp_event", sql(f"""
+  SELECT 0 AS part, '{{"Event":{{"info":"Sources seen by sensor sensor, '
+    || strftime({AS_OF}, '%Y-%m-%d') || '","date":"' || strftime({AS_OF}, '%Y-%m-%d')
+    || '","threat_level_id":"2","analysis":"2","distribution":"0","Attribute":[' AS value
+  UNION ALL SELECT CASE WHEN value = (SELECT min(value) FROM misp) THEN 1 ELSE 2 END,
+    CASE WHEN value = (SELECT min(value) FROM misp) THEN '' ELSE ',' END || to_json(misp) FROM misp
+  UNION ALL SELECT 3, ']}}}}'""", *SCORE_CTES, _PICKED, _MISP))
+def misp_event(spark, sf):
+    return X.misp_event(picked(spark, sf), "sensor", as_of())
+
+
+@query("blocklist_file", sql(f"""
+  SELECT 0 AS part, '# Addresses to block, listed ' || {_ISO.format(AS_OF)} || chr(10) || '# '
+    || count(*) || ' addresses, all seen by a sensor' || chr(10)
+    || '# Look before use: addresses that many share can be among them' || chr(10) || '#' AS value
+    FROM picked
+  UNION ALL SELECT 1, '# score=' || CAST(round_even(threat_score, 0) AS BIGINT) || ' class='
+    || classification || ' events=' || event_count || ' last=' || strftime(last_seen, '%Y-%m-%d')
+    || chr(10) || src_ip FROM picked""", *SCORE_CTES, _PICKED))
+def blocklist_file(spark, sf):
+    return X.blocklist_file(picked(spark, sf), as_of())
 
 
 @query("event_csv", sql(f"""
-  SELECT event_id, {_ISO.format("ts")} AS ts, service, event_type, username, command, path,
-    asn, session_id FROM ev"""))
+  SELECT event_id, {_ISO.format("ts")} AS ts, sensor, service, event_type, severity, src_ip, src_port,
+    CAST(NULL AS VARCHAR) AS dst_port, username, password, command, http_method, path, user_agent,
+    CAST(NULL AS VARCHAR) AS status_code, country, country_name, CAST(NULL AS VARCHAR) AS city, asn,
+    as_org, threat_score, session_id FROM ev"""))
 def event_csv(spark, sf):
-    return X.event_csv_rows(events(spark, sf)).select(
-        "event_id", "ts", "service", "event_type", "username", "command", "path", "asn",
-        "session_id")
+    return X.event_csv_rows(events(spark, sf)).withColumns(
+        {c: F.col(c).cast("string") for c in ("dst_port", "status_code", "city")})
+
+
+_JSON_FIELDS = ("event_id", "session_id", "sensor", "service", "event_type", "src_ip", "src_port",
+                "username", "password", "command", "http_method", "path", "user_agent",
+                "payload_sha256", "country", "asn", "as_org", "severity")
 
 
-@query("event_json", sql("""
-  SELECT count(*) AS lines, count(DISTINCT event_id) AS ids, count(username) AS usernames
-  FROM ev"""))
+@query("event_json", sql(f"""
+  SELECT {_ISO.format("ts")} AS ts, array_to_string(threat_tags, ',') AS threat_tags, tag AS tags,
+    {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _JSON_FIELDS)} FROM ev"""))
 def event_json(spark, sf):
-    rows = X.event_json_rows(events(spark, sf))
-    field = lambda n: F.get_json_object("value", f"$.{n}")
-    return rows.agg(F.count("*").alias("lines"), F.count_distinct(field("event_id")).alias("ids"),
-                    F.count(field("username")).alias("usernames"))
+    """The lines, read back as a user of the file would read them."""
+    kinds = ", ".join(f"{c} string" for c in (*_JSON_FIELDS, "ts"))
+    row = F.from_json("value", f"{kinds}, threat_tags array<string>, tags array<string>")
+    rows = X.event_json_rows(events(spark, sf)).select(row.alias("r")).select("r.*")
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("threat_tags", "tags")})
 
 
 @query("alert_csv", sql("""

@@ -36,3 +36,18 @@ def chunked_lag(
         .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_chunk", "_lag", "_first", "_carry")
     )
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: str, when: Column, spread: Column) -> DataFrame:
+    """Left join of ``facts`` on the text column ``on``, for the rows where ``when`` holds.
+
+    The other rows get nulls and are dealt out by ``spread``; under one null key
+    they would all meet in one task. ``_asks`` is part of the key, so that no
+    spreading value can match a fact.
+    """
+    asks = F.coalesce(when & F.col(on).isNotNull(), F.lit(False))
+    keyed = rows.withColumn("_asks", asks).withColumn(
+        "_key", F.when(F.col("_asks"), F.col(on)).otherwise(spread.cast("string"))
+    )
+    right = facts.withColumnRenamed(on, "_key").withColumn("_asks", F.lit(True))
+    return keyed.join(right, ["_key", "_asks"], "left").drop("_key", "_asks")

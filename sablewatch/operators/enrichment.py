@@ -38,6 +38,7 @@ from sablewatch.functions.net import (
     parse_network,
     scope_of,
 )
+from sablewatch.functions.skew import join_facts
 from sablewatch.functions.text import name_in_text
 from sablewatch.schemas import column_or_null
 
@@ -375,7 +376,7 @@ def enrich_events(
         *_GEO_FIELDS, "geo_source", "asn", "as_org", "asn_tags", "listed",
     )
     out = events.select(*own).join(facts, "src_ip", "left")
-    out = out.join(classify_agents(events), "user_agent", "left")
+    out = join_facts(out, classify_agents(events), "user_agent", has_text("user_agent"), F.col("event_id"))
     user = username_signals(F.col("username"))
     signals = ["listed", "agent", "user"]
     score = sum((F.coalesce(F.col(f"{s}.ti_score"), F.lit(0.0)) for s in signals), F.lit(0.0))

@@ -39,6 +39,7 @@ from sablewatch.functions.columns import (
     tag_list,
 )
 from sablewatch.functions.net import let
+from sablewatch.functions.skew import join_facts
 from sablewatch.functions.text import percent_decode
 from sablewatch.schemas import column_or_null
 
@@ -227,8 +228,10 @@ def with_first_url(events: DataFrame) -> DataFrame:
         .groupBy("session_id")
         .agg(F.min(position).alias("_first_url"))
     )
+    # Only commands can come later than a URL; the rest keeps out of its session's task.
+    asks = F.col("command").isNotNull()
     return (
-        events.join(first, "session_id", "left")
+        join_facts(events, first, "session_id", asks, F.col("event_id"))
         .withColumn("_later", F.coalesce(position >= F.col("_first_url"), F.lit(False)))
         .drop("_first_url")
     )

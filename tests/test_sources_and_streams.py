@@ -124,6 +124,33 @@ def test_stix_and_blocklist(spark, make_events):
     assert {json.loads(r.value)["type"] for r in bundle} == {"identity", "indicator"}
 
 
+def test_whole_export_files_parse(spark, make_events):
+    as_of = F.lit("2024-01-02").cast("timestamp")
+    sources = rebuild_sources(make_events([{"src_ip": f"192.0.2.{i}"} for i in (1, 2, 3)]), as_of)
+
+    def text(lines):
+        return "".join(r.value for r in lines.orderBy("part").collect())
+
+    for n, some in ((3, sources), (0, sources.filter("false"))):
+        bundle = json.loads(text(X.stix_bundle(some, "s", as_of)))
+        assert bundle["type"] == "bundle" and len(bundle["objects"]) == n + 1
+        event = json.loads(text(X.misp_event(some, "s", as_of)))["Event"]
+        assert event["date"] == "2024-01-02" and len(event["Attribute"]) == n
+        lines = X.blocklist_file(some, as_of).orderBy("part").collect()
+        assert len(lines) == n + 1 and f"# {n} addresses" in lines[0].value
+
+
+def test_facts_are_joined_only_where_asked(spark):
+    from sablewatch.functions.skew import join_facts
+
+    rows = spark.createDataFrame([("1", "a", True), ("a", None, True), ("3", "a", False), ("4", "b", None)],
+                                 "event_id string, k string, ok boolean")
+    facts = spark.createDataFrame([("a", 7)], "k string, fact int")
+    found = join_facts(rows, facts, "k", F.col("ok"), F.col("event_id"))
+    assert {r.event_id: r.fact for r in found.collect()} == {"1": 7, "a": None, "3": None, "4": None}
+    assert found.columns == ["event_id", "k", "ok", "fact"]
+
+
 def test_ingest_detect_and_sessions_from_files(spark, tmp_path):
     """Two arrivals of files, one event repeated, one alert that grows."""
     prefixes = spark.createDataFrame([("45.0.0.0/8", 64500, "Hetzner")],
