@@ -46,7 +46,7 @@ GRAM = 32
 #: Anchor offsets that share a partition.
 CELL = 35
 #: Bytes of text in one suffix array, about; keys are kept whole.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 _OTHER_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 

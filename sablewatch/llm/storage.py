@@ -9,10 +9,26 @@ from contextlib import contextmanager
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
-from sablewatch.session import cut_lineage, shared_folder
+from sablewatch.session import cut_lineage as write_table
+from sablewatch.session import shared_folder
 
 __all__ = ["cut_lineage", "filesystem", "new_file", "read_range", "shared_folder"]
 
+#: Bytes of rows that go to a Python worker at a time, about. Rows of some operators hold
+#: blocks of whole texts, so a batch counted in rows alone could outgrow an executor.
+BATCH_BYTES = 4 << 20
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``session.cut_lineage`` with Arrow batches of ``BATCH_BYTES``."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH_BYTES))
+    try:
+        return write_table(df)
+    finally:
+        conf.set(name, before)
+
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or plain path, and the path in it."""
