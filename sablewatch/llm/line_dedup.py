@@ -16,8 +16,12 @@ short to tell anything.
 3. The others are cut finer, into ``fine`` segments, and meet again under all but
    ``tau`` of them at once. A key names its earliest line, each line is compared
    with that one by a banded bit-parallel edit distance, and only lines without a
-   match are then compared with the rest of their keys. So a passage with thousands
-   of variants is not compared pair by pair.
+   match are then compared with the rest of their keys, pair by pair if these are few.
+4. In a key of many lines (``PAIRS``), the segments left out are all that can differ.
+   Each line lists what these become by up to ``tau`` bytes masked or dropped; two
+   lines are within ``tau`` edits exactly if they list the same string with few enough
+   bytes masked or dropped by both. The earliest line of each string is an aggregate,
+   so a passage with any number of variants makes no pairs.
 
 Null text: no lines, and it stays null. Null doc_id sorts first. Rows equal in id
 and text are one document: each keeps the same lines. Column names of the table do
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sablewatch.llm.bits import passes, send_filter
-from sablewatch.llm.blocks import Block, PieceHash, map_blocks, mix
+from sablewatch.llm.blocks import Block, PieceHash, map_blocks, mix, ragged
 from sablewatch.llm.registry import query, table
 from sablewatch.llm.storage import cut_lineage
 
@@ -44,6 +48,12 @@ TAU = 1
 MIN_BYTES = 40
 #: Segments of the second, finer cut.
 FINE = 8
+#: Lines of a fine key up to which all its pairs are compared.
+PAIRS = 64
+#: Strings listed at a time for crowded keys, about.
+LISTED = 1 << 19
+_MASK, _SEAM = 256, 257
+_TOKEN_VALUES = np.random.Generator(np.random.PCG64(41)).integers(1, 1 << 63, 258, dtype=np.uint64)
 _OTHER_BYTES = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -105,9 +115,12 @@ def coarse_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tau: int
 
 
 def fine_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tau: int, fine: int):
-    """``(key, line)``: all but ``tau`` of ``fine`` segments, as listed and as probed."""
+    """``(key, line, gaps)``: all but ``tau`` of ``fine`` segments, as listed and as probed.
+
+    ``gaps[:, j]`` is start and end of the ``j``-th segment left out, in the line.
+    """
     hashes, length = PieceHash(data), ends - starts
-    keys, lines = [], []
+    keys, lines, gaps = [], [], []
     for delta in range(tau + 1):
         other = length - delta
         which = np.flatnonzero(other >= fine)
@@ -131,7 +144,54 @@ def fine_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tau: int,
                         key = mix(key + piece)
                 keys.append(key[fits])
                 lines.append(which[fits])
-    return np.concatenate(keys), np.concatenate(lines)
+                gap = [[edges[out] + moved[j], edges[out + 1] + moved[j + 1]] for j, out in enumerate(left_out)]
+                gaps.append(np.array(gap, np.int64).reshape(tau, 2, len(which)).transpose(2, 0, 1)[fits])
+    return np.concatenate(keys), np.concatenate(lines), np.concatenate(gaps)
+
+
+def gap_variants(data: np.ndarray, key: np.ndarray, begin: np.ndarray, end: np.ndarray, tau: int):
+    """``(variant, row, dropped, left)``: what gaps become by up to ``tau`` edits.
+
+    Row ``i`` has the gaps ``data[begin[i, j]:end[i, j]]``. A variant is the hash of the
+    key and of the gaps with some bytes masked and some ``dropped``; ``left`` is how
+    many may be dropped on the other side.
+    """
+    # The gaps of a row end to end, each closed by a token of its own.
+    sizes = (end - begin).ravel()
+    tokens = np.full(int(sizes.sum()) + len(sizes), _SEAM, np.int64)
+    closing = np.cumsum(sizes + 1)
+    tokens[ragged(closing - sizes - 1, sizes)] = data[ragged(begin.ravel(), sizes)]
+    per_row = (sizes + 1).reshape(begin.shape).sum(axis=1)
+    stop = np.cumsum(per_row)
+    sums = PieceHash(tokens, _TOKEN_VALUES)
+    powers = np.full(int(per_row.max()) + 1, np.uint64(0x9E3779B97F4A7C15))
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+
+    def joined(value, size, lo, hi):
+        """A hash with ``tokens[lo:hi]`` put behind it."""
+        return value + (sums.prefix[hi] - sums.prefix[lo]) * sums.inverse[lo] * powers[size], size + hi - lo
+
+    row = np.arange(len(key))
+    value, size, at = np.zeros(len(key), np.uint64), np.zeros(len(key), np.int64), stop - per_row
+    dropped, left = np.zeros(len(key), np.int32), np.full(len(key), tau, np.int32)
+    out = []
+    for edits in range(tau + 1):
+        whole, n = joined(value, size, at, stop[row])
+        out.append((mix(mix(whole + n.astype(np.uint64)) ^ key[row]), row, dropped, left))
+        if edits == tau:
+            break
+        of = np.repeat(np.arange(len(row)), stop[row] - at)
+        place = ragged(at, stop[row] - at)
+        byte = tokens[place] != _SEAM
+        of, place = of[byte], place[byte]
+        value, size = joined(value[of], size[of], at[of], place)
+        masked = value + _TOKEN_VALUES[_MASK] * powers[size]
+        row, at = np.tile(row[of], 2), np.tile(place + 1, 2)
+        value, size = np.concatenate([masked, value]), np.concatenate([size + 1, size])
+        left = np.tile(left[of] - np.int32(1), 2)
+        dropped = np.concatenate([dropped[of], dropped[of] + np.int32(1)])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def within_edits(a: bytes, b: bytes, tau: int) -> bool:
@@ -275,7 +335,7 @@ def removed_lines(docs: DataFrame, *, tau: int = TAU, min_bytes: int = MIN_BYTES
             raw = b"".join(batch.column(1).to_pylist())
             sizes = np.array([len(x) for x in batch.column(1).to_pylist()], np.int64)
             ends = np.cumsum(sizes)
-            key, line = fine_keys(np.frombuffer(raw, np.uint8), ends - sizes, ends, tau, fine)
+            key, line, _ = fine_keys(np.frombuffer(raw, np.uint8), ends - sizes, ends, tau, fine)
             if len(key):
                 yield pa.RecordBatch.from_pydict(
                     {"key": _signed(key), "h": batch.column(0).take(line)})
@@ -304,10 +364,49 @@ def removed_lines(docs: DataFrame, *, tau: int = TAU, min_bytes: int = MIN_BYTES
 
     by_head = cut_lineage(check(met))
     # Lines that are not near the earliest line of a key may be near a later one.
-    open_rows = met.filter("n > 2").join(by_head, "h", "left_anti")
-    rest = met.select("key", F.col("h").alias("other"))
+    open_rows = cut_lineage(met.filter("n > 2").join(by_head, "h", "left_anti"))
+    rest = met.filter(F.col("n") <= PAIRS).select("key", F.col("h").alias("other"))
     pairs = open_rows.select("key", "h").join(rest, "key").filter("h != other")
-    near = by_head.unionByName(check(pairs)).distinct().join(lines, "h")
+
+    crowded = open_rows.filter(F.col("n") > PAIRS).select("key").distinct()
+    # A line has few keys: one per choice of segments and shifts.
+    members = (met.join(crowded, "key", "left_semi").groupBy("h").agg(F.collect_set("key").alias("keys"))
+               .join(lines.select("h", "bytes"), "h").select("h", "bytes", "keys"))
+
+    def variants(batches):
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in raw], np.int64)
+            ends = np.cumsum(sizes)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            key, line, gaps = fine_keys(data, ends - sizes, ends, tau, fine)
+            listed = batch.column(2)
+            owner = np.repeat(np.arange(len(raw)), np.array([len(x) for x in listed], np.int64))
+            wanted = listed.flatten().to_numpy().view(np.uint64) ^ mix(owner)
+            own = np.flatnonzero(np.isin(key ^ mix(line), wanted) & (gaps[:, :, 0] <= gaps[:, :, 1]).all(axis=1))
+            key, line, gaps = key[own], line[own], gaps[own] + (ends - sizes)[line[own], None, None]
+            cost = np.cumsum((2 * (gaps[:, :, 1] - gaps[:, :, 0]).sum(axis=1) + 1).astype(float) ** tau)
+            cuts = np.flatnonzero(np.diff(cost // LISTED)) + 1
+            for some in np.split(np.arange(len(key)), cuts):
+                if len(some):
+                    variant, row, dropped, left = gap_variants(
+                        data, key[some], gaps[some, :, 0], gaps[some, :, 1], tau)
+                    yield pa.RecordBatch.from_pydict({
+                        "variant": _signed(variant), "h": batch.column(0).take(pa.array(line[some][row])),
+                        "dropped": dropped, "left": left})
+
+    spread = members.mapInArrow(variants, "variant long, h long, dropped int, left int")
+    common = (spread.groupBy("variant").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+              .filter("lo != hi").select("variant"))
+    live = cut_lineage(spread.join(common, "variant", "left_semi").join(lines.select("h", "first"), "h"))
+    best = live.groupBy("variant").agg(*[
+        F.min(F.when(F.col("dropped") == d, F.struct("first", "h"))).alias(f"best{d}") for d in range(tau + 1)])
+    earlier = F.coalesce(*[
+        F.when((F.col("left") >= d) & (F.col(f"best{d}.first") < F.col("first")), F.col(f"best{d}.h"))
+        for d in range(tau + 1)])
+    told = (live.join(best, "variant").select("h", earlier.alias("other")).filter("other IS NOT NULL")
+            .groupBy("h").agg(F.min("other").alias("other")))
+    near = by_head.unionByName(check(pairs)).unionByName(check(told)).distinct().join(lines, "h")
     return equal.unionByName(near.select("first.*", F.lit(True).alias("near")))
 
 

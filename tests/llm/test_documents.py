@@ -97,6 +97,47 @@ def test_line_dedup(docs, tau):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("tau", [1, 2])
+def test_line_dedup_of_crowded_keys(spark, monkeypatch, tau):
+    """Keys too large for pairs give what pairs give."""
+    rng = random.Random(tau)
+    words = ["", "a", "b", "aa", "ab", "ba", "aba", "bbb", "abcdé", "abcdf", "abxdf"]
+    lines = ["".join(["the first part ", rng.choice(words), " of a shared notice ", rng.choice(words), rng.choice(words), " ends"])
+             for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    seen, want = [], set()
+    for i, line in enumerate(lines):
+        if any(line_dedup.within_edits(line.encode(), s, tau) for s in seen):
+            want.add(i)
+        seen.append(line.encode())
+    monkeypatch.setattr(line_dedup, "PAIRS", 2)
+    got = {r.doc_id for r in line_dedup.removed_lines(docs, tau=tau, min_bytes=12).collect()}
+    assert got == want and 0 < len(want) < 300
+
+
+def test_line_dedup_of_a_line_in_100_000_variants(spark):
+    """One segment differs by several bytes: all pairs of the key would be 5 billion."""
+    rng = random.Random(5)
+    names = ["".join(rng.choice("0123456789abcdef") for _ in range(6)) for _ in range(100_000)]
+    before = "This notice was written for all readers and was last printed on page "
+    text = before + "{} of the same edition, which is kept by the library of the town, with thanks"
+    docs = spark.createDataFrame([(i, text.format(x)) for i, x in enumerate(names)], "doc_id long, text string")
+    seen, equal, near = set(), set(), set()
+    masks = set()
+    for i, name in enumerate(names):
+        own = {(name[:k], name[k + 1 :]) for k in range(6)}
+        if name in seen:
+            equal.add(i)
+        elif own & masks:
+            near.add(i)
+        seen.add(name)
+        masks |= own
+    got = line_dedup.removed_lines(docs.repartition(8)).collect()
+    assert {r.doc_id for r in got if not r.near} == equal
+    assert {r.doc_id for r in got if r.near} == near
+    assert len(near) > 100
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(1500):
