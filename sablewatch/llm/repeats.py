@@ -17,6 +17,10 @@ judged on the input. Suffixes are sorted by the difference-cover algorithm
    windows at similar offsets have in common. There the suffix array of what met is
    built, neighbours are compared over ``length`` bytes, and in each run of equal
    windows all but the earliest go.
+4. A gram with many stretches (``CROWD``), as at the edges of a passage that many
+   documents hold in contexts of their own, would fill one partition. Its partitions are
+   dealt out further by place. Each one removes what repeats in it and passes on the
+   earliest place of each of its windows by hash; the least of these places stands.
 
 The steps are exact up to collisions of 128 bits of hashes.
 
@@ -47,6 +51,8 @@ GRAM = 32
 CELL = 35
 #: Bytes of text in one suffix array, about; keys are kept whole.
 SORT_BYTES = 2 << 20
+#: Stretches of one gram that meet in one partition, about.
+CROWD = 4000
 _OTHER_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -185,12 +191,38 @@ def removed_ranges(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     equal = repeats.filter(~spot.eqNullSafe(F.col("first"))).select(*ranged)
 
     # Step 3: the text of stretches whose gram has several names.
-    mixed = (named.groupBy("gram").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
-             .filter("lo != hi").select("gram"))
-    stand = named.join(mixed, "gram", "left_semi").groupBy("gram", "name").agg(
-        F.min(F.struct("doc_id", "tie", "start", "size", "anchor")).alias("s"))
+    dealt = (deal_pieces(source, named, length, gram, cell)
+             .repartition("key").sortWithinPartitions("key", "doc_id", "tie", "start"))
+
+    def sort_suffixes(batches):
+        for batch in key_batches(batches, SORT_BYTES):
+            yield from later_windows(batch, length)
+
+    sorted_ = cut_lineage(dealt.mapInArrow(
+        sort_suffixes, f"doc_id {id_type}, tie long, start int, end int, w long, w2 long"))
+    differing = sorted_.filter("w IS NULL").select("doc_id", "tie", "start", "end")
+    # Step 4: windows of crowded grams, each once for every partition that holds it.
+    windows = sorted_.filter("w IS NOT NULL")
+    least = (windows.groupBy("w", "w2").agg(F.min(spot).alias("first"), F.count("*").alias("n"))
+             .filter("n > 1").select("w", "w2", "first"))
+    crowded = windows.join(least, ["w", "w2"]).filter(~spot.eqNullSafe(F.col("first"))).select(
+        "doc_id", "tie", "start", "end")
+    return marked.unionByName(equal).unionByName(differing).unionByName(crowded)
+
+
+def deal_pieces(source: DataFrame, named: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
+    """``key, crowded, doc_id, tie, start, bytes``: parts of stretches that differ.
+
+    Equal windows of grams that are not crowded have equal keys.
+    """
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    mixed = (named.groupBy("gram").agg(F.min("name").alias("lo"), F.max("name").alias("hi"),
+                                       F.ceil(F.count("*") / CROWD).cast("int").alias("shares"))
+             .filter("lo != hi").select("gram", "shares"))
+    stand = named.join(mixed, "gram").groupBy("gram", "name").agg(
+        F.min(F.struct("doc_id", "tie", "start", "size", "anchor", "shares")).alias("s"))
     wanted = cut_lineage(stand.groupBy("s.doc_id", "s.tie").agg(
-        F.collect_list(F.struct("s.start", "s.size", "s.anchor", "gram")).alias("parts")))
+        F.collect_list(F.struct("s.start", "s.size", "s.anchor", "gram", "s.shares")).alias("parts")))
     near = send_filter(wanted.select("tie"))
 
     def likely(batches):
@@ -206,39 +238,32 @@ def removed_ranges(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
                 raw = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
                 parts = batch.column(3)[i].values
                 columns = (parts.field(c).to_numpy() for c in ("start", "size", "anchor", "gram"))
-                key, start, size = cells(raw, *columns, length, gram, cell)
+                key, start, size, part = cells(raw, *columns, length, gram, cell)
                 row = np.full(len(key), i)
+                shares = parts.field("shares").to_numpy()[part].astype(np.uint64)
+                tie = np.full(len(key), batch.column(1)[i].as_py(), np.int64).view(np.uint64)
+                share = mix(tie + mix(start)) % shares
+                key = np.where(shares > 1, mix(key + mix(share)), key)
                 yield pa.RecordBatch.from_pydict({
-                    "key": _signed(key), "doc_id": batch.column(0).take(row),
+                    "key": _signed(key), "crowded": shares > 1, "doc_id": batch.column(0).take(row),
                     "tie": batch.column(1).take(row), "start": start.astype(np.int32),
                     "bytes": pa.array([raw[a : a + b].tobytes() for a, b in zip(
                         start.tolist(), size.tolist(), strict=True)], pa.binary())})
 
-    dealt = (texts.select("s.doc_id", "s.tie", "s.text", "parts")
-             .mapInArrow(pieces, f"key long, doc_id {id_type}, tie long, start int, bytes binary")
-             .repartition("key").sortWithinPartitions("key", "doc_id", "tie", "start"))
-
-    def sort_suffixes(batches):
-        for batch in key_batches(batches, SORT_BYTES):
-            out = later_windows(batch, length)
-            if out is not None:
-                yield out
-
-    differing = cut_lineage(dealt.mapInArrow(
-        sort_suffixes, f"doc_id {id_type}, tie long, start int, end int"))
-    return marked.unionByName(equal).unionByName(differing)
+    return texts.select("s.doc_id", "s.tie", "s.text", "parts").mapInArrow(
+        pieces, f"key long, crowded boolean, doc_id {id_type}, tie long, start int, bytes binary")
 
 
 def cells(raw: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, gram: np.ndarray,
           length: int, gram_size: int, cell: int):
-    """``(key, start, size)``: parts of stretches by their windows' offset of the anchor.
+    """``(key, start, size, stretch)``: parts of stretches by their windows' offset of the anchor.
 
     All windows whose anchor lies ``c .. c + cell - 1`` bytes behind their start have
     ``length - cell + 1`` bytes in common; the key is the hash of these and the gram's.
     """
     hashes = PieceHash(raw)
     place = start + anchor
-    keys, starts, sizes = [], [], []
+    keys, starts, sizes, parts = [], [], [], []
     for c in range(0, length - gram_size + 1, cell):
         least = np.maximum(anchor - (size - length), c)
         most = np.minimum(anchor, c + cell - 1)
@@ -248,7 +273,8 @@ def cells(raw: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarr
         keys.append(mix(core ^ gram[own].view(np.uint64)) + np.uint64(c))
         starts.append(place[own] - most[own])
         sizes.append(most[own] - least[own] + length)
-    return np.concatenate(keys), np.concatenate(starts), np.concatenate(sizes)
+        parts.append(own)
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(sizes), np.concatenate(parts)
 
 
 def key_batches(batches, limit: int):
@@ -278,17 +304,22 @@ def key_batches(batches, limit: int):
         yield whole()
 
 
-def later_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
-    """Ranges of the windows that equal an earlier one; rows are in the order of keys."""
+def later_windows(batch: pa.RecordBatch, length: int):
+    """Ranges of the windows that equal an earlier one; rows are in the order of keys.
+
+    Of crowded rows also the other windows, with two hashes each.
+    """
     keys = batch.column(0).to_numpy()
-    # A key of one row has nothing to meet.
+    crowded = batch.column(1).to_numpy(zero_copy_only=False)
+    # A key of one row has nothing to meet here.
     lone = np.ones(len(keys), bool)
     lone[1:] &= keys[1:] != keys[:-1]
     lone[:-1] &= keys[:-1] != keys[1:]
-    batch = batch.filter(pa.array(~lone))
+    stays = ~lone | crowded
+    batch, crowded = batch.filter(pa.array(stays)), crowded[stays]
     if not batch.num_rows:
-        return None
-    raw = batch.column(4).to_pylist()
+        return
+    raw = batch.column(5).to_pylist()
     sizes = np.array([len(r) for r in raw], np.int64)
     text = np.frombuffer(b"".join(raw), np.uint8)
     starts = np.cumsum(sizes) - sizes
@@ -299,20 +330,31 @@ def later_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
     inside = order + length <= (starts + sizes)[owner[order]]
     place, run = order[inside], run[inside]
     own = owner[place]
-    at = place - starts[own] + batch.column(3).to_numpy()[own]
-    turn = _turns(pa.RecordBatch.from_arrays(batch.columns[1:3], names=["doc_id", "tie"]))
+    at = place - starts[own] + batch.column(4).to_numpy()[own]
+    turn = _turns(pa.RecordBatch.from_arrays(batch.columns[2:4], names=["doc_id", "tie"]))
     by = np.lexsort((at, turn[own], run))
     same = np.zeros(len(by), bool)
     same[1:] = run[by[1:]] == run[by[:-1]]
-    if not same.any():
-        return None
     head = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
     # A place that is met twice, as equal rows' places are, is not its own repeat.
     gone = by[(turn[own[head]] != turn[own[by]]) | (at[head] != at[by])]
-    rows, lo, hi = merge_ranges(own[gone], at[gone], at[gone] + length)
-    return pa.RecordBatch.from_pydict({
-        "doc_id": batch.column(1).take(rows), "tie": batch.column(2).take(rows),
-        "start": lo.astype(np.int32), "end": hi.astype(np.int32)})
+
+    def out(rows, lo, hi, w, w2):
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column(2).take(pa.array(rows)), "tie": batch.column(3).take(pa.array(rows)),
+            "start": lo.astype(np.int32), "end": hi.astype(np.int32),
+            "w": pa.array(w, pa.int64()), "w2": pa.array(w2, pa.int64())})
+
+    if len(gone):
+        rows, lo, hi = merge_ranges(own[gone], at[gone], at[gone] + length)
+        yield out(rows, lo, hi, [None] * len(rows), [None] * len(rows))
+    first = by[~same]
+    first = first[crowded[own[first]]]
+    if len(first):
+        ends = place[first] + length
+        yield out(own[first], at[first], at[first] + length,
+                  _signed(PieceHash(text)(place[first], ends)),
+                  _signed(PieceHash(text, _OTHER_BYTES)(place[first], ends)))
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

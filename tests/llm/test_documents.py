@@ -167,6 +167,41 @@ def test_repeats(docs):
     assert repeats.remove_repeats(docs).columns == docs.columns
 
 
+def test_repeats_of_crowded_grams(spark, docs, monkeypatch):
+    """Partitions shared out give what whole ones give."""
+    options = {"length": 40, "gram": 12, "cell": 9}
+    want = {(r.row.doc_id, r.row.text): repeats.kept_bytes((r.row.text or "").encode(), r.ranges)[0]
+            for r in repeats.cut_repeats(docs, **options).collect()}
+    monkeypatch.setattr(repeats, "CROWD", 2)
+    for r in repeats.cut_repeats(docs, **options).collect():
+        assert repeats.kept_bytes((r.row.text or "").encode(), r.ranges)[0] == want[r.row.doc_id, r.row.text]
+
+
+def test_repeats_of_a_passage_in_9_000_contexts(spark, monkeypatch):
+    """No key holds the stretches at the passage's edges from all documents."""
+    rng = random.Random(8)
+    own = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=90))
+    passage = own() + own()[:50]
+    texts = [own() + passage + own() for _ in range(9_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    dealt = []
+    deal = repeats.deal_pieces
+    monkeypatch.setattr(repeats, "deal_pieces", lambda *a: dealt.append(deal(*a)) or dealt[-1])
+    got = {r.row.doc_id: repeats.kept_bytes(r.row.text.encode(), r.ranges)[0].decode()
+           for r in repeats.cut_repeats(docs).collect()}
+    largest = dealt[0].groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert 1000 < largest < repeats.CROWD * 1.2
+    seen = set()
+    for i, text in enumerate(texts):
+        gone = np.zeros(len(text), bool)
+        for at in range(len(text) - 99):
+            window = text[at : at + 100]
+            if window in seen:
+                gone[at : at + 100] = True
+            seen.add(window)
+        assert got[i] == "".join(c for c, g in zip(text, gone, strict=True) if not g)
+
+
 def weighted(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))]
