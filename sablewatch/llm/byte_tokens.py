@@ -40,7 +40,6 @@ def token_table(path: str, with_spans: bool) -> SegmentTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     starts_in = None
     if with_spans:
         spelling = byte_spelling()
