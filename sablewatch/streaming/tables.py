@@ -37,9 +37,9 @@ class SnapshotTable:
     def write(self, version: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(self._folder(version))
 
-    def everything(self) -> DataFrame | None:
-        """All snapshots together: what an append-only table holds."""
-        known = self.versions()
+    def everything(self, before: int | None = None) -> DataFrame | None:
+        """All snapshots (older than ``before``) together: what an append-only table holds."""
+        known = [v for v in self.versions() if before is None or v < before]
         if not known:
             return None
         return self.spark.read.option("basePath", self.path).parquet(

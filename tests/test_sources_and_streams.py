@@ -230,3 +230,18 @@ def test_list_functions_refuse_unknown_sorts(make_events):
                  lambda: timeseries(df, bucket="1m", hours=24 * 365)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_intake_keeps_late_events(spark, tmp_path):
+    """A file that is two hours late loses no row, and a repeated id stays one."""
+    prefixes = spark.createDataFrame([], "prefix string, asn bigint, as_org string")
+    lists = spark.createDataFrame([], "kind string, value string, source string")
+    table = SnapshotTable(spark, str(tmp_path / "events"))
+    arrivals = [[("a", "12:00"), ("b", "12:01")], [("c", "12:30")], [("d", "10:00"), ("d", "10:00"), ("a", "12:00")]]
+    for n, rows in enumerate(arrivals):
+        put(tmp_path / "in", f"{n}.jsonl", "\n".join(json.dumps({
+            "event_id": i, "ts": f"2024-01-01T{at}:00Z", "src_ip": "45.1.1.1", "service": "ssh",
+            "event_type": "auth_attempt"}) for i, at in rows))
+        events = I.stream_events(I.stream_lines(spark, str(tmp_path / "in")))
+        I.ingest(events, table, None, prefixes, lists, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sorted(r.event_id for r in table.everything().collect()) == ["a", "b", "c", "d"]
