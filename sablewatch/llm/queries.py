@@ -7,8 +7,7 @@ from importlib import import_module
 from sablewatch.llm import registry
 
 MODULES = ("repetition", "pieces", "attribution", "token_store", "ordinal", "line_dedup",
-           "near_dedup", "repeats", "packing", "multi_index", "online_packing", "hard_negatives",
-           "conversations")
+           "near_dedup", "repeats", "packing", "multi_index", "online_packing")
 
 
 def load_queries():
