@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sablewatch.llm.blocks import string_column
 from sablewatch.llm.registry import query, table
-from sablewatch.llm.word_payloads import word_payloads
+from sablewatch.llm.id_payloads import id_payloads
 
 CAPACITY = 2_048
 END_ID = 1
@@ -186,7 +186,7 @@ def pack_tokens(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_
     def run(batches):
         from pyspark import TaskContext
 
-        known = word_payloads(path)
+        known = id_payloads(path)
         packing = Run(capacity, max_open)
         number = TaskContext.get().partitionId() << RUN_BITS
         # Row -> [doc id, all its ids, ids not yet returned].
