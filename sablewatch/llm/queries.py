@@ -7,7 +7,8 @@ from importlib import import_module
 from sablewatch.llm import registry
 
 MODULES = ("repetition", "pieces", "attribution", "token_store", "ordinal", "line_dedup",
-           "near_dedup", "repeats", "packing", "multi_index", "online_packing")
+           "near_dedup", "repeats", "packing", "multi_index", "online_packing", "hard_negatives",
+           "conversations")
 
 
 def load_queries():

@@ -11,8 +11,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import types as T
 
+from sablewatch.llm.id_payloads import IdPayloads, chunks
 from sablewatch.llm.online_packing import Levels, Run, op11_sum_of_squares_packing, pack_tokens, settle
-from sablewatch.llm.word_payloads import WordPayloads, chunks
 
 ODD = [None, "", " ", "\n\t", "a", "The Quick  brown", "x\x1cy\x85z q　r", "É é É  ǅ İ ΑΣ ΑΣΑ",
        "<|endoftext|> a<|startoftext|>b <|endo ftext|>", "it's WE'LL 'd 12345 3.14 a1b2", "日本語 😀😀 ‍x ́ y ́z",
@@ -119,11 +119,22 @@ def test_open_windows_are_bounded():
         assert run.levels.open <= 6
 
 
-def test_words_forgotten_and_long_texts(library):
-    known = WordPayloads(public_tokenizers.path("word_bpe_49k.json"), kept=3)
-    text = "one two three four five " * 20
-    assert known.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
-    assert b"".join(p + b" " for p in chunks(b"aa bb cc dd ee", 4)).split() == b"aa bb cc dd ee".split()
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_payloads_equal_the_library(monkeypatch, name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    known, whole = IdPayloads(path, kept=40), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    alphabet = ["a", "B", "é", "É", "ß", "ÿ", "Ñ", "İ", "'s", "'LL", "'", "1", "²", "ª", ".", "<|", "|>", "_", "\u0301", " ", "  ", "\n", "\t",
+                "\xa0", "\x85", "\u3000", "\x1c", "\x00", "日", "😀", "<|endoftext|>", "×", "Σ", "the"]
+    texts = [t or "" for t in ODD] + ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(1500)]
+    for text in texts:
+        assert known.encode(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    monkeypatch.setattr("sablewatch.llm.id_payloads.CHUNK_BYTES", 7)
+    monkeypatch.setattr(chunks, "__defaults__", (7,))
+    for text in texts:
+        assert known.encode(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_odd_tables(spark, library):
