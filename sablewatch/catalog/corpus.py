@@ -365,11 +365,12 @@ TOKENS = """tokens AS (
     UNION ALL SELECT src_ip, 'credentials', uid % 13 || ':' || k // 50 FROM ev WHERE kind = 0
     UNION ALL SELECT src_ip, 'usernames', 'u' || uid % 17 FROM ev WHERE kind = 1
     UNION ALL SELECT src_ip, 'services', service FROM ev
+    UNION ALL SELECT src_ip, 'tags', tag FROM ev WHERE tag <> ''
     UNION ALL SELECT src_ip, 'payloads', payload_sha256 FROM ev WHERE kind = 10 AND k < 10))"""
 _WEIGHTS = ("CASE facet WHEN 'payloads' THEN 3.0 WHEN 'credentials' THEN 2.5 WHEN 'paths' THEN 1.5 "
             "WHEN 'services' THEN 0.25 ELSE 1.0 END")
 EDGES = f"""sizes AS (SELECT src_ip, facet, count(*) AS n FROM tokens GROUP BY 1, 2),
-  ips AS (SELECT DISTINCT src_ip FROM tokens WHERE facet <> 'services'),
+  ips AS (SELECT DISTINCT src_ip FROM tokens WHERE facet NOT IN ('services', 'tags')),
   common AS (SELECT a.src_ip AS a, b.src_ip AS b, a.facet, count(*) AS both FROM tokens a
     JOIN tokens b ON a.facet = b.facet AND a.value = b.value AND a.src_ip < b.src_ip
     GROUP BY 1, 2, 3),
@@ -382,7 +383,7 @@ EDGES = f"""sizes AS (SELECT src_ip, facet, count(*) AS n FROM tokens GROUP BY 1
     LEFT JOIN sizes t ON t.src_ip = y.src_ip AND t.facet = f.facet
     LEFT JOIN common c ON c.a = x.src_ip AND c.b = y.src_ip AND c.facet = f.facet
     GROUP BY 1, 2),
-  edges AS (SELECT * FROM scores WHERE score >= 0.45)"""
+  edges AS (SELECT * FROM scores WHERE score >= 0.35 - 1e-9)"""
 
 
 def tokens(spark, sf):
@@ -395,6 +396,7 @@ def tokens(spark, sf):
         cell(kind == 0, "credentials", F.concat_ws(":", F.col("uid") % 13, F.floor(k / 50))),
         cell(kind == 1, "usernames", F.concat(F.lit("u"), F.col("uid") % 17)),
         cell(F.lit(True), "services", F.col("service")),
+        cell(F.size("tags") > 0, "tags", F.get("tags", 0)),
         cell((kind == 10) & (k < 10), "payloads", F.col("payload_sha256")),
     ))
     rows = ev.select("src_ip", F.explode(cells).alias("c")).select("src_ip", "c.*").distinct()
@@ -403,30 +405,33 @@ def tokens(spark, sf):
 
 @query("fingerprints", sql("SELECT facet, count(*) AS tokens, count(DISTINCT value) AS uniq "
                            "FROM tokens WHERE src_ip IN (SELECT src_ip FROM tokens "
-                           "WHERE facet <> 'services') GROUP BY 1", TOKENS))
+                           "WHERE facet NOT IN ('services', 'tags')) GROUP BY 1", TOKENS))
 def fingerprints(spark, sf):
     return tokens(spark, sf).groupBy("facet").agg(
         F.count("*").alias("tokens"), F.count_distinct("value").alias("uniq"))
 
 
 @query("fingerprint_tokens", sql("""
-  SELECT src_ip, facet, count(DISTINCT v) AS n FROM (
+  SELECT DISTINCT src_ip, facet, v AS value FROM (
     SELECT src_ip, 'credentials' AS facet, username || ':' || password AS v FROM ev
       WHERE username IS NOT NULL AND password IS NOT NULL
     UNION ALL SELECT src_ip, 'payloads', payload_sha256 FROM ev WHERE payload_sha256 IS NOT NULL
-    UNION ALL SELECT src_ip, 'services', service FROM ev)
-  GROUP BY 1, 2"""))
+    UNION ALL SELECT src_ip, 'services', service FROM ev
+    UNION ALL SELECT src_ip, facet, v FROM (
+      SELECT src_ip, facet, v, row_number() OVER (PARTITION BY src_ip, facet ORDER BY count(*) DESC, v) AS rn
+      FROM (SELECT src_ip, 'usernames' AS facet, username AS v FROM ev WHERE username <> ''
+        UNION ALL SELECT src_ip, 'paths', path FROM ev WHERE path <> '') GROUP BY 1, 2, 3) WHERE rn <= 10)"""))
 def fingerprint_tokens(spark, sf):
+    """Five facets as values; the tags, which the score derives, are checked by source_tags."""
     from sablewatch.catalog.sources_view import sources
 
     rows = C.fingerprint_tokens(sources(spark, sf), events(spark, sf))
-    return rows.filter(F.col("facet").isin("credentials", "payloads", "services")).groupBy(
-        "src_ip", "facet").agg(F.count("*").alias("n"))
+    return rows.filter(F.col("facet") != "tags")
 
 
 @query("similarity_edges", sql("SELECT a, b, round(score, 6) AS score FROM edges", TOKENS, EDGES))
 def similarity_edges(spark, sf):
-    return C.similarity_edges(tokens(spark, sf), 0.45, hot_df=20).select(
+    return C.similarity_edges(tokens(spark, sf)).select(
         "a", "b", F.round("score", 6).alias("score"))
 
 
@@ -458,7 +463,7 @@ def _campaigns(spark, sf):
         F.count("*").alias("event_count"), F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"), F.max("asn").alias("asn"),
         F.max("country").alias("country"), F.lit("probe").alias("classification"))
-    return C.find_campaigns(tokens(spark, sf), table, 0.45, 2, hot_df=20)
+    return C.find_campaigns(tokens(spark, sf), table)
 
 
 @query("campaign_facts", _recursive("""
@@ -473,12 +478,11 @@ def campaign_facts(spark, sf):
 
 
 @query("campaign_shared_values", _recursive("""
-  SELECT campaign, facet, string_agg(value, ',' ORDER BY value) AS shared FROM (
-    SELECT campaign, facet, value, row_number() OVER (PARTITION BY campaign, facet ORDER BY value)
-      AS rn FROM (SELECT campaign, facet, value, count(*) AS n FROM comps JOIN tokens USING (src_ip)
-        WHERE facet IN ('credentials', 'payloads', 'paths') GROUP BY 1, 2, 3)
-    JOIN (SELECT campaign, count(*) AS size FROM comps GROUP BY 1) USING (campaign)
-    WHERE n = size) WHERE rn <= 20 GROUP BY 1, 2""", TOKENS, EDGES, _REACH))
+  SELECT campaign, facet, string_agg(value, ',' ORDER BY value) AS shared
+  FROM (SELECT campaign, facet, value, count(*) AS n FROM comps JOIN tokens USING (src_ip)
+    WHERE facet IN ('credentials', 'payloads', 'paths') GROUP BY 1, 2, 3)
+  JOIN (SELECT campaign, count(*) AS size FROM comps GROUP BY 1) USING (campaign)
+  WHERE n = size GROUP BY 1, 2""", TOKENS, EDGES, _REACH))
 def campaign_shared_values(spark, sf):
     found, _ = _campaigns(spark, sf)
     cells = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f"shared_{f}").alias("vs"))
