@@ -1,9 +1,8 @@
 """Windowed detection: rule conditions, sliding peaks, alert assembly.
 
-Rules of one family (whole-group, count, distinct) are matched in one scan.
-Two aggregations with map-side combine decide
-which (rule, key, time bucket) can reach its threshold; only those rows are
-sorted. No step keeps all rows of a key in one task.
+All rules are matched in one scan and counted into cells by one aggregation. Sums per
+time bucket decide which (rule, key, bucket) can reach its threshold; only those become
+segments of a tree and are folded. No step keeps all rows of a key in one task.
 """
 
 from __future__ import annotations
@@ -131,87 +130,125 @@ def _slot(events: DataFrame, rule: Rule) -> Column:
 
 
 # --------------------------------------------------------------------------- #
-# Sliding peaks
+# Cells: one scan and one aggregation for all rules
 # --------------------------------------------------------------------------- #
 
 _RK = ["rule_id", "key"]
+_TYPES = {"threshold": 0, "distinct": 1, "match": 2, "ratio": 2}
 
 
-def _steps_for_counts(hits: DataFrame) -> DataFrame:
+def rule_cells(events: DataFrame, rules: Sequence[Rule], only: DataFrame | None = None) -> DataFrame:
+    """``rule_id, key, kind, w, value, cell, n, num, lo, hi``: what all rules need of the events.
+
+    One scan, one explode and one aggregation with map-side combine. ``kind`` is 0 for a
+    sliding count (a cell is an instant), 1 for a sliding distinct (a value in a bucket
+    as wide as the window) and 2 for match and ratio rules (a cell is the whole group).
+    """
+    kinds = literal_map({r.id: _TYPES[r.type] for r in rules if r.enabled} or {"": 2})
+    hits = rule_hits(events, rules, only=only).withColumn("kind", F.element_at(kinds, F.col("rule_id")))
+    slot = (F.when(F.col("kind") == 0, F.col("t"))
+            .when(F.col("kind") == 1, F.floor(F.col("t") / F.col("w"))).otherwise(F.lit(0)))
+    value = F.when(F.col("kind") == 1, F.col("value"))
+    return (
+        hits.filter((F.col("kind") != 1) | F.col("value").isNotNull())
+        .groupBy(*_RK, "kind", "w", value.alias("value"), slot.alias("cell"))
+        .agg(F.count("*").alias("n"), F.sum("hit").alias("num"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    )
+
+
+def _count_steps(cells: DataFrame) -> DataFrame:
     """Every event counts from ``t`` to ``t + w`` inclusive."""
-    per_instant = hits.groupBy(*_RK, "w", "t").agg(F.count("*").alias("n"))
-    return per_instant.select(
-        *_RK,
-        "w",
-        F.explode(
-            F.array(
-                F.struct(F.col("t").alias("at"), F.col("n").alias("delta")),
-                F.struct((F.col("t") + F.col("w") + 1).alias("at"), (-F.col("n")).alias("delta")),
-            )
-        ).alias("s"),
-    ).select(*_RK, "w", "s.at", "s.delta")
+    up = F.struct(F.col("cell").alias("at"), F.col("n").alias("delta"))
+    down = F.struct((F.col("cell") + F.col("w") + 1).alias("at"), (-F.col("n")).alias("delta"))
+    return (cells.filter("kind = 0").select(*_RK, "w", F.explode(F.array(up, down)).alias("s"))
+            .select(*_RK, "w", "s.*"))
 
 
-def _steps_for_distinct(hits: DataFrame) -> DataFrame:
+def _distinct_steps(cells: DataFrame) -> DataFrame:
     """Every run of one value with gaps of at most ``w`` counts once.
 
-    Two sightings in one bucket of width ``w`` are always in the same run, so
-    (key, value, bucket) collapses to its first and last time in a plain hash
-    aggregate; the window then sees one row per bucket, not per event.
+    A bucket is as wide as the window: two sightings in one are in the same run, and
+    only the neighbouring buckets can continue it. So each cell tells both neighbours
+    its first and last time, and one aggregation by (value, bucket) gives the edges of
+    the runs. A value with a third of all rows is never sorted.
     """
-    cells = (
-        hits.filter(F.col("value").isNotNull())
-        .groupBy(*_RK, "value", "w", F.floor(F.col("t") / F.col("w")).alias("b"))
-        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    )
-    order = by_key([*_RK, "value", "w"]).orderBy("b")
-    edges = cells.withColumn("prev_hi", F.lag("hi").over(order)).withColumn(
-        "next_lo", F.lead("lo").over(order)
+    cells = cells.filter("kind = 1")
+    told = F.explode(F.array(
+        F.struct(F.col("cell").alias("b"), F.col("lo"), F.col("hi"), F.lit(None).cast("long").alias("before"),
+                 F.lit(None).cast("long").alias("behind")),
+        F.struct((F.col("cell") + 1).alias("b"), F.lit(None).cast("long").alias("lo"),
+                 F.lit(None).cast("long").alias("hi"), F.col("hi").alias("before"),
+                 F.lit(None).cast("long").alias("behind")),
+        F.struct((F.col("cell") - 1).alias("b"), F.lit(None).cast("long").alias("lo"),
+                 F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("before"),
+                 F.col("lo").alias("behind")))).alias("c")
+    edges = (
+        cells.select(*_RK, "w", "value", told).groupBy(*_RK, "w", "value", "c.b")
+        .agg(*[F.max(f"c.{c}").alias(c) for c in ("lo", "hi", "before", "behind")])
+        .filter("lo IS NOT NULL")
     )
-    opens = F.when(
-        F.col("prev_hi").isNull() | (F.col("lo") - F.col("prev_hi") > F.col("w")),
-        F.struct(F.col("lo").alias("at"), F.lit(1).cast("bigint").alias("delta")),
-    )
-    shuts = F.when(
-        F.col("next_lo").isNull() | (F.col("next_lo") - F.col("hi") > F.col("w")),
-        F.struct(
-            (F.col("hi") + F.col("w") + 1).alias("at"), F.lit(-1).cast("bigint").alias("delta")
-        ),
-    )
-    return edges.select(
-        *_RK, "w", F.explode(F.array_compact(F.array(opens, shuts))).alias("s")
-    ).select(*_RK, "w", "s.at", "s.delta")
+    far = lambda gap: gap.isNull() | (gap > F.col("w"))
+    opens = F.when(far(F.col("lo") - F.col("before")),
+                   F.struct(F.col("lo").alias("at"), F.lit(1).cast("bigint").alias("delta")))
+    shuts = F.when(far(F.col("behind") - F.col("hi")),
+                   F.struct((F.col("hi") + F.col("w") + 1).alias("at"), F.lit(-1).cast("bigint").alias("delta")))
+    return (edges.select(*_RK, "w", F.explode(F.array_compact(F.array(opens, shuts))).alias("s"))
+            .select(*_RK, "w", "s.*"))
+
+
+# --------------------------------------------------------------------------- #
+# Sliding peaks: a tree of mergeable segments
+# --------------------------------------------------------------------------- #
+
+#: Children of a segment: buckets of a window's width are cut twice by this.
+_FAN = 1024
+
+
+def _folded(segments: DataFrame, parent: list[str], order: str) -> DataFrame:
+    """Neighbouring segments as one: ``net, peak, place`` per ``parent``.
+
+    A segment is (sum of its steps, its largest prefix sum, where that is first
+    reached). Two neighbours make (a + b, max(peak a, a + peak b), its place): the
+    sums before a child come from a window over at most ``_FAN`` rows, or over one
+    row per bucket of a key.
+    """
+    before = by_key(parent).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    shifted = segments.withColumn("peak", F.coalesce(F.sum("net").over(before), F.lit(0)) + F.col("peak"))
+    return shifted.groupBy(*parent, "w").agg(
+        F.sum("net").alias("net"), F.max(F.struct("peak", (-F.col("place")).alias("neg"))).alias("p")
+    ).select(*parent, "w", "net", F.col("p.peak").alias("peak"), (-F.col("p.neg")).alias("place"))
 
 
 def _peaks(steps: DataFrame, thresholds: Column) -> DataFrame:
     """Highest running sum per (rule, key) and the first time it is reached.
 
-    A prefix sum in two levels: bucket totals first (hash aggregate), a running
-    sum over those totals, then a sort only inside buckets that can still reach
-    the threshold. A hot key is spread over its buckets.
+    Sums per bucket of a window's width tell which buckets can reach the threshold;
+    the steps of these become segments of a 2**20th of the window, folded twice into
+    buckets and once into keys. A flood inside one window is thus spread over its
+    segments, and no task sorts a key or a window as a whole.
     """
     steps = steps.withColumn("b", F.floor(F.col("at") / F.col("w")))
-    totals = steps.groupBy(*_RK, "b").agg(
+    totals = steps.groupBy(*_RK, "w", "b").agg(
         F.sum("delta").alias("net"),
         F.sum(F.greatest("delta", F.lit(0))).alias("gain"),
     )
     before = by_key(_RK).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    live = (
-        totals.withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
-        .filter(F.col("base") + F.col("gain") >= thresholds)
-        .select(*_RK, "b", "base")
-    )
-    inside = by_key([*_RK, "b"]).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    running = (
+    based = totals.withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
+    live = based.filter(F.col("base") + F.col("gain") >= thresholds).select(*_RK, "b", "base")
+    leaf = F.greatest(F.floor(F.col("w") / (_FAN * _FAN)), F.lit(1))
+    instants = (
         steps.join(live, [*_RK, "b"])
-        .groupBy(*_RK, "b", "base", "w", "at")
-        .agg(F.sum("delta").alias("delta"))
-        .withColumn("n", F.col("base") + F.sum("delta").over(inside))
-        .filter(F.col("n") >= thresholds)
-    )
-    best = running.groupBy(*_RK, "w").agg(
-        F.max(F.struct(F.col("n"), (-F.col("at")).alias("neg"))).alias("p")
+        .groupBy(*_RK, "w", "b", "base", "at").agg(F.sum("delta").alias("net"))
+        .withColumn("leaf", F.floor((F.col("at") - F.col("b") * F.col("w")) / leaf))
+        .withColumn("branch", F.floor(F.col("leaf") / _FAN))
+        .withColumn("peak", F.col("net")).withColumn("place", F.col("at"))
     )
+    path = [*_RK, "b", "base"]
+    leaves = _folded(instants, [*path, "branch", "leaf"], "at")
+    branches = _folded(leaves, [*path, "branch"], "leaf")
+    buckets = _folded(branches, path, "branch").withColumn("n", F.col("base") + F.col("peak"))
+    best = buckets.filter(F.col("n") >= thresholds).groupBy(*_RK, "w").agg(
+        F.max(F.struct("n", (-F.col("place")).alias("neg"))).alias("p"))
     return best.select(
         *_RK,
         F.col("p.n").cast("double").alias("observed"),
@@ -220,59 +257,40 @@ def _peaks(steps: DataFrame, thresholds: Column) -> DataFrame:
     )
 
 
-def _group_spans(hits: DataFrame, ratio_thresholds: dict[str, float]) -> DataFrame:
+def _group_spans(cells: DataFrame, ratio_thresholds: dict[str, float]) -> DataFrame:
     """match and ratio rules: the whole group is the span."""
-    grouped = hits.groupBy(*_RK).agg(
-        F.count("*").alias("n"),
-        F.sum("hit").alias("num"),
-        F.min("t").alias("span_lo"),
-        F.max("t").alias("span_hi"),
-    )
     share = F.col("num") / F.col("n")
     need = F.try_element_at(literal_map(ratio_thresholds), F.col("rule_id")) \
         if ratio_thresholds else F.lit(None).cast("double")
-    return grouped.filter(need.isNull() | (share >= need)).select(
+    return cells.filter("kind = 2").filter(need.isNull() | (share >= need)).select(
         *_RK,
         F.when(need.isNull(), F.col("n").cast("double"))
         .otherwise(F.bround(share, 4))
         .alias("observed"),
-        "span_lo",
-        "span_hi",
+        F.col("lo").alias("span_lo"),
+        F.col("hi").alias("span_hi"),
     )
 
 
 def fired_spans(
     events: DataFrame, rules: Sequence[Rule], only: DataFrame | None = None
 ) -> DataFrame:
-    """``rule_id, key, observed, span_lo, span_hi`` of everything that fired."""
+    """``rule_id, key, observed, span_lo, span_hi`` of everything that fired.
+
+    The cells of all rules are counted at once and stored; match and ratio rules are
+    finished by that pass, the windows work on the stored cells.
+    """
     rules = [r for r in rules if r.enabled]
-    by_type = {k: [r for r in rules if r.type == k] for k in
-               ("threshold", "distinct", "match", "ratio")}
-    parts = []
-    whole = by_type["match"] + by_type["ratio"]
-    if whole:
-        ratios = {r.id: float(r.threshold) for r in by_type["ratio"]}
-        parts.append(_group_spans(rule_hits(events, whole, only=only), ratios))
-    steps = []
-    if by_type["threshold"]:
-        steps.append(_steps_for_counts(rule_hits(events, by_type["threshold"], only=only)))
-    if by_type["distinct"]:
-        steps.append(_steps_for_distinct(rule_hits(events, by_type["distinct"], only=only)))
-    if steps:
-        windowed = by_type["threshold"] + by_type["distinct"]
-        need = F.element_at(
-            literal_map({r.id: float(r.threshold) for r in windowed}), F.col("rule_id")
-        )
-        parts.append(_peaks(reduce(DataFrame.unionByName, steps), need))
-    if not parts:
-        empty = rule_hits(events, [])
-        return empty.select(
-            *_RK,
-            F.lit(0.0).alias("observed"),
-            F.col("t").alias("span_lo"),
-            F.col("t").alias("span_hi"),
-        )
-    return reduce(DataFrame.unionByName, parts)
+    cells = cut_lineage(rule_cells(events, rules, only))
+    ratios = {r.id: float(r.threshold) for r in rules if r.type == "ratio"}
+    spans = _group_spans(cells, ratios)
+    windowed = {r.id: float(r.threshold) for r in rules if r.type in ("threshold", "distinct")}
+    if not windowed:
+        return spans
+    steps = [build(cells) for build, kind in ((_count_steps, "threshold"), (_distinct_steps, "distinct"))
+             if any(r.type == kind for r in rules)]
+    need = F.element_at(literal_map(windowed), F.col("rule_id"))
+    return spans.unionByName(_peaks(reduce(DataFrame.unionByName, steps), need))
 
 
 # --------------------------------------------------------------------------- #

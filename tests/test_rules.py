@@ -125,3 +125,30 @@ def test_evidence_is_bounded(make_events):
     assert e.matching_events == 60 and len(e.sample_event_ids) == 5
     assert e.commands == [f"c{i:03d}" for i in range(10)]
     assert e.paths_sample == [f"/{i:03d}" for i in range(25)]
+
+
+def test_a_flood_inside_one_window_is_spread(spark):
+    """A third of the rows from one source within seconds; a hot value all the time."""
+    from pyspark.sql import functions as F
+
+    from sablewatch.operators import rules as R
+
+    n = 30_000
+    flood = spark.range(n).selectExpr(
+        "concat('e', id) AS event_id", "timestamp_micros(1704067200000000 + id * 97) AS ts", "'a' AS src_ip", "'x' AS username")
+    rest = spark.range(2 * n).selectExpr(
+        "concat('f', id) AS event_id", "timestamp_micros(1704067200000000 + id * 1000000) AS ts",
+        "concat('s', id % 50) AS src_ip", "if(id % 3 = 0, 'x', concat('u', id % 7)) AS username")
+    events = flood.unionByName(rest)
+    rules = [Rule("n", "n", "high", "threshold", window_minutes=5, threshold=6),
+             Rule("d", "d", "high", "distinct", window_minutes=60, threshold=2, distinct_field="username"),
+             Rule("m", "m", "low", "match"), Rule("r", "r", "low", "ratio", threshold=0.3, numerator_where={"username": "x"})]
+    cells = R.rule_cells(events, rules)
+    steps = R._count_steps(cells).filter("key = 'a'").withColumn("b", F.floor(F.col("at") / F.col("w")))
+    leaf = F.floor((F.col("at") - F.col("b") * F.col("w")) / F.greatest(F.floor(F.col("w") / 2**20), F.lit(1)))
+    assert steps.groupBy("b", leaf).count().agg(F.max("count")).first()[0] < 2 * n / 16
+    got = {(r.rule_id, r.key): r for r in fired_spans(events, rules).collect()}
+    assert got["n", "a"].observed == n and got["m", "a"].observed == n and got["r", "a"].observed == 1.0
+    assert got["n", "a"].span_hi == 1704067200000000 + (n - 1) * 97
+    assert got["n", "s0"].observed == 7  # every 50 seconds, closed window of 300
+    assert got["d", "s1"].observed == len({"x" if i % 3 == 0 else f"u{i % 7}" for i in range(1, 3600, 50)})
