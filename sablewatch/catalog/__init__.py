@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "statistics", "sources_view", "signals", "corpus")
+MODULES = ("detection", "statistics", "sources_view", "signals", "corpus", "streams")
 
 
 def load_catalog():

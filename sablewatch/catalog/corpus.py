@@ -1,16 +1,15 @@
-"""Payload corpus, campaign and streaming queries."""
+"""Payload corpus and campaign queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sablewatch.catalog.adapter import events, project_events, sql, texts
-from sablewatch.catalog.detection import fixture_rules
+from sablewatch.catalog.adapter import events, sql, texts
 from sablewatch.catalog.registry import query
 from sablewatch.functions.columns import micros
 from sablewatch.operators import campaigns as C
 from sablewatch.operators import payloads as P
-from sablewatch.session import shared_folder, use_utc
+from sablewatch.session import shared_folder
 from sablewatch.sources.sinks import read_events
 
 # --------------------------------------------------------------------------- #
@@ -493,70 +492,10 @@ def campaign_shared_values(spark, sf):
 
 
 # --------------------------------------------------------------------------- #
-# Streaming
+# Event table
 # --------------------------------------------------------------------------- #
 
 
-def event_stream(spark, sf):
-    use_utc(spark)
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return project_events(raw)
-
-
-@query("stream_hourly_counts", sql("""
-  SELECT epoch_us(ts) // 3600000000 * 3600000000 AS bucket_us, service AS series, count(*) AS n
-  FROM ev GROUP BY 1, 2"""))
-def stream_hourly_counts(spark, sf):
-    from sablewatch.streaming.ingest import tumbling_counts
-
-    folder = shared_folder(spark, "stream")
-    counts = tumbling_counts(event_stream(spark, sf))
-
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(f"{folder}/counts")
-
-    (counts.writeStream.outputMode("complete").foreachBatch(keep)
-     .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-     .awaitTermination())
-    return spark.read.parquet(f"{folder}/counts").select(
-        micros("bucket").alias("bucket_us"), "series", "n")
-
-
-@query("stream_detection", sql("""
-  SELECT rule_id, key, count(*) AS hit_count FROM (
-    SELECT 'shell_access_granted' AS rule_id, session_id AS key FROM ev
-      WHERE event_type = 'auth_success'
-    UNION ALL SELECT 'log4shell_attempt', src_ip FROM ev WHERE tag = 'log4shell') GROUP BY 1, 2"""))
-def stream_detection(spark, sf):
-    from sablewatch.streaming.ingest import run_batches
-    from sablewatch.streaming.live import detection_step
-    from sablewatch.streaming.tables import SnapshotTable
-
-    folder = shared_folder(spark, "stream")
-    rules = [r for r in fixture_rules() if r.id in ("shell_access_granted", "log4shell_attempt")]
-    alerts, feed = (SnapshotTable(spark, f"{folder}/{n}") for n in ("alerts", "feed"))
-    step = detection_step(lambda: events(spark, sf), rules, alerts, feed, hours=24 * 60)
-    run_batches(event_stream(spark, sf), step, f"{folder}/cp", once=True).awaitTermination()
-    return alerts.latest().select(
-        "rule_id", F.col("evidence.group_value").alias("key"), "hit_count")
-
-
-@query("stream_sessions", sql("""
-  SELECT session_id, count(*) AS event_count,
-    count(*) FILTER (event_type = 'command') AS commands_run FROM ev GROUP BY 1"""))
-def stream_sessions(spark, sf):
-    from sablewatch.streaming.ingest import run_batches
-    from sablewatch.streaming.live import session_step
-    from sablewatch.streaming.tables import SnapshotTable
-
-    folder = shared_folder(spark, "stream")
-    table = SnapshotTable(spark, f"{folder}/sessions")
-    run_batches(event_stream(spark, sf), session_step(table), f"{folder}/cp",
-                once=True).awaitTermination()
-    return table.latest().select("session_id", "event_count", "commands_run")
-
-
 @query("event_table", sql("SELECT session_id, count(*) AS events FROM ev GROUP BY 1"))
 def event_table(spark, sf):
     """Written by day and read back with a day filter that prunes folders."""

@@ -26,33 +26,35 @@ _TOP = {"username": "top_usernames", "password": "top_passwords", "path": "top_p
 _GEO = ("country", "country_name", "latitude", "longitude")
 
 
-def _facet_table(events: DataFrame) -> DataFrame:
-    """``src_ip, facet, value, n``: every distinct count and top list comes from this.
+def facet_counts(events: DataFrame) -> DataFrame:
+    """``src_ip, facet, value, n``: every distinct count and list of a source comes from this.
 
     One explode and one combining aggregate replace a multi-distinct expand
     and a window per field; the shuffle key includes the value, so a hot
-    source is spread out.
+    source is spread out. Enrichment tags worth showing are the facet ``carried``.
     """
-    cells = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    has_text(column_or_null(events, f)),
-                    F.struct(
-                        F.lit(f).alias("facet"), column_or_null(events, f).cast("string").alias("value")
-                    ),
-                )
-                for f in _FACETS
-            ]
-        )
-    )
+    cell = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.cast("string").alias("value"))
+    own = [F.when(has_text(column_or_null(events, f)), cell(f, column_or_null(events, f))) for f in _FACETS]
+    tags = strings_or_empty(column_or_null(events, "threat_tags", "array<string>"))
+
+    def wanted(tag: Column) -> Column:
+        out = F.lit(False)
+        for prefix in CARRIED_TAG_PREFIXES:
+            out = out | tag.startswith(prefix)
+        return F.coalesce(out, F.lit(False))
+
+    carried = F.transform(F.filter(F.array_distinct(tags), wanted), lambda t: cell("carried", t))
     return (
-        events.select("src_ip", F.explode(cells).alias("c"))
+        events.select("src_ip", F.explode(F.concat(F.array_compact(F.array(*own)), carried)).alias("c"))
         .groupBy("src_ip", F.col("c.facet").alias("facet"), F.col("c.value").alias("value"))
         .agg(F.count("*").alias("n"))
     )
 
 
+def merge_facets(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("src_ip", "facet", "value").agg(F.sum("n").alias("n"))
+
+
 def _tag_flags(events: DataFrame) -> list[Column]:
     """Per-source facts about a fixed tag vocabulary, as mergeable flags."""
     tags = strings_or_empty(column_or_null(events, "tags", "array<string>"))
@@ -70,9 +72,15 @@ def _tag_flags(events: DataFrame) -> list[Column]:
     ]
 
 
-def source_facts(events: DataFrame) -> DataFrame:
-    """Everything the roll-up, score and class need, one row per source."""
-    order = F.struct("ts", "event_id")
+_SUMS = ("event_count", "auth_attempts", "auth_successes", "commands_run", "uploads", "high_events",
+         "payload_fetches")
+_LARGEST = ("last_seen", "worst_rank", "max_intel")
+_LEAST = ("first_seen", "geo_at", "network_at")
+
+
+def base_facts(events: DataFrame) -> DataFrame:
+    """Counts, spans and flags of every source, all of which more events can be added to."""
+    order = (F.col("ts"), F.col("event_id"))
     rank = severity_rank(column_or_null(events, "severity"))
     col = lambda n, t="string": column_or_null(events, n, t)
     geo = F.struct(
@@ -80,10 +88,10 @@ def source_facts(events: DataFrame) -> DataFrame:
         col("country_name").alias("country_name"),
         col("latitude", "double").alias("latitude"),
         col("longitude", "double").alias("longitude"),
-    )
-    network = F.struct(col("asn", "bigint").alias("asn"), col("as_org").alias("as_org"))
+    ).alias("geo")
+    network = F.struct(col("asn", "bigint").alias("asn"), col("as_org").alias("as_org")).alias("network")
     is_type = lambda t: F.count_if(F.col("event_type") == t)
-    base = events.groupBy("src_ip").agg(
+    return events.groupBy("src_ip").agg(
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         F.count("*").alias("event_count"),
@@ -94,20 +102,36 @@ def source_facts(events: DataFrame) -> DataFrame:
         F.coalesce(F.max(rank), F.lit(0)).alias("worst_rank"),
         F.count_if(rank >= 3).alias("high_events"),
         F.coalesce(F.max(col("threat_score", "double")), F.lit(0.0)).alias("max_intel"),
-        F.min_by(geo, F.when(has_text(col("country")), order)).alias("geo"),
-        F.min_by(network, F.when(col("asn", "bigint") != 0, order)).alias("network"),
+        # The earliest event that knows a place or network decides it.
+        F.min(F.when(has_text(col("country")), F.struct(*order, geo))).alias("geo_at"),
+        F.min(F.when(col("asn", "bigint") != 0, F.struct(*order, network))).alias("network_at"),
         *_tag_flags(events),
     )
-    facets = _facet_table(events)
+
+
+def merge_facts(rows: DataFrame) -> DataFrame:
+    """Facts of equal sources as one row."""
+    flags = [c for c in rows.columns if c not in ("src_ip", *_SUMS, *_LARGEST, *_LEAST)]
+    return rows.groupBy("src_ip").agg(
+        *[F.sum(c).alias(c) for c in _SUMS], *[F.max(c).alias(c) for c in _LARGEST],
+        *[F.min(c).alias(c) for c in _LEAST], *[F.bool_or(c).alias(c) for c in flags],
+    ).select(*rows.columns)
+
+
+def finish_facts(base: DataFrame, facets: DataFrame) -> DataFrame:
+    """Everything the roll-up, score and class need, one row per source."""
     counts = facets.groupBy("src_ip").agg(
         *[F.count_if(F.col("facet") == f).alias(f"n_{f}") for f in _FACETS],
         F.coalesce(
             F.bool_or((F.col("facet") == "service") & (F.col("value") == "http")), F.lit(False)
         ).alias("has_http"),
-        # Protocol names: a closed vocabulary, so this set stays small.
+        # Protocol names, and enrichment tags: closed vocabularies, so these sets stay small.
         F.array_sort(
             F.collect_set(F.when(F.col("facet") == "service", F.col("value")))
         ).alias("services"),
+        F.array_sort(
+            F.collect_set(F.when(F.col("facet") == "carried", F.col("value")))
+        ).alias("carried_tags"),
     )
     tops = first_k(
         facets.filter(F.col("facet").isin(*_TOP)),
@@ -127,26 +151,18 @@ def source_facts(events: DataFrame) -> DataFrame:
         )
     )
     return (
-        base.join(counts, "src_ip", "left")
+        base.withColumns({"geo": F.col("geo_at.geo"), "network": F.col("network_at.network")})
+        .drop("geo_at", "network_at")
+        .join(counts, "src_ip", "left")
         .join(tops, "src_ip", "left")
-        .join(_carried_tags(events), "src_ip", "left")
         .na.fill(0, [f"n_{f}" for f in _FACETS])
         .na.fill(False, ["has_http"])
     )
 
 
-def _carried_tags(events: DataFrame) -> DataFrame:
-    """Sorted enrichment tags worth showing on the source (vocabulary-sized sets)."""
-    tag = F.explode(strings_or_empty(column_or_null(events, "threat_tags", "array<string>")))
-    wanted = F.lit(False)
-    for prefix in CARRIED_TAG_PREFIXES:
-        wanted = wanted | F.col("tag").startswith(prefix)
-    return (
-        events.select("src_ip", tag.alias("tag"))
-        .filter(wanted)
-        .groupBy("src_ip")
-        .agg(F.array_sort(F.collect_set("tag")).alias("carried_tags"))
-    )
+def source_facts(events: DataFrame) -> DataFrame:
+    """:func:`finish_facts` of some events."""
+    return finish_facts(base_facts(events), facet_counts(events))
 
 
 # --------------------------------------------------------------------------- #
@@ -276,7 +292,12 @@ def rebuild_sources(
     """The source table; ``only(src_ip)`` limits it to changed sources."""
     if only is not None:
         events = events.join(only.select("src_ip").distinct(), "src_ip", "left_semi")
-    scored = scored_facts(source_facts(events), as_of)
+    return source_rows(source_facts(events), as_of)
+
+
+def source_rows(facts: DataFrame, as_of: Column) -> DataFrame:
+    """The rows of the source table."""
+    scored = scored_facts(facts, as_of)
     return scored.select(
         "src_ip",
         "first_seen",

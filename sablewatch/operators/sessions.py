@@ -15,27 +15,44 @@ SESSION_SORTS = ("started_at", "event_count", "commands_run", "auth_attempts", "
 _FIRST_ROW = ("sensor", "service", "src_ip", "src_port", "dst_port", "country", "asn")
 
 
+_COUNTERS = ("event_count", "auth_attempts", "commands_run")
+
+
+def session_facts(events: DataFrame) -> DataFrame:
+    """What events say of their sessions, so that more events can be added later.
+
+    The first event decides a session's fields: the earliest, then the least id.
+    """
+    first = [column_or_null(events, c).alias(c) for c in _FIRST_ROW]
+    return events.filter(has_text("session_id")).groupBy("session_id").agg(
+        F.min(F.struct("ts", "event_id", *first)).alias("first_event"),
+        F.max("ts").alias("ended_at"),
+        F.count("*").alias("event_count"),
+        F.count_if(F.col("event_type") == "auth_attempt").alias("auth_attempts"),
+        F.count_if(F.col("event_type") == "command").alias("commands_run"),
+    )
+
+
+def merge_sessions(facts: DataFrame) -> DataFrame:
+    """Facts of equal sessions as one row: spans widen, counters add."""
+    return facts.groupBy("session_id").agg(
+        F.min("first_event").alias("first_event"), F.max("ended_at").alias("ended_at"),
+        *[F.sum(c).alias(c) for c in _COUNTERS])
+
+
+def finish_sessions(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    span_us = micros(F.col("ended_at")) - micros(F.col("first_event.ts"))
+    return facts.select(
+        "session_id", *[f"first_event.{c}" for c in _FIRST_ROW], F.col("first_event.ts").alias("started_at"),
+        "ended_at", F.floor(span_us / 1000).alias("duration_ms"), *_COUNTERS, *keep)
+
+
 def build_sessions(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row per session id; ids already in ``existing`` are skipped."""
-    rows = events.filter(has_text("session_id"))
     if existing is not None:
-        rows = rows.join(existing.select("session_id"), "session_id", "left_anti")
-    first = F.struct(*[column_or_null(events, c).alias(c) for c in _FIRST_ROW])
-    span_us = micros(F.max("ts")) - micros(F.min("ts"))
-    return (
-        rows.groupBy("session_id")
-        .agg(
-            F.min_by(first, F.struct("ts", "event_id")).alias("f"),
-            F.min("ts").alias("started_at"),
-            F.max("ts").alias("ended_at"),
-            F.floor(span_us / 1000).alias("duration_ms"),
-            F.count("*").alias("event_count"),
-            F.count_if(F.col("event_type") == "auth_attempt").alias("auth_attempts"),
-            F.count_if(F.col("event_type") == "command").alias("commands_run"),
-        )
-        .select("session_id", "f.*", "started_at", "ended_at", "duration_ms", "event_count",
-                "auth_attempts", "commands_run")
-    )
+        events = events.filter(has_text("session_id")).join(
+            existing.select("session_id"), "session_id", "left_anti")
+    return finish_sessions(session_facts(events))
 
 
 def list_sessions(

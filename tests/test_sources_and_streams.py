@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from sablewatch.operators import exports as X
 from sablewatch.operators.scoring import rebuild_sources, refresh_sources
 from sablewatch.plans.rule_catalog import Rule
+from sablewatch.schemas import EVENT
 from sablewatch.sources import dimensions as D
 from sablewatch.sources import logs as L
 from sablewatch.sources import sinks
 from sablewatch.streaming import ingest as I
 from sablewatch.streaming import live
-from sablewatch.streaming.tables import SnapshotTable
+from sablewatch.streaming.state import EventStore, StateTable
 
 START = dt.datetime(2024, 1, 1)
 
@@ -152,71 +153,75 @@ def test_facts_are_joined_only_where_asked(spark):
 
 
 def test_ingest_detect_and_sessions_from_files(spark, tmp_path):
-    """Two arrivals of files, one event repeated, one alert that grows."""
+    """Three arrivals: one event repeated, one two days late, one line torn; a batch run twice."""
+    from sablewatch.operators.enrichment import enrich_events
+
     prefixes = spark.createDataFrame([("45.0.0.0/8", 64500, "Hetzner")],
                                      "prefix string, asn bigint, as_org string")
     lists = spark.createDataFrame([("ip", "45.1.1.1", "ti:a")],
                                   "kind string, value string, source string")
-    table = SnapshotTable(spark, str(tmp_path / "events"))
-    alerts, feed, sessions, sources = (
-        SnapshotTable(spark, str(tmp_path / n)) for n in ("alerts", "feed", "sess", "src"))
     rules = [Rule("hit", "hit", "high", "threshold", window_minutes=10, threshold=3)]
-
-    def land(name, ids):
+    as_of = F.lit("2024-01-04").cast("timestamp")
+    store = EventStore(spark, str(tmp_path / "events"), EVENT)
+    alerts = live.LiveAlerts(spark, str(tmp_path / "alerts"), store, rules)
+    sessions = live.LiveSessions(spark, str(tmp_path / "sess"))
+    sources = live.LiveSources(spark, str(tmp_path / "src"), as_of)
+    counts = live.LiveCounts(spark, str(tmp_path / "n"))
+    steps = [x.step for x in (counts, sessions, sources, alerts)]
+
+    def arrive(name, rows, torn=""):
         put(tmp_path / "in", name, "\n".join(json.dumps({
-            "event_id": i, "ts": f"2024-01-01T00:0{n}:00Z", "src_ip": "45.1.1.1",
-            "service": "ssh", "event_type": "auth_attempt", "session_id": "s",
-            "username": "root"}) for i, n in ids))
-
-    def drain():
-        events = I.stream_events(I.stream_lines(spark, str(tmp_path / "in")))
-        I.ingest(events, table, None, prefixes, lists, str(tmp_path / "cp"),
-                 once=True).awaitTermination()
-
-    def process(version):
-        batch = spark.read.parquet(table._folder(version))
-        live.detection_step(table.everything, rules, alerts, feed)(batch, version)
-        live.session_step(sessions)(batch, version)
-        live.source_step(table.everything, sources, F.lit("2024-01-02").cast("timestamp"))(
-            batch, version)
-
-    def arrive():
-        known = table.versions()
-        drain()
-        # The stream may add an empty batch to move its watermark.
-        fresh = [v for v in table.versions() if v not in known]
-        for version in fresh:
-            process(version)
-        return fresh
-
-    land("one.jsonl", [("a", 0), ("b", 1), ("c", 2)])
-    first = arrive()[0]
-    land("two.jsonl", [("c", 2), ("d", 3)])
-    second = arrive()
-    process(second[-1])  # a replay changes nothing
-    assert table.everything().count() == 4
-    row = table.everything().filter("event_id = 'd'").first()
+            "event_id": i, "ts": f"2024-01-{ts}:00Z", "src_ip": ip, "service": "ssh", "src_port": n,
+            "event_type": "auth_attempt", "session_id": f"s{ip}", "username": "root"})
+            for n, (i, ts, ip) in enumerate(rows)) + torn)
+        I.ingest(I.stream_lines(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), then=steps, once=True,
+                 enrich=lambda e: enrich_events(e, None, prefixes, lists), rejected=str(tmp_path / "bad")).awaitTermination()
+
+    arrive("one.jsonl", [("a", "03T00:00", "45.1.1.1"), ("b", "03T00:01", "45.1.1.1"), ("c", "03T00:02", "45.1.1.1")])
+    assert sessions.read(store.read()).first().status == "open"
+    arrive("two.jsonl", [("c", "03T00:02", "45.1.1.1"), ("d", "03T00:03", "45.1.1.1"), ("e", "03T02:00", "45.2.2.2")],
+           '\n{"event_id": "torn\n{"event_id": "x"}')
+    assert {r.session_id: r.status for r in sessions.read(store.read()).collect()} == {"s45.1.1.1": "closed", "s45.2.2.2": "open"}
+    arrive("late.jsonl", [("f", "01T00:00", "45.2.2.2"), ("f", "01T00:00", "45.2.2.2"), ("a", "03T00:00", "45.1.1.1")])
+    for step in steps:  # a replay changes nothing
+        step(store.read(2), 2)
+    events = store.read()
+    assert sorted(r.event_id for r in events.collect()) == list("abcdef")
+    row = events.filter("event_id = 'd'").first()
     assert (row.asn, row.threat_score) == (64500, 42.0)
     assert row.threat_tags == ["ti:a", "cred:generic-username", "hosting-provider"]
-    assert alerts.latest().first().hit_count == 4
-    assert spark.read.parquet(feed._folder(first)).count() == 1
-    assert feed.everything().count() == 1
-    assert sessions.latest().first().event_count == 4
-    assert sources.latest().first().event_count == 4
-
-
-def test_closed_sessions_stream(spark, make_events, tmp_path):
-    rows = [{"session_id": "s", "ts": START}, {"session_id": "s", "ts": START},
-            {"session_id": "t", "ts": START + dt.timedelta(days=1)}]
-    make_events(rows).write.parquet(str(tmp_path / "e"))
-    schema = spark.read.parquet(str(tmp_path / "e")).schema
-    stream = live.closed_sessions(spark.readStream.schema(schema).parquet(str(tmp_path / "e")))
-    query = (stream.writeStream.format("parquet").option("path", str(tmp_path / "o"))
-             .option("checkpointLocation", str(tmp_path / "c")).outputMode("append")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "o")).collect()
-    assert [(r.session_id, r.event_count) for r in got] == [("s", 2)]
+    bad = spark.read.parquet(str(tmp_path / "bad"))
+    assert sorted((r.reason, r.batch) for r in bad.collect()) == [("no JSON object", 1), ("no time", 1)]
+    assert [(r.hit_count, r.status) for r in alerts.read().collect()] == [(4, "new")]
+    assert [r.announced for r in alerts.feed().collect()] == [0] and alerts.feed(1).count() == 0
+    from sablewatch.operators.sessions import build_sessions
+
+    whole = build_sessions(events)
+    cols = whole.columns
+    assert sorted(sessions.read(events).select(*cols).collect()) == sorted(whole.collect())
+    both = {r.session_id: (r.opened, r.updated) for r in sessions.read(events).collect()}
+    assert both == {"s45.1.1.1": (0, 1), "s45.2.2.2": (1, 2)}
+    rebuilt = rebuild_sources(events, as_of)
+    assert sorted(sources.read(events).select(*rebuilt.columns).collect()) == sorted(rebuilt.collect())
+    hourly = {(str(r.bucket), r.series): r.n for r in counts.read(events).collect()}
+    assert hourly == {("2024-01-03 00:00:00", "ssh"): 4, ("2024-01-03 02:00:00", "ssh"): 1, ("2024-01-01 00:00:00", "ssh"): 1}
+
+
+def test_state_reads_only_touched_partitions(spark, tmp_path):
+    def merge(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+    table = StateTable(spark, str(tmp_path / "t"), ["k"], merge, buckets=8)
+    first = spark.createDataFrame([(f"k{i}", 1) for i in range(60)], "k string, n long")
+    table.apply(first, 0)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    fresh = spark.createDataFrame([("k7", 5), ("new", 2)], "k string, n long")
+    for _ in range(2):  # the second run starts from what was there before the first
+        table.apply(fresh, 1)
+    rows = {r.k: (r.n, r.created, r.batch) for r in table.read(first.schema).collect()}
+    assert len(rows) == 61 and rows["k7"] == (6, 0, 1) and rows["new"] == (2, 1, 1) and rows["k8"] == (1, 0, 0)
+    same = [p for p in (tmp_path / "t").rglob("*.parquet") if before.get(p) == p.stat().st_mtime_ns]
+    assert len({p.parent for p in same}) == 6
 
 
 def test_list_functions_refuse_unknown_sorts(make_events):
@@ -230,18 +235,3 @@ def test_list_functions_refuse_unknown_sorts(make_events):
                  lambda: timeseries(df, bucket="1m", hours=24 * 365)):
         with pytest.raises(ValueError):
             call()
-
-
-def test_intake_keeps_late_events(spark, tmp_path):
-    """A file that is two hours late loses no row, and a repeated id stays one."""
-    prefixes = spark.createDataFrame([], "prefix string, asn bigint, as_org string")
-    lists = spark.createDataFrame([], "kind string, value string, source string")
-    table = SnapshotTable(spark, str(tmp_path / "events"))
-    arrivals = [[("a", "12:00"), ("b", "12:01")], [("c", "12:30")], [("d", "10:00"), ("d", "10:00"), ("a", "12:00")]]
-    for n, rows in enumerate(arrivals):
-        put(tmp_path / "in", f"{n}.jsonl", "\n".join(json.dumps({
-            "event_id": i, "ts": f"2024-01-01T{at}:00Z", "src_ip": "45.1.1.1", "service": "ssh",
-            "event_type": "auth_attempt"}) for i, at in rows))
-        events = I.stream_events(I.stream_lines(spark, str(tmp_path / "in")))
-        I.ingest(events, table, None, prefixes, lists, str(tmp_path / "cp"), once=True).awaitTermination()
-    assert sorted(r.event_id for r in table.everything().collect()) == ["a", "b", "c", "d"]
