@@ -354,6 +354,58 @@ def payload_census(spark, sf):
     return P.census(P.profile(elf_files(spark, sf)), "arch")
 
 
+@query("payload_files", """
+  WITH f AS (SELECT page_id, html, sha256(html) AS h, page_id % 50 = 0 AS cut FROM pages),
+  good AS (SELECT h, min(octet_length(encode(html))) AS size, bool_or(page_id % 3 = 0) AS known FROM f WHERE NOT cut GROUP BY h),
+  old AS (SELECT DISTINCT sha256(html) AS h FROM pages WHERE page_id % 3 = 0)
+  SELECT 'file' AS kind, h AS name, CAST(size AS BIGINT) AS n FROM good WHERE h NOT IN (SELECT h FROM old)
+  UNION ALL SELECT 'count', 'seen', count(*) + 1 FROM f
+  UNION ALL SELECT 'count', 'errors', count(*) FILTER (cut) + 1 FROM f
+  UNION ALL SELECT 'count', 'new', count(*) FROM good WHERE h NOT IN (SELECT h FROM old)
+  UNION ALL SELECT 'count', 'known', count(*) FROM good WHERE h IN (SELECT h FROM old)""")
+def payload_files(spark, sf):
+    """Pages as captured files: some listed longer than they are, one gone, a third known."""
+    from sablewatch.session import cut_lineage
+    from sablewatch.sources import dimensions as D
+    from sablewatch.sources.sinks import write_payload_files
+
+    folder = f"{shared_folder(spark, 'files')}/captured"
+    pages = files(spark, sf)
+    write_payload_files(pages.select(F.concat(F.col("page_id"), F.lit(".bin")).alias("filename"), "content"), folder)
+    listing = D.list_payload_files(spark, folder)
+    number = F.split_part("filename", F.lit("."), F.lit(1)).cast("long")
+    listing = listing.withColumn("length", F.when(number % 50 == 0, F.col("length") + 1).otherwise(F.col("length")))
+    gone = listing.limit(1).withColumns({"path": F.lit(f"{folder}/gone.bin"), "filename": F.lit("gone.bin")})
+    listing = cut_lineage(listing.unionByName(gone))
+    known = pages.filter("page_id % 3 = 0").select(F.sha2("content", 256).alias("sha256")).distinct()
+    new, counts = D.new_payload_files(listing, known)
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in counts.columns])
+    told = counts.select(F.explode(pairs).alias("p")).select(F.lit("count").alias("kind"), "p.name", "p.n")
+    return new.select(F.lit("file").alias("kind"), F.col("sha256").alias("name"), F.octet_length("content").cast("long").alias("n")).unionByName(told)
+
+
+@query("indicator_files", """
+  SELECT kind, value, 'ti:list' || n AS source FROM (
+    SELECT DISTINCT 'ip' AS kind, '45.1.' || (user_id % 200) || '.' || (event_id % 250) AS value, event_id % 3 AS n FROM events
+    UNION SELECT DISTINCT 'cidr', '45.' || (user_id % 200) || '.0.0/16', event_id % 3 FROM events)""")
+def indicator_files(spark, sf):
+    """Lists landed as files, with comments, blank and bad lines; the file names the list."""
+    from sablewatch.catalog.adapter import load
+    from sablewatch.sources import dimensions as D
+    from sablewatch.sources.sinks import write_payload_files
+
+    folder = f"{shared_folder(spark, 'files')}/lists"
+    e, u = F.col("event_id"), F.col("user_id")
+    lines = F.array(F.concat(F.lit("45.1."), u % 200, F.lit("."), e % 250, F.lit("  # seen")),
+                    F.concat(F.lit("45."), u % 200, F.lit(".0.0/16")), F.lit("# none"), F.lit(""), F.lit("45.1.300.1"))
+    rows = load(spark, sf, "events").select((e % 3).alias("n"), F.explode(lines).alias("line")).distinct()
+    # Three lists of at most 50,000 addresses and 200 networks.
+    whole = rows.groupBy("n").agg(F.concat_ws("\n", F.collect_list("line")).alias("text"))
+    write_payload_files(whole.select(F.concat(F.lit("list"), "n", F.lit(".txt")).alias("filename"),
+                                     F.encode("text", "UTF-8").alias("content")), folder)
+    return D.read_indicators(spark, folder)
+
+
 # --------------------------------------------------------------------------- #
 # Campaigns
 # --------------------------------------------------------------------------- #

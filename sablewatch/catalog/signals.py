@@ -342,14 +342,27 @@ def geo_prefix_match(spark, sf):
         "ip", "country", "geo_source")
 
 
+_RANGES = [
+    ("45.1.1.0", "45.1.1.100", "east"), ("45.1.1.144", "45.2.0.255", "west"), ("45.1.1.30", "45.1.1.61", "inner"),
+    ("2600:0:13::", "2600:0:5a::7", "six"), ("2600:0:20::3", "2600:0:20::9", "six inner"),
+    ("2600:0:70::", "45.9.9.9", "no range"), ("2600:0:99::", "2600:0:98::", "no range"),
+]
+
+
 @query("geo_range_match", sql("""
-  SELECT ip, place FROM nums LEFT JOIN (VALUES (755040256, 755040356, 'east'),
-    (755040400, 755105791, 'west')) t(lo, hi, place) ON n BETWEEN lo AND hi""", IP_CTE))
+  SELECT ip, CASE WHEN n BETWEEN 755040542 AND 755040573 THEN 'inner' WHEN n BETWEEN 755040512 AND 755040612 THEN 'east'
+      WHEN n BETWEEN 755040656 AND 755106047 THEN 'west' END AS place FROM nums
+  UNION ALL SELECT DISTINCT '2600:0:' || format('{:x}', uid % 256) || '::' || format('{:x}', k),
+    CASE WHEN uid % 256 = 32 AND k BETWEEN 3 AND 9 THEN 'six inner'
+      WHEN uid % 256 BETWEEN 19 AND 89 OR (uid % 256 = 90 AND k <= 7) THEN 'six' END FROM ev""", IP_CTE))
 def geo_range_match(spark, sf):
-    ranges = spark.createDataFrame(
-        [(755040256, 755040356, "east"), (755040400, 755105791, "west")],
-        "lo bigint, hi bigint, place string")
-    return E.geo_range_lookup(E.distinct_addresses(events(spark, sf)), ranges).select("ip", "place")
+    """Ranges of both families; ends that make no range give nothing."""
+    ranges = spark.createDataFrame(_RANGES, "lo string, hi string, place string")
+    small = lambda c: F.lower(F.hex(c))
+    v6 = F.concat(F.lit("2600:0:"), small(F.col("uid") % 256), F.lit("::"), small("k"))
+    ev = events(spark, sf)
+    both = ev.select("src_ip").unionByName(ev.select(v6.alias("src_ip")))
+    return E.geo_range_lookup(E.distinct_addresses(both), ranges).select("ip", "place")
 
 
 _IND = "indicators AS (SELECT * FROM (VALUES " + ", ".join(

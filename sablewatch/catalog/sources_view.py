@@ -338,35 +338,53 @@ def alert_csv(spark, sf):
 # --------------------------------------------------------------------------- #
 
 
-def _section(name, key, value, tail):
-    return f"(SELECT '{name}' AS section, CAST({key} AS VARCHAR) AS key, CAST({value} AS DOUBLE) AS value {tail})"
-
-
-def _top(name, column, where=None):
-    return _section(name, column, "count(*)",
-                    f"FROM win WHERE {where or column + chr(60) + chr(62) + chr(39) * 2} "
-                    f"GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 10")
+_WIN = f"win AS (SELECT * FROM ev WHERE ts >= {AS_OF} - INTERVAL 168 HOUR)"
 
 
-_WIN = f"win AS (SELECT * FROM ev WHERE ts >= {AS_OF} - INTERVAL 168 HOUR)"
-_SUMMARY = " UNION ALL ".join([
-    _section("stats", "'total_events'", "count(*)", "FROM win"),
-    _section("stats", "'unique_sources'", "count(DISTINCT src_ip)", "FROM win"),
-    _section("services", "service", "count(*)", "FROM win GROUP BY service"),
-    _top("top_countries", "country"),
-    _top("top_asns", "asn", "asn IS NOT NULL"),
-    _top("top_usernames", "username"),
-    _top("top_passwords", "password"),
-    _top("top_paths", "path"),
-    _top("top_commands", "command"),
-    _section("alerts_by_rule", "rule_id", "sum(hit_count)",
-             f"FROM alerts WHERE last_us >= epoch_us({AS_OF} - INTERVAL 168 HOUR) GROUP BY rule_id"),
-    _section("top_sources", "src_ip", "round(threat_score, 1)",
-             f"FROM final WHERE last_seen >= {AS_OF} - INTERVAL 168 HOUR "
-             "ORDER BY threat_score DESC, src_ip LIMIT 10"),
-])
-_SUMMARY_NAMES = ("services", "top_countries", "top_asns", "top_usernames", "top_passwords",
-                  "top_paths", "top_commands", "alerts_by_rule", "top_sources")
+def _rows(section, key, tail, second="NULL", label="NULL", value="count(*)", sources="NULL", sort=None, tie=None):
+    return (f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, CAST({second} AS VARCHAR) AS second, "
+            f"CAST({label} AS VARCHAR) AS label, CAST({value} AS DOUBLE) AS value, CAST({sources} AS BIGINT) AS sources, "
+            f"CAST({sort or value} AS DOUBLE) AS sort, CAST({tie or key} AS VARCHAR) AS tie {tail}")
+
+
+_SEEN = "count(DISTINCT src_ip)"
+_RECENT = f"alerts WHERE last_us >= epoch_us({AS_OF} - INTERVAL 168 HOUR)"
+_BEST = f"final WHERE last_seen >= {AS_OF} - INTERVAL 168 HOUR"
+_COUNTS = {
+    "total_events": "(SELECT count(*) FROM win)", "unique_sources": "(SELECT count(DISTINCT src_ip) FROM win)",
+    "auth_attempts": "(SELECT count(*) FROM win WHERE event_type = 'auth_attempt')",
+    "commands_run": "(SELECT count(*) FROM win WHERE event_type = 'command')",
+    "unique_countries": "(SELECT count(DISTINCT country) FROM win)",
+    "unique_credential_pairs": "(SELECT count(DISTINCT coalesce(username, '') || ':' || coalesce(password, '')) FROM win "
+                               "WHERE event_type = 'auth_attempt')",
+    "sessions": f"(SELECT count(*) FROM (SELECT min(ts) AS m FROM ev GROUP BY session_id) WHERE m >= {AS_OF} - INTERVAL 168 HOUR)",
+    "open_alerts": "(SELECT count(*) FROM alerts)",
+    "critical_alerts": "(SELECT count(*) FROM alerts WHERE severity IN ('high', 'critical'))",
+}
+_URLS = """(SELECT ts, event_id, unnest(regexp_extract_all(command, '(?:https?|ftp|tftp)://[^\\s;''"|&)]+')) AS url
+    FROM win WHERE command ILIKE '%http://%' OR command ILIKE '%https://%' OR command ILIKE '%tftp%')"""
+_SUMMARY_CTE = "listed AS (" + "\n  UNION ALL ".join([
+    *[_rows("stats", f"'{k}'", "", value=v, sort="0") for k, v in _COUNTS.items()],
+    _rows("services", "service", "FROM win GROUP BY service", sources=_SEEN),
+    _rows("top_countries", "country", "FROM win WHERE country IS NOT NULL GROUP BY country", label="max(country_name)", sources=_SEEN),
+    _rows("top_asns", "asn", "FROM win WHERE asn IS NOT NULL GROUP BY asn", label="max(as_org)", sources=_SEEN),
+    *[_rows(f"top_{c}s", c, f"FROM win WHERE {c} <> '' GROUP BY {c}") for c in ("username", "password", "path", "command")],
+    _rows("credential_pairs", "username", "FROM win WHERE event_type = 'auth_attempt' AND username IS NOT NULL "
+          "GROUP BY username, password", second="password"),
+    _rows("payload_urls", "url", f"FROM {_URLS} GROUP BY url", sort="-epoch_us(min(ts))",
+          tie="arg_min(event_id, (ts, event_id)) || ' 000000'"),
+    _rows("alerts_by_severity", "s", f"FROM (VALUES ('info', 0), ('low', 1), ('medium', 2), ('high', 3), ('critical', 4)) l(s, r) "
+          f"LEFT JOIN (SELECT severity, count(*) AS n FROM {_RECENT} GROUP BY 1) ON s = severity", value="coalesce(n, 0)", sort="r"),
+    _rows("alerts_by_rule", "rule_id", f"FROM {_RECENT} GROUP BY rule_id", value="sum(hit_count)", label="max(rule_name)"),
+    _rows("notable_alerts", "dedupe_key", f"FROM {_RECENT} AND severity IN ('critical', 'high')", value="hit_count", sort="last_us"),
+    _rows("top_sources", "src_ip", f"FROM {_BEST}", value="round(threat_score, 1)", sort="threat_score"),
+    _rows("new_sources", "src_ip", f"FROM (SELECT * FROM {_BEST} ORDER BY threat_score DESC, src_ip LIMIT 10) "
+          f"WHERE first_seen >= {AS_OF} - INTERVAL 168 HOUR", value="round(threat_score, 1)", sort="threat_score"),
+]) + """),
+  summary AS (SELECT section, CAST(row_number() OVER (PARTITION BY section
+      ORDER BY sort DESC, tie NULLS FIRST, second NULLS FIRST) AS INTEGER) AS position,
+    key, second, label, value, sources, count(*) OVER (PARTITION BY section) AS total FROM listed
+  QUALIFY position <= 10 OR section IN ('stats', 'services', 'alerts_by_severity', 'alerts_by_rule'))"""
 
 
 def _summary(spark, sf):
@@ -375,30 +393,25 @@ def _summary(spark, sf):
                            as_of(), hours=168)
 
 
-@query("daily_summary", sql(_SUMMARY, _WIN, *ALERT_CTES, *SCORE_CTES))
+@query("daily_summary", sql("SELECT * FROM summary", _WIN, *ALERT_CTES, *SCORE_CTES, _SUMMARY_CTE))
 def daily_summary(spark, sf):
-    table = R.summary_table(_summary(spark, sf))
-    wanted = F.col("section").isin(*_SUMMARY_NAMES) | F.col("key").isin(
-        "total_events", "unique_sources")
-    score = F.col("section") == "top_sources"
-    return table.filter(wanted).withColumn(
-        "value", F.when(score, F.round("value", 1)).otherwise(F.col("value")))
+    """All 15 sections; titles of notable alerts are checked by alert_titles."""
+    scored = F.col("section").isin("top_sources", "new_sources")
+    return _summary(spark, sf).withColumns({
+        "value": F.when(scored, F.round("value", 1)).otherwise(F.col("value")),
+        "label": F.when(F.col("section") != "notable_alerts", F.col("label"))})
 
 
 @query("digest", sql("""
-  SELECT section, key AS line, position FROM (
-    SELECT section, key, row_number() OVER (PARTITION BY section ORDER BY value DESC, key)
-      AS position FROM summary WHERE section IN ('top_usernames', 'top_passwords'))
-  WHERE position <= 5
-  UNION ALL SELECT section, '+' || (count(*) - 5) || ' more', 6 FROM summary
-  WHERE section IN ('top_usernames', 'top_passwords') GROUP BY section HAVING count(*) > 5""",
-  _WIN, "summary AS (" + " UNION ALL ".join(
-      [_top("top_usernames", "username"), _top("top_passwords", "password")]) + ")"))
+  SELECT section, position, CASE WHEN section = 'payload_urls' THEN
+      replace(replace(replace(key, 'https://', 'hxxps://'), 'http://', 'hxxp://'), '.', '[.]') ELSE key END AS line
+  FROM summary WHERE position <= 5
+    AND section IN ('notable_alerts', 'top_sources', 'top_usernames', 'top_passwords', 'payload_urls')
+  UNION ALL SELECT section, 6, '+' || (total - 5) || ' more' FROM summary WHERE position = 1 AND total > 5
+    AND section IN ('notable_alerts', 'top_sources', 'top_usernames', 'top_passwords', 'payload_urls')""",
+  _WIN, *ALERT_CTES, *SCORE_CTES, _SUMMARY_CTE))
 def digest(spark, sf):
-    rows = R.digest(R.summary_table({
-        k: v for k, v in _summary(spark, sf).items()
-        if k in ("stats", "top_usernames", "top_passwords")}))
-    return rows.select("section", "line", F.col("position").cast("bigint").alias("position"))
+    return R.digest(_summary(spark, sf)).select("section", "position", "line")
 
 
 @query("new_arrivals", sql(f"""
@@ -422,22 +435,49 @@ def map_feed(spark, sf):
         feed["counts"].select("points_without_geo").scalar().alias("without_geo"))
 
 
-@query("source_profile", sql("""
-  SELECT (SELECT count(*) FROM facts WHERE src_ip = '45.1.1.8') AS sources,
-    (SELECT count(DISTINCT session_id) FROM ev WHERE src_ip = '45.1.1.8') AS sessions,
-    (SELECT least(count(*), 100) FROM ev WHERE src_ip = '45.1.1.8') AS events,
-    (SELECT count(DISTINCT payload_sha256) FROM ev WHERE src_ip = '45.1.1.8') AS payloads""",
-  FACTS))
+_ONE = "src_ip = '45.1.1.8'"
+
+
+@query("source_profile", sql(f"""
+  SELECT 'source' AS part, src_ip AS key, CAST(event_count AS DOUBLE) AS value FROM final WHERE {_ONE}
+  UNION ALL (SELECT 'session', session_id, count(*) FROM ev WHERE {_ONE} GROUP BY session_id
+    ORDER BY min(ts) DESC, session_id LIMIT 50)
+  UNION ALL (SELECT 'event', event_id, src_port FROM ev WHERE {_ONE} ORDER BY ts DESC, event_id DESC LIMIT 100)
+  UNION ALL (SELECT 'payload', payload_sha256, max(epoch_us(ts)) FROM ev WHERE {_ONE} AND payload_sha256 IS NOT NULL
+    GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 20)
+  UNION ALL SELECT 'explanation', 'score', round(threat_score, 1) FROM final WHERE {_ONE}
+  """ + "\n".join(f"UNION ALL SELECT 'explanation', '{n}', round({n}, 1) FROM final WHERE {_ONE}" for n in _RAW),
+  *SCORE_CTES))
 def source_profile(spark, sf):
+    """Every part as rows: the source, its sessions, events, payloads, and its score explained."""
     ev = events(spark, sf)
     payloads = ev.filter(F.col("payload_sha256").isNotNull()).select(
         F.col("payload_sha256").alias("sha256")).distinct()
-    parts = P.source_profile("45.1.1.8", sources(spark, sf), build_sessions(ev), ev, payloads,
-                             as_of())
-    count = lambda n: parts[n].agg(F.count("*")).scalar()
-    return parts["source"].agg(F.count("*").alias("sources")).select(
-        "sources", count("sessions").alias("sessions"), count("recent_events").alias("events"),
-        count("payloads").alias("payloads"))
+    parts = P.source_profile("45.1.1.8", sources(spark, sf), build_sessions(ev), ev, payloads, as_of())
+    row = lambda part, name, key, value: parts[part].select(
+        F.lit(name).alias("part"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    why = parts["explanation"].select(F.explode(F.array(
+        F.struct(F.lit("score").alias("key"), F.round("score", 1).alias("value")),
+        *[F.struct(F.lit(n).alias("key"), F.round(f"components.{n}", 1).alias("value")) for n in _RAW])).alias("e"))
+    carried = parts["payloads"].withColumn("us", micros("carried_at"))
+    return (row("source", "source", "src_ip", "event_count").unionByName(row("sessions", "session", "session_id", "event_count"))
+            .unionByName(row("recent_events", "event", "event_id", "src_port"))
+            .unionByName(carried.select(F.lit("payload").alias("part"), F.col("sha256").alias("key"), F.col("us").cast("double").alias("value")))
+            .unionByName(why.select(F.lit("explanation").alias("part"), "e.key", F.col("e.value").cast("double").alias("value"))))
+
+
+@query("source_seek", sql("""
+  SELECT src_ip, event_count, count(*) OVER () AS total FROM facts
+  ORDER BY event_count DESC, src_ip LIMIT 40 OFFSET 10""", FACTS))
+def source_seek(spark, sf):
+    """A page by offset and the page behind its last row, from a stored listing."""
+    from sablewatch.operators.listing import store_listing
+    from sablewatch.session import shared_folder
+
+    stored = store_listing(sources(spark, sf), shared_folder(spark, "listing"), "event_count", "src_ip", zone_rows=25)
+    page = stored.page(20, 10)
+    last = page.collect()[-1]
+    return page.unionByName(stored.after(last.event_count, last.src_ip, 20)).select("src_ip", "event_count", "total")
 
 
 @query("payloads_of_source", sql("""
@@ -450,3 +490,34 @@ def payloads_for_source(spark, sf):
         F.col("payload_sha256").alias("sha256")).distinct()
     return payloads_of_source(payloads, ev, "45.1.1.8").select(
         "sha256", micros("carried_at").alias("carried_us"))
+
+
+_CUT = "TIMESTAMP '2024-01-18 06:30:00'"
+
+
+@query("retention", sql(f"""
+  SELECT 'events' AS name, event_id AS key, 1 AS n FROM ev WHERE ts >= {_CUT}
+  UNION ALL SELECT 'sessions', session_id, count(*) FROM ev GROUP BY session_id HAVING min(ts) >= {_CUT}
+  UNION ALL SELECT 'alerts', src_ip, count(*) FROM ev WHERE tag = 'payload-fetch' GROUP BY src_ip HAVING max(ts) >= {_CUT}
+  UNION ALL SELECT 'sources', src_ip, count(*) FROM ev WHERE ts >= {_CUT} GROUP BY src_ip"""))
+def retention(spark, sf):
+    """Four tables after everything before a cutoff went, the sources rolled up from what is left."""
+    import datetime as dt
+
+    from sablewatch.catalog.detection import MATCH
+    from sablewatch.operators.retention import apply_retention, write_by_day
+    from sablewatch.operators.rules import evaluate_rules
+    from sablewatch.session import shared_folder
+
+    folder, ev = shared_folder(spark, "retention"), events(spark, sf)
+    tables = {"events": (ev, "ts", "event_id"), "sessions": (build_sessions(ev), "started_at", "session_id"),
+              "alerts": (evaluate_rules(ev, [MATCH]), "last_seen", "dedupe_key")}
+    for name, (rows, ts, key) in tables.items():
+        write_by_day(rows, f"{folder}/{name}", ts, key)
+    left = apply_retention(spark, {n: (f"{folder}/{n}", ts) for n, (_, ts, _) in tables.items()},
+                           dt.datetime(2024, 1, 18, 6, 30), sources(spark, sf), as_of())
+    kept = lambda name, key, n: spark.read.parquet(f"{folder}/{name}").select(
+        F.lit(name).alias("name"), F.col(key).alias("key"), n.cast("long").alias("n"))
+    return (kept("events", "event_id", F.lit(1)).unionByName(kept("sessions", "session_id", F.col("event_count")))
+            .unionByName(kept("alerts", "src_ip", F.col("hit_count")))
+            .unionByName(left.select(F.lit("sources").alias("name"), F.col("src_ip").alias("key"), F.col("event_count").cast("long").alias("n"))))

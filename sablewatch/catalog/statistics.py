@@ -340,15 +340,6 @@ def ignore_list(spark, sf):
         F.count("*").alias("kept"), F.count_distinct("src_ip").alias("sources"))
 
 
-@query("retention", sql(f"""
-  SELECT count(*) FILTER (ts >= {AS_OF} - INTERVAL 14 DAY) AS kept,
-    count(*) FILTER (ts < {AS_OF} - INTERVAL 14 DAY) AS expired FROM ev"""))
-def retention(spark, sf):
-    kept, expired = S.retention_split(events(spark, sf), 14, as_of())
-    return kept.agg(F.count("*").alias("kept")).select(
-        "kept", expired.agg(F.count("*")).scalar().alias("expired"))
-
-
 @query("header_truncation", """
   SELECT page_id, least(64, 2) AS headers, least(length(url), 1024) AS url_chars,
     least(length(html), 1024) AS html_chars FROM pages""")

@@ -124,6 +124,71 @@ def _parse_block(value: Column) -> Column:
     return let(address, build)
 
 
+def _bits(address_hex: Column) -> Column:
+    """An address as text of 0 and 1."""
+    digit = lambda i: F.lpad(F.conv(F.substring(address_hex, i, F.lit(1)), 16, 2), 4, "0")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(address_hex)), digit), "")
+
+
+def _hex_of(bits: Column) -> Column:
+    nibble = lambda i: F.lower(F.conv(F.substring(bits, i * 4 + 1, F.lit(4)), 2, 16))
+    last = (F.length(bits) / 4).cast("int") - 1
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), nibble), "")
+
+
+def range_cover(version: Column, lo: Column, hi: Column) -> Column:
+    """The fewest networks that make up ``lo`` to ``hi`` (hex): structs ``(version, plen, key)``.
+
+    Of the addresses just outside the range, written as bits behind ``01``, the lower one's
+    zeros and the upper one's ones below their first difference each give a network:
+    the bits before it, and the bit turned round.
+    """
+    total = F.length(lo) * 4 + 2
+
+    def below(text: Column) -> Column:
+        return let(F.rtrim(text, F.lit("0")), lambda p: F.concat(
+            F.substring(p, F.lit(1), F.length(p) - 1), F.lit("0"), F.repeat(F.lit("1"), total - F.length(p))))
+
+    def above(text: Column) -> Column:
+        return let(F.rtrim(text, F.lit("1")), lambda p: F.concat(
+            F.substring(p, F.lit(1), F.length(p) - 1), F.lit("1"), F.repeat(F.lit("0"), total - F.length(p))))
+
+    def at(text: Column, i: Column) -> Column:
+        return F.substring(text, i, F.lit(1))
+
+    def networks(edge: Column) -> Column:
+        low, high, split = edge["low"], edge["high"], edge["split"]
+        behind = F.filter(F.sequence(F.lit(1), total), lambda i: i > split)
+
+        def turned(text: Column, bit: str, other: str) -> Column:
+            return F.transform(
+                F.filter(behind, lambda i: at(text, i) == bit),
+                lambda i: network((i - 2).cast("int"), F.concat(F.substring(text, F.lit(3), i - 3), F.lit(other))))
+
+        return F.concat(turned(low, "0", "1"), turned(high, "1", "0"))
+
+    def network(plen: Column, prefix: Column) -> Column:
+        whole = F.when(plen > 0, F.substring(prefix, F.lit(1), plen)).otherwise("")
+        return F.struct(version.alias("version"), plen.alias("plen"),
+                        network_key(_hex_of(F.rpad(whole, total - 2, F.lit("0"))), plen).alias("key"))
+
+    ends = F.struct(below(F.concat(F.lit("01"), _bits(lo))).alias("low"), above(F.concat(F.lit("01"), _bits(hi))).alias("high"))
+    return let(
+        let(ends, lambda e: F.struct(
+            e["low"].alias("low"), e["high"].alias("high"),
+            F.array_min(F.filter(F.sequence(F.lit(1), total), lambda i: at(e["low"], i) != at(e["high"], i))).alias("split"))),
+        networks)
+
+
+def range_width(lo: str, hi: str) -> Column:
+    """``hi - lo`` of two hex addresses as a struct that sorts like the number."""
+    half = lambda c, i: F.conv(F.substring(F.lpad(F.col(c), 32, "0"), i, 16), 16, 10).cast("decimal(20,0)")
+    low = half(hi, 17) - half(lo, 17)
+    borrow = (low < 0).cast("int").cast("decimal(20,0)")
+    whole = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return F.struct((half(hi, 1) - half(lo, 1) - borrow).alias("high"), (low + borrow * whole).alias("low"))
+
+
 def ipv4_long(ip: Column) -> Column:
     return F.conv(_v4_hex(ip), 16, 10).cast("bigint")
 

@@ -32,14 +32,16 @@ from sablewatch.functions.columns import (
 )
 from sablewatch.functions.net import (
     classify_address,
-    ipv4_long,
+    let,
     network_key,
     parse_address,
     parse_network,
+    range_cover,
+    range_width,
     scope_of,
 )
 from sablewatch.functions.skew import join_facts
-from sablewatch.functions.text import name_in_text
+from sablewatch.functions.text import marked_name, marked_words
 from sablewatch.schemas import column_or_null
 
 # --------------------------------------------------------------------------- #
@@ -79,19 +81,23 @@ def longest_prefix_match(addresses: DataFrame, layers: dict[str, DataFrame]) ->
         [layers[n].select(*key, n) for n in names],
     )
     dim = stacked.groupBy(*key).agg(*[F.min(n).alias(n) for n in names])
-    lengths = stacked.groupBy("version").agg(F.collect_set("plen").alias("plens"))
-    probes = (
+    return (
+        _probes(addresses, stacked).join(dim, key)
+        .groupBy("ip")
+        .agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("plen"))).alias(n) for n in names])
+    )
+
+
+def _probes(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """Each address's network of every prefix length that occurs (at most 33 or 129)."""
+    lengths = networks.groupBy("version").agg(F.collect_set("plen").alias("plens"))
+    return (
         addresses.filter(F.col("address").isNotNull())
         .select("ip", "address.*")
         .join(F.broadcast(lengths), "version")  # two rows: one per address family
         .select("ip", "version", "hex", F.explode("plens").alias("plen"))
         .select("ip", "version", "plen", network_key(F.col("hex"), F.col("plen")).alias("key"))
     )
-    return (
-        probes.join(dim, key)
-        .groupBy("ip")
-        .agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("plen"))).alias(n) for n in names])
-    )
 
 
 _GEO_FIELDS = ("country", "country_name", "city", "latitude", "longitude")
@@ -172,25 +178,32 @@ def geo_lookup(addresses: DataFrame, geo: DataFrame | None) -> DataFrame:
 
 
 def geo_range_lookup(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Geography from IPv4 ``ranges(lo, hi, ...)`` given as integers.
+    """Geography of public addresses from ``ranges(lo, hi, ...)``; the narrowest range counts.
 
-    Ranges are cut at /16 edges, so the join has an equality on the /16 and
-    the comparison only filters inside it.
+    ``lo`` and ``hi`` are IPv4 or IPv6 texts, or IPv4 numbers; a range with ends that are no
+    addresses, of two families or in the wrong order is left out. Each range becomes
+    its minimal cover by networks (at most 62 or 254), so the lookup is an equality on
+    the network and never compares the addresses of one block with all its ranges.
     """
-    cut = ranges.withColumn(
-        "slot", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16)))
-    )
+    def edge(name: str) -> Column:
+        if ranges.schema[name].dataType.simpleString() == "string":
+            return parse_address(F.col(name))
+        digits = F.lower(F.lpad(F.hex(F.col(name).cast("bigint")), 8, "0"))
+        inside = F.col(name).between(0, (1 << 32) - 1)
+        return F.when(inside, F.struct(F.lit(4).alias("version"), digits.alias("hex")))
+
     rest = [c for c in ranges.columns if c not in ("lo", "hi")]
-    numbered = addresses.filter((F.col("scope") == "public") & (F.col("address.version") == 4))
-    numbered = numbered.withColumn("n", ipv4_long(F.col("ip")))
-    numbered = numbered.withColumn("slot", F.shiftright("n", 16))
-    match = (
-        numbered.join(cut, "slot")
-        .filter(F.col("n").between(F.col("lo"), F.col("hi")))
-        .groupBy("ip")
-        .agg(F.min_by(F.struct(*rest), F.col("hi") - F.col("lo")).alias("match"))
+    cut = (
+        ranges.select(F.struct(*rest).alias("match"), edge("lo").alias("a"), edge("hi").alias("b"))
+        .filter((F.col("a.version") == F.col("b.version")) & (F.col("a.hex") <= F.col("b.hex")))
+        .select("match", range_width("a.hex", "b.hex").alias("width"),
+                F.explode(range_cover(F.col("a.version"), F.col("a.hex"), F.col("b.hex"))).alias("net"))
+        .select("match", "width", "net.*")
     )
-    return addresses.select("ip", "scope").join(match, "ip", "left").select(
+    probes = _probes(addresses.filter(F.col("scope") == "public"), cut)
+    found = probes.join(cut, ["version", "plen", "key"]).groupBy("ip").agg(
+        F.min_by("match", "width").alias("match"))
+    return addresses.select("ip", "scope").join(found, "ip", "left").select(
         "ip", "scope", "match.*"
     )
 
@@ -286,23 +299,27 @@ def add_indicators(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def agent_signals(user_agent: Column) -> Column:
     """Struct ``(ti_score, ti_tags)`` of a user agent; nothing for none."""
-    malware = [(name_in_text(user_agent, n), t) for n, t in MALWARE_AGENTS]
-    scanner = [(name_in_text(user_agent, n), t) for n, t in SCANNER_AGENTS]
     short = F.length(user_agent) < 8
-    points = lambda pairs, each: sum(
-        (F.when(c, each).otherwise(0.0) for c, _ in pairs), F.lit(0.0)
-    )
-    score = (
-        points(malware, SCORE_MALWARE_AGENT)
-        + points(scanner, SCORE_SCANNER_AGENT)
-        + F.when(short, SCORE_SHORT_AGENT).otherwise(0.0)
-    )
-    tags = tag_list(*malware, *scanner, (short, "ua:suspiciously-short"))
     given = has_text(user_agent)
-    return F.struct(
-        F.when(given, score).otherwise(0.0).alias("ti_score"),
-        F.when(given, tags).otherwise(empty_strings()).alias("ti_tags"),
-    )
+
+    def signals(text: Column) -> Column:
+        malware = [(text.contains(marked_name(n)), t) for n, t in MALWARE_AGENTS]
+        scanner = [(text.contains(marked_name(n)), t) for n, t in SCANNER_AGENTS]
+        points = lambda pairs, each: sum(
+            (F.when(c, each).otherwise(0.0) for c, _ in pairs), F.lit(0.0)
+        )
+        score = (
+            points(malware, SCORE_MALWARE_AGENT)
+            + points(scanner, SCORE_SCANNER_AGENT)
+            + F.when(short, SCORE_SHORT_AGENT).otherwise(0.0)
+        )
+        tags = tag_list(*malware, *scanner, (short, "ua:suspiciously-short"))
+        return F.struct(
+            F.when(given, score).otherwise(0.0).alias("ti_score"),
+            F.when(given, tags).otherwise(empty_strings()).alias("ti_tags"),
+        )
+
+    return let(marked_words(F.coalesce(user_agent, F.lit(""))), signals)
 
 
 def username_signals(username: Column) -> Column:
@@ -322,7 +339,7 @@ def username_signals(username: Column) -> Column:
 
 
 def classify_agents(events: DataFrame) -> DataFrame:
-    """``user_agent, agent`` once per distinct text: 23 regexes run per value, not per row."""
+    """``user_agent, agent`` once per distinct text, not per row."""
     return (
         events.select("user_agent")
         .filter(has_text("user_agent"))

@@ -93,11 +93,12 @@ def _named(table: dict[int, str], value: Column, hexadecimal: bool) -> Column:
 def _table_scan(content: Column, base: dict, find: int, at: int, least: int) -> Column:
     """Walk a header table: 1 found, 0 absent, null when it cannot be told."""
     offset, size, count, little = base["offset"], base["size"], base["count"], base["little"]
-    usable = (offset > 0) & (count > 0) & (count <= 4096) & (size >= least)
+    usable = (offset > 0) & (count > 0) & (size >= least)
     entry = lambda i: (offset + i * size).cast("bigint")
     fits = lambda i: entry(i) + at + 4 <= F.length(content)
     hit = lambda i: fits(i) & (_unsigned(content, entry(i) + at, 4, little) == find)
-    slots = F.sequence(F.lit(0), F.least(count.cast("int"), F.lit(4096)) - 1)
+    # Counts are 16-bit fields.
+    slots = F.sequence(F.lit(0), F.greatest(count.cast("int"), F.lit(1)) - 1)
     # The walk stops at the first hit or the first entry outside the file.
     first_hit = F.array_position(F.transform(slots, hit), True)
     whole = fits(count.cast("int") - 1)

@@ -119,7 +119,7 @@ def tag_http(df: DataFrame, body: str = "body") -> DataFrame:
 
 def basic_credentials(authorization: Column) -> Column:
     """Struct ``(username, password)`` of a Basic header, null when there is none."""
-    encoded = F.trim(F.substring(authorization, 7, 1 << 20))
+    encoded = F.trim(F.substring(authorization, F.lit(7), F.length(authorization)))
     decoded = F.try_to_binary(encoded, F.lit("base64"))
     text = F.decode(decoded, "UTF-8")
     pair = let(
@@ -165,21 +165,25 @@ def form_credentials(body: Column) -> Column:
         let(
             fields,
             lambda f: F.struct(
-                F.left(pick(f, False), F.lit(256)).alias("username"),
-                F.left(pick(f, True), F.lit(256)).alias("password"),
+                pick(f, False).alias("username"),
+                pick(f, True).alias("password"),
             ),
         ),
     )
 
 
-def extract_credentials(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``username`` and ``password``: Basic header first, else form fields."""
+def extract_credentials(df: DataFrame, body: str = "body", limit: int | None = None) -> DataFrame:
+    """Add ``username`` and ``password``: Basic header first, else form fields.
+
+    ``limit`` keeps their first characters only; then long values may become one.
+    """
     headers = column_or_null(df, "headers", "map<string,string>")
     basic = basic_credentials(F.try_element_at(headers, F.lit("authorization")))
     out = df.withColumn("_basic", basic).withColumn(
         "_form", form_credentials(column_or_null(df, body))
     )
-    keep = lambda c: F.when(has_text(c), F.left(c, F.lit(256)))
+    cut = lambda c: c if limit is None else F.left(c, F.lit(limit))
+    keep = lambda c: F.when(has_text(c), cut(c))
     from_header = F.col("_basic").isNotNull()
     return (
         out.withColumn(

@@ -54,3 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark, "stage")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablewatch.functions.columns import has_text
 from sablewatch.functions.net import let, parse_network
+from sablewatch.session import cut_lineage
 
 
 def _indicator_rows(tokens: DataFrame, source: Column) -> DataFrame:
@@ -83,21 +87,85 @@ def read_geo(spark: SparkSession, path: str) -> DataFrame:
     ).csv(path, header=True)
 
 
-def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
-    """``*.bin`` files as ``filename, modified, content``, newest first is a sort on use."""
+def list_payload_files(spark: SparkSession, path: str, pattern: str = "*.bin") -> DataFrame:
+    """``path, filename, modified, length`` of captured files; no content is read."""
     return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.bin")
-        .option("ignoreCorruptFiles", "true")
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
         .load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("filename"),
-            F.col("modificationTime").alias("modified"),
-            "content",
-        )
+        .select("path", F.element_at(F.split("path", "/"), -1).alias("filename"),
+                F.col("modificationTime").alias("modified"), "length")
     )
 
 
+#: Bytes of files that one task reads, about.
+TASK_BYTES = 64 << 20
+
+
+def read_payload_files(listing: DataFrame, with_content: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The listed files with ``sha256``, ``content`` and ``error``.
+
+    A file that cannot be read, or whose bytes are not as many as listed, gives a row
+    with an error instead of a content, and stops nothing. Only the listing is
+    shuffled; tasks get about ``task_bytes`` of files each. Without contents, files are
+    hashed in parts of a megabyte and never held whole.
+    """
+    total = listing.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    tasks = max(1, -(-total // task_bytes))
+
+    def run(batches):
+        from pyarrow import fs as pafs
+
+        for batch in batches:
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                uri, length = columns["path"][i].as_py(), columns["length"][i].as_py()
+                digest, parts, error = hashlib.sha256(), [], None
+                try:
+                    if uri.startswith("file:/"):
+                        uri = "/" + uri.removeprefix("file:").lstrip("/")
+                    store, name = pafs.FileSystem.from_uri(uri)
+                    n = 0
+                    with store.open_input_stream(name) as file:
+                        while part := file.read(1 << 20):
+                            n += len(part)
+                            digest.update(part)
+                            if with_content:
+                                parts.append(part)
+                    if n != length:
+                        error = f"{n} of {length} bytes"
+                except (OSError, pa.ArrowException) as problem:
+                    error = f"{type(problem).__name__}: {problem}"
+                row = {name: column.slice(i, 1) for name, column in columns.items()}
+                ok = error is None
+                row["sha256"] = pa.array([digest.hexdigest() if ok else None], pa.string())
+                row["error"] = pa.array([error], pa.string())
+                row["content"] = pa.array([b"".join(parts) if ok and with_content else None], pa.binary())
+                yield pa.RecordBatch.from_pydict(row)
+
+    return listing.select("path", "filename", "modified", "length").repartition(tasks, "path").mapInArrow(
+        run, "path string, filename string, modified timestamp, length long, sha256 string, error string, content binary")
+
+
+def new_payload_files(listing: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``(files, counts)``: contents of the hashes that ``known(sha256)`` lacks, once each.
+
+    Every file is hashed as a stream; of equal files the least path counts, and only
+    that one's bytes are loaded, in the tasks that go on to work with them: no bytes
+    are shuffled. ``counts`` is one row ``seen, new, known, errors``.
+    """
+    digests = cut_lineage(read_payload_files(listing, with_content=False).drop("content"))
+    fresh = digests.filter("error IS NULL").groupBy("sha256").agg(F.min("path").alias("path"))
+    if known is not None:
+        fresh = fresh.join(known.select("sha256"), "sha256", "left_anti")
+    fresh = cut_lineage(fresh)
+    files = read_payload_files(listing.join(fresh.select("path"), "path", "left_semi"))
+    new = fresh.agg(F.count("*")).scalar()
+    counts = digests.agg(
+        F.count("*").alias("seen"), F.count("error").alias("errors"), F.count_distinct("sha256").alias("hashes"),
+    ).withColumn("new", new).select("seen", "new", (F.col("hashes") - F.col("new")).alias("known"), "errors")
+    return files, counts
+
+
 def newest_files(files: DataFrame, limit: int | None) -> DataFrame:
     ordered = files.orderBy(F.desc("modified"), "filename")
     return ordered.limit(limit) if limit else ordered
