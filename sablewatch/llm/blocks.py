@@ -72,31 +72,75 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         first = last
 
 
+#: A Mersenne prime, and a base below it, for the second hash.
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_367_130_551
+
+
+def _powers(n: int, base: int, prime: bool) -> np.ndarray:
+    if not prime:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, out=out)
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:  # the powers known so far, times the next one
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, int(_PRIME))) % _PRIME
+        done += step
+    return out
+
+
+_TABLES: dict[int, tuple[np.ndarray, ...]] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, ...]:
+    """Powers and inverse powers of both bases; those of a block's size are kept."""
+    size = BLOCK_BYTES + 1
+    if n <= size and size in _TABLES:
+        return tuple(t[:n] for t in _TABLES[size])
+    made = n if n > size or n < size // 8 else size
+    tables = (_powers(made, _BASE, False), _powers(made, _BASE_INVERSE, False), _powers(made, _PRIME_BASE, True),
+              _powers(made, pow(_PRIME_BASE, -1, int(_PRIME)), True))
+    if made == size:
+        _TABLES[size] = tables
+    return tuple(t[:n] for t in tables)
+
+
 class PieceHash:
-    """Polynomial prefix sums: the hash of any ``data[start:end]`` in constant time."""
+    """Polynomial prefix sums: the hash of any ``data[start:end]`` in constant time.
+
+    Modulo 2**64 alone, some long pieces of two alternating bytes collide whatever the
+    base; a second sum, modulo a prime, tells these apart.
+    """
 
     def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> None:
         n = len(data)
-        powers = np.full(n + 1, _BASE, np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
+        powers, self.inverse, small, self.small_inverse = _power_tables(n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.multiply(values[data], powers[:n], out=self.prefix[1:])
         np.cumsum(self.prefix, out=self.prefix)
-        inverse = np.full(n + 1, _BASE_INVERSE, np.uint64)
-        inverse[0] = 1
-        self.inverse = np.cumprod(inverse, out=inverse)
+        # Sums of numbers below 2**31 do not overflow.
+        self.small = np.zeros(n + 1, np.uint64)
+        np.multiply((values % _PRIME)[data], small[:n], out=self.small[1:])
+        self.small[1:] %= _PRIME
+        np.cumsum(self.small, out=self.small)
+
+    def _joined(self, value: np.ndarray, small: np.ndarray, at) -> np.ndarray:
+        return mix(value ^ mix((small % _PRIME) * self.small_inverse[at] % _PRIME + _PRIME))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed with the length, so that equal values mean equal pieces."""
         value = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(value + (np.asarray(end) - start).astype(np.uint64))
+        return self._joined(value + (np.asarray(end) - start).astype(np.uint64), self.small[end] - self.small[start], start)
 
     def windows(self, size: int) -> np.ndarray:
         """The hash of every ``data[i:i+size]``."""
         if len(self.prefix) <= size:
             return np.empty(0, np.uint64)
-        return mix((self.prefix[size:] - self.prefix[:-size]) * self.inverse[: len(self.prefix) - size])
+        at = slice(0, len(self.prefix) - size)
+        return self._joined((self.prefix[size:] - self.prefix[:-size]) * self.inverse[at],
+                            self.small[size:] - self.small[:-size], at)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -43,6 +43,7 @@ from sablewatch.llm.bits import passes, send_filter
 from sablewatch.llm.blocks import Block, PieceHash, map_blocks, mix, ragged
 from sablewatch.llm.registry import query, table
 from sablewatch.llm.storage import cut_lineage
+from sablewatch.llm.words import SEPARATOR
 
 TAU = 1
 MIN_BYTES = 40
@@ -260,15 +261,16 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        text.alias("text"))
 
 
-def _long_lines(block: Block, min_bytes: int):
-    """Edges, text, number, and two hashes of the lines that take part."""
+def _worded_lines(block: Block, min_bytes: int):
+    """Edges, text, number and two hashes of the lines with a word, and which are long."""
     starts, ends, doc = lines_of(block)
     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    own = ends - starts >= min_bytes
+    filled = np.concatenate([[0], np.cumsum(~SEPARATOR[block.data])])
+    own = filled[ends] > filled[starts]
     starts, ends, doc, number = (x[own] for x in (starts, ends, doc, number))
     first = PieceHash(block.data)(starts, ends)
     second = PieceHash(block.data, _OTHER_BYTES)(starts, ends)
-    return starts, ends, doc, number, first, second
+    return starts, ends, doc, number, first, second, ends - starts >= min_bytes
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -285,40 +287,42 @@ def removed_lines(docs: DataFrame, *, tau: int = TAU, min_bytes: int = MIN_BYTES
     source = _source(docs, id_col, text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
 
-    def places(block, rows):
-        _, _, doc, number, h, h2 = _long_lines(block, min_bytes)
+    def scan(block, rows):
+        starts, ends, doc, number, h, h2, long = _worded_lines(block, min_bytes)
         if not len(doc):
             return None
+        # A line's keys come with its first row in the block.
+        once = np.flatnonzero(long)
+        once = once[np.unique(h[once], return_index=True)[1]]
+        key, line = coarse_keys(block.data, starts[once], ends[once], tau) if len(once) else (h[:0], once)
+        owner = once[line]
+        order = np.argsort(owner, kind="stable")
+        edges = np.searchsorted(owner[order], np.arange(len(doc) + 1)).astype(np.int32)
         return {"h": _signed(h), "h2": _signed(h2), "doc_id": rows.column(0).take(doc),
-                "tie": rows.column(1).take(doc), "line": number}
+                "tie": rows.column(1).take(doc), "line": number,
+                "keys": pa.ListArray.from_arrays(pa.array(edges), pa.array(_signed(key[order])))}
 
+    # The texts are read once for all of this, and once more for what may have a partner.
+    seen = cut_lineage(map_blocks(
+        source, "text", scan, f"h long, h2 long, doc_id {id_type}, tie long, line long, keys array<long>"))
     place = F.struct("doc_id", "tie", "line").alias("place")
-    occurrences = map_blocks(
-        source, "text", places, f"h long, h2 long, doc_id {id_type}, tie long, line long")
-    first = cut_lineage(occurrences.select("h", "h2", place).groupBy("h", "h2")
+    occurrences = seen.select("h", "h2", place)
+    first = cut_lineage(occurrences.groupBy("h", "h2")
                         .agg(F.min("place").alias("first"), F.count("*").alias("n")))
-    repeats = occurrences.select("h", "h2", place).join(
-        first.filter("n > 1").select("h", "h2", "first"), ["h", "h2"])
+    repeats = occurrences.join(first.filter("n > 1").select("h", "h2", "first"), ["h", "h2"])
     equal = repeats.filter(~F.col("place").eqNullSafe(F.col("first"))).select(
         "place.*", F.lit(False).alias("near"))
 
-    def coarse(block, rows):
-        starts, ends, _, _, h, _ = _long_lines(block, min_bytes)
-        once = np.unique(h, return_index=True)[1]
-        if not len(once):
-            return None
-        key, line = coarse_keys(block.data, starts[once], ends[once], tau)
-        return {"key": _signed(key), "h": _signed(h[once][line])}
-
-    keys = map_blocks(source, "text", coarse, "key long, h long")
+    keys = seen.select("h", F.explode("keys").alias("key"))
     shared = (keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
               .filter("lo != hi").select("key"))
     partnered = cut_lineage(keys.join(shared, "key", "left_semi").select("h").distinct())
     sent = send_filter(partnered)
 
     def texts(block, rows):
-        starts, ends, _, _, h, h2 = _long_lines(block, min_bytes)
-        at = np.flatnonzero(passes(sent, _signed(h)))
+        starts, ends, _, _, h, h2, long = _worded_lines(block, min_bytes)
+        at = np.flatnonzero(long)
+        at = at[passes(sent, _signed(h[at]))]
         at = at[np.unique(h[at], return_index=True)[1]]
         if not len(at):
             return None
@@ -435,21 +439,21 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                            for c in docs.columns])
 
 
-_ORACLE = rf"""WITH l AS (
+_ORACLE = r"""WITH l AS (
     SELECT doc_id, i AS line, ls[i] AS x FROM (
       SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text != ''),
       unnest(range(1, len(ls) + 1)) AS u(i)),
   n AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, line) AS k
-        FROM l WHERE strlen(x) >= {MIN_BYTES}),
+        FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
   f AS (SELECT doc_id, line, x, strlen(x) AS size, left(x, 8) AS head, right(x, 8) AS tail
-        FROM n WHERE k = 1),
+        FROM n WHERE k = 1 AND strlen(x) >= 40),
   -- One edit leaves the first or the last bytes of a line as they are.
   p AS (SELECT a.doc_id, a.line, a.x, b.x AS y, a.size, b.size AS other FROM f a JOIN f b
         ON a.head = b.head AND (b.doc_id, b.line) < (a.doc_id, a.line)
       UNION ALL SELECT a.doc_id, a.line, a.x, b.x, a.size, b.size FROM f a JOIN f b
         ON a.tail = b.tail AND (b.doc_id, b.line) < (a.doc_id, a.line)),
   near AS (SELECT DISTINCT doc_id, line FROM p
-        WHERE abs(size - other) <= {TAU} AND levenshtein(x, y) <= {TAU}),
+        WHERE abs(size - other) <= 1 AND levenshtein(x, y) <= 1),
   c AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY 1),
   e AS (SELECT doc_id, count(*) AS n FROM n WHERE k > 1 GROUP BY 1),
   m AS (SELECT doc_id, count(*) AS n FROM near GROUP BY 1)

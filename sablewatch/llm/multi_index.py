@@ -107,9 +107,10 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = K, id_col: str = "v
     least = (ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
              .groupBy("h", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     single = rows.groupBy("h", "h2").agg(F.min("v").alias("v"))
+    # Nodes are numbered by their least id, so that ties of scores go by node.
     folded = cut_lineage(single.join(least, ["h", "h2"]).withColumn(
         "norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        .withColumn("node", F.monotonically_increasing_id()))
+        .orderBy(F.get("ids", F.lit(0)), "h", "h2").withColumn("node", F.monotonically_increasing_id()))
 
     stats = folded.agg(F.max("norm").alias("norm"), F.max(F.size("v")).alias("dim"), F.min(F.size("v")).alias("low"),
                        F.count("*").alias("n")).first()
@@ -180,7 +181,8 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = K, id_col: str = "v
             for batch in batches:
                 for part, q, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                     q, x = q.values, x.values
-                    score = _grid(q) @ _grid(x).T
+                    left, right = _grid(q), _grid(x)
+                    score = left @ right.T
                     apart = q.field("code").to_numpy().view(np.uint64)[:, None] ^ (
                         x.field("code").to_numpy().view(np.uint64)[None, :])
                     low = np.uint64((1 << width) - 1)
@@ -190,11 +192,19 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = K, id_col: str = "v
                     bound = q.field("bound").to_numpy(zero_copy_only=False)
                     most = min(k + 6, score.shape[1])
                     best = -np.partition(-score, most - 1, axis=1)[:, most - 1]
-                    floor = np.where(np.isnan(bound), best, bound - 1e-9 * np.abs(bound))
+                    floor = np.where(np.isnan(bound), best, bound)
+                    # More than the products' rounding, so that no tie is lost to it.
+                    reach = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1).max()
+                    floor = floor - 1e-12 * reach
                     one, two = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                    node, other = q.field("node").to_numpy()[one], x.field("node").to_numpy()[two]
+                    exact = _in_order(left, right, one, two)
+                    # The best of the block for each query, ties to the smaller node.
+                    order = np.lexsort((other, -exact, one))
+                    nth = np.arange(len(order)) - np.searchsorted(one[order], one[order])
+                    kept = order[nth < k + 6]
                     yield pa.RecordBatch.from_pydict({
-                        "node": q.field("node").take(one), "other": x.field("node").take(two),
-                        "score": score[one, two]})
+                        "node": node[kept], "other": other[kept], "score": exact[kept]})
 
         return met.select("part", "q", "x").mapInArrow(compare, "node long, other long, score double")
 
@@ -233,6 +243,15 @@ def _grid(rows: pa.StructArray) -> np.ndarray:
     return rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
+def _in_order(left: np.ndarray, right: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Products of the rows ``one`` and ``two``, summed from the first component to the last,
+    as :func:`_inner` does: equal to it bit for bit."""
+    out = np.zeros(len(one))
+    for i in range(left.shape[1]):
+        out += left[one, i] * right[two, i]
+    return out
+
+
 def _inner(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
 

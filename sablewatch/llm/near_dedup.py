@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sablewatch.llm.bits import passes, send_filter
@@ -157,6 +157,15 @@ def shingle_sets(column: pa.Array, size: int):
             yield gram[lo:hi], count[lo:hi]
 
 
+def _read_sets(rows: pa.StructArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(ascending shingles, counts)`` of rows with ``grams`` and ``counts``."""
+    out = []
+    for grams, counts in zip(rows.field("grams").to_pylist(), rows.field("counts").to_pylist(), strict=True):
+        gram = np.frombuffer(grams, "<u8")
+        out.append((gram, np.ones(len(gram), np.int64) if counts is None else np.frombuffer(counts, "<u4").astype(np.int64)))
+    return out
+
+
 def _marks(column: pa.Array, registers: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, registers)
 
@@ -208,19 +217,36 @@ class NearDuplicates:
             kept["t2"] == wanted["t2"])
         return kept.join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """``node, grams, counts`` of the given nodes: their shingles, cut once.
+
+        ``counts`` is null where no shingle repeats.
+        """
+        size = self.size
+
+        def cut(batches):
+            for batch in batches:
+                grams, counts = [], []
+                for gram, count in shingle_sets(batch.column(1), size):
+                    grams.append(gram.astype("<u8").tobytes())
+                    counts.append(count.astype("<u4").tobytes() if len(count) and count.max() > 1 else None)
+                yield pa.RecordBatch.from_pydict({
+                    "node": batch.column(0), "grams": pa.array(grams, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+        return self._texts(nodes).mapInArrow(cut, "node long, grams binary, counts binary")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct ``a, b`` pairs whose texts are similar enough."""
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-        texts = cut_lineage(self._texts(ends))
-        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
-        size, threshold = self.size, self.threshold
+        sets = cut_lineage(self._sets(ends))
+        side = lambda node, x: sets.select(F.col("node").alias(node), F.struct("grams", "counts").alias(x))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        threshold = self.threshold
 
         def verify(batches):
             for batch in batches:
                 hit = [probability_jaccard(x, y) >= threshold - 1e-9
-                       for x, y in zip(shingle_sets(batch.column(2), size),
-                                       shingle_sets(batch.column(3), size), strict=True)]
+                       for x, y in zip(_read_sets(batch.column(2)), _read_sets(batch.column(3)), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
@@ -265,7 +291,7 @@ class NearDuplicates:
     def _between_classes(self, members: DataFrame, links: DataFrame) -> DataFrame:
         """Verified links between documents of one band but of different classes."""
         bands, registers, agree = self.bands, self.registers, self.agree
-        size, threshold = self.size, self.threshold
+        threshold = self.threshold
         classes = connected_components(links)
         placed = cut_lineage(members.filter("n > 2").join(classes, "node", "left").select(
             "key", "band", "node", "head", "n", F.coalesce("component", "node").alias("class")))
@@ -273,11 +299,10 @@ class NearDuplicates:
         open_keys = (placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                      .filter("lo != hi").select("key"))
         opened = cut_lineage(placed.join(open_keys, "key", "left_semi").join(heads, "key"))
-        texts = self._texts(opened)
-        full = (opened.join(self.nodes.select("node", "marks"), "node").join(texts, "node")
+        full = (opened.join(self.nodes.select("node", "marks"), "node").join(self._sets(opened), "node")
                 .withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
         # What is not of its head's class meets all blocks of the band.
-        entry = F.struct("node", "class", "marks", "text")
+        entry = F.struct("node", "class", "marks", "grams", "counts")
         whole = full.groupBy("key", "band", "part").agg(F.collect_list(entry).alias("right"))
         odd = (full.filter(F.col("class") != F.col("head_class"))
                .groupBy("key", F.col("part").alias("odd")).agg(F.collect_list(entry).alias("left")))
@@ -300,7 +325,7 @@ class NearDuplicates:
                         if not len(hits):
                             continue
                         if sets_x is None:
-                            sets_x, sets_y = (list(shingle_sets(v.field("text"), size)) for v in (x, y))
+                            sets_x, sets_y = _read_sets(x), _read_sets(y)
                         hits = hits[np.argsort(-share[hits], kind="stable")].tolist()
                         score = plain_jaccards(sets_x[i], [sets_y[j] for j in hits])
                         joined = set()
@@ -353,16 +378,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     same = (F.col("row").getField(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_t1"))
             & (F.xxhash64(F.lit(1), text, F.length(text)) == F.col("_t2")))
     # An id is the name of a class, so rows that repeat id and text are told apart last.
-    chosen = row.join(kept, same).withColumn("_n", F.row_number().over(_repeats()))
+    # Of rows that repeat id and text the one whose other columns hash least stays; a map
+    # has no hash, so it counts as JSON.
+    plain = [F.to_json(f"row.`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"row.`{f.name}`")
+             for f in docs.schema if f.name != text_col]
+    repeats = Window.partitionBy("_kept_id", "_t1", "_t2").orderBy(F.xxhash64(*plain), F.hash(*plain))
+    chosen = row.join(kept, same).withColumn("_n", F.row_number().over(repeats))
     return chosen.filter("_n = 1").select("row.*")
 
 
-def _repeats():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_kept_id", "_t1", "_t2").orderBy(F.lit(1))
-
-
 @query("op3_near_dedup")
 def op3_near_dedup(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents"))

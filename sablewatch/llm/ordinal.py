@@ -116,7 +116,7 @@ def select_features(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, n
     best = np.zeros(len(distinct))
     for k in range(1, n_grades):
         high = grade >= k
-        share = high.mean()
+        share = high.mean() if n else 0.0
         if share in (0.0, 1.0):
             continue
         seen = np.bincount(inverse, high[owner], len(distinct))

@@ -14,8 +14,8 @@ fill, never a rule). Bins with the same source bitmap share a bitmap of occupied
 residuals, in which the successor of a size is found by bit operations; the search
 goes on, over bitmaps and residuals, until it has the tightest compatible bin.
 
-Documents are dealt to shards by the hash of their id, so a hot source or cluster is
-spread; each shard of about ``shard_rows`` rows is packed by one task. Only ids,
+Documents are dealt to shards by the hash of their id and place in the input, so a hot
+source or cluster, or rows that repeat an id and text, are spread; each shard of about ``shard_rows`` rows is packed by one task. Only ids,
 sources, sizes and cluster hashes are shuffled, no texts. Shards grow with the table,
 not in size.
 
@@ -56,8 +56,10 @@ class Shelf:
         self.counts: list[dict[int, int]] = []  # per bin, documents of each source
         self.sources: list[int] = []  # per bin, bitmap of sources at their limit
         self.left: list[int] = []
-        # Item class -> where its last search ended: what lay before stays incompatible.
-        self.resume: dict[tuple[int, int, int], int] = {}
+        # The class (size, source, whole cluster) of the item before, and where its search
+        # ended: while items of one class follow each other, what lay before stays closed.
+        self.last: tuple[int, int, int] | None = None
+        self.at = 0
 
     def _file(self, bin_: int) -> None:
         full, left = self.sources[bin_], self.left[bin_]
@@ -75,10 +77,11 @@ class Shelf:
             if not self.occupied[full]:
                 del self.occupied[full]
 
-    def find(self, size: int, source: int, cluster: int) -> int | None:
-        """The tightest bin that may take the item, if any may."""
-        key = size, source, cluster
-        at = self.resume.get(key, size) if cluster else size
+    def find(self, size: int, source: int, cluster: int, name: int) -> int | None:
+        """The tightest bin that may take the item, if any may; ``name`` is the whole cluster."""
+        key = size, source, name
+        at = self.at if cluster and key == self.last else size
+        self.last = key
         open_ = [m for full, m in self.occupied.items() if not full & source]
         union = 0
         for m in open_:
@@ -95,15 +98,15 @@ class Shelf:
                             best = bin_
                         break
             if best is not None:
-                self.resume[key] = at
+                self.at = at
                 return best
             at += 1
-        self.resume[key] = at
+        self.at = at
         return None
 
-    def put(self, size: int, source: int, cluster: int) -> int:
+    def put(self, size: int, source: int, cluster: int, name: int) -> int:
         """Places an item; returns its bin. Items come by descending size."""
-        bin_ = self.find(size, source, cluster)
+        bin_ = self.find(size, source, cluster, name)
         if bin_ is None:
             bin_ = len(self.left)
             self.left.append(self.capacity)
@@ -135,7 +138,7 @@ def pack_shard(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, cap
         bits = clusters[i]
         cluster = 1 << int(bits % CLUSTER_BITS) if bits else 0
         source = 1 << int(sources[i]) if sources[i] >= 0 else 0
-        out[i] = shelf.put(int(sizes[i]), source, cluster)
+        out[i] = shelf.put(int(sizes[i]), source, cluster, int(bits))
     return out
 
 
@@ -158,7 +161,8 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int
         F.when(origin.isNotNull(), cluster).alias("cluster"),
         F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(
+        F.xxhash64("doc_id", "cluster", "size", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def pack(key, group):

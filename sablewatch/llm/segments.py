@@ -55,7 +55,7 @@ class SegmentTable:
     def __init__(self, encode: Callable[[list[bytes]], dict[str, list[np.ndarray]]],
                  columns: dict[str, type], limit: int = TABLE_SEGMENTS) -> None:
         self.encode = encode
-        self.columns = {name: Ragged(kind) for name, kind in columns.items()}
+        self.columns = {name: Ragged(kind) for name, kind in columns.items()} | {"_text": Ragged(np.uint8)}
         self.limit = limit
         self.hashes = np.empty(0, np.uint64)  # ascending
         self.rows = np.empty(0, np.int64)  # rows[i] is the row of hashes[i]
@@ -90,14 +90,37 @@ class SegmentTable:
             raw = data.tobytes()
             pieces = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(),
                                                strict=True)]
-            row[new] = np.arange(len(self.hits), len(self.hits) + len(new))
-            for name, parts in self.encode(pieces).items():
-                self.columns[name].append(parts)
-            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+            row[new] = self._append(pieces)
             self.hashes = np.insert(self.hashes, at[new], distinct[new])
             self.rows = np.insert(self.rows, at[new], row[new])
         self.hits[row] += 1
-        return row[inverse]
+        return self._checked(row[inverse], data, starts, ends)
+
+    def _append(self, pieces: list[bytes]) -> np.ndarray:
+        """New rows for some segments."""
+        rows = np.arange(len(self.hits), len(self.hits) + len(pieces))
+        columns = self.encode(pieces) | {"_text": [np.frombuffer(p, np.uint8) for p in pieces]}
+        for name, parts in columns.items():
+            self.columns[name].append(parts)
+        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int64)])
+        return rows
+
+    def _checked(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The rows, but rows of their own for segments whose bytes are not the row's."""
+        sizes = ends - starts
+        same = self.columns["_text"].lengths[rows] == sizes
+        live = np.flatnonzero(same)
+        if len(live):
+            text, _ = self.columns["_text"].take(rows[live])
+            differ = text != data[ragged(starts[live], sizes[live])]
+            if differ.any():
+                same[live] = np.add.reduceat(differ, np.cumsum(sizes[live]) - sizes[live]) == 0
+        if same.all():
+            return rows
+        odd = np.flatnonzero(~same)
+        rows = rows.copy()
+        rows[odd] = self._append([data[a:b].tobytes() for a, b in zip(starts[odd], ends[odd], strict=True)])
+        return rows
 
 
 _SPACE = np.zeros(256, bool)

@@ -10,7 +10,7 @@ one bucket, at most a few bit tests, one fingerprint test, one ranged read.
 
 Null or empty text: only the end id. Null id: sorts first, and is a key like any
 other. Rows that repeat an id stay separate records, in order of their text's
-hash; the n-th one is found under (id, n). Other columns are ignored. An empty
+hash; the n-th one is found under (id, n). Many rows of one id lie in several shards. Other columns are ignored. An empty
 table gives a store without shards. A key that was never stored is told by its
 fingerprint (a false hit has chance 2**-32).
 """
@@ -22,11 +22,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sablewatch.llm.blocks import blocks, mix
-from sablewatch.llm.byte_tokens import default_tokenizer, encode_block, token_table
+from sablewatch.llm.byte_tokens import default_tokenizer
+from sablewatch.llm.id_payloads import id_payloads
 from sablewatch.llm.registry import query, table
 from sablewatch.llm.storage import cut_lineage, new_file, read_range, shared_folder
 
@@ -36,6 +37,8 @@ BUCKET_KEYS = 50_000
 #: Bits per key at each level of the hash.
 GAMMA = 2
 _NULL_KEY = -(1 << 63)
+#: Row numbers of one id that are made at a time.
+RUN = 10_000
 _SEED = np.uint64(0xA24BAED4963EE407)
 _ROWS = "key long, nth long, shard int, at long, n_tokens long"
 
@@ -148,18 +151,20 @@ def write_store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY)).alias("key"),
-        F.xxhash64(F.col(text_col)).alias("tie"),
+        F.xxhash64(F.col(text_col)).alias("tie"), F.monotonically_increasing_id().alias("row"),
         F.col(text_col).alias("text"),
     )
-    # Ranged before encoding: the range bounds are sampled from the ids alone.
-    placed = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", "tie")
+    # Ranged before encoding; the tie and the row split an id that many rows share.
+    order = ["key", "tie", "row"]
+    placed = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "text")
 
     def encode(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        known = token_table(path, False)
-        limit = np.iinfo(np.dtype(width)).max
+        known = id_payloads(path)
+        kind = np.dtype(width)
+        limit, end = np.iinfo(kind).max, np.array([end_id], kind).tobytes()
         at, last, count = 0, None, 0
         first = next(batches, None)
         if first is None:
@@ -167,13 +172,15 @@ def write_store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
         with new_file(f"{folder}/ids-{shard:06d}.bin") as file:
             for batch in itertools.chain([first], batches):
                 keys = batch.column(0).to_numpy()
-                for block in blocks(batch.column(2)):
-                    ids, edges, _ = encode_block(block, known)
-                    lengths = np.diff(edges) + 1
-                    full = np.insert(ids, edges[1:], end_id)
-                    if full.max() > limit:
-                        raise ValueError(f"id {full.max()} needs more than {width}")
-                    file.write(full.astype(width).tobytes())
+                for block in blocks(batch.column(1)):
+                    raw = []
+                    for i in range(len(block)):
+                        ids = known.encode(block.text(i))
+                        if len(ids) and ids.max() > limit:
+                            raise ValueError(f"id {ids.max()} needs more than {width}")
+                        raw.append(ids.astype(kind, copy=False).tobytes() + end)
+                    file.write(b"".join(raw))
+                    lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // kind.itemsize
                     own, nth = keys[block.rows], np.zeros(len(block), np.int64)
                     for i, key in enumerate(own.tolist()):
                         count = count + 1 if key == last else 0
@@ -185,9 +192,19 @@ def write_store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
                     at = int(ends[-1])
 
     located = cut_lineage(placed.mapInArrow(encode, _ROWS))
-    totals = located.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
+    totals = located.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"),
+                                          F.min("key").alias("low"), F.max("key").alias("high"))
     # One row per shard, not per document.
-    sizes = {r.shard: (r.n, r.docs) for r in totals.collect()}
+    found = sorted(totals.collect(), key=lambda r: r.shard)
+    sizes = {r.shard: (r.n, r.docs) for r in found}
+    crossing = sorted({a.high for a, b in zip(found, found[1:], strict=False) if a.high == b.low})
+    if crossing:  # ids that go on in the next shard: their rows are numbered through
+        parts = located.filter(F.col("key").isin(crossing)).groupBy("key", "shard").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        # At most two rows for each shard.
+        offsets = parts.select("key", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        located = located.join(F.broadcast(offsets), ["key", "shard"], "left").select(
+            "key", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("nth"), "shard", "at", "n_tokens")
     n_buckets = max(1, -(-sum(d for _, d in sizes.values()) // BUCKET_KEYS))
     starts, before = {}, 0
     for shard in sorted(sizes):
@@ -286,10 +303,16 @@ def read_store(keys: DataFrame, store: dict) -> DataFrame:
 
 
 def stored_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``key, nth`` of every row of a table: the n-th row of an id."""
+    """``key, nth`` of every row of a table: the n-th row of an id.
+
+    Numbers are made in runs of ``RUN``, which are dealt out, for ids of very many rows.
+    """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY)).alias("key")
     counts = docs.select(key).groupBy("key").agg(F.count("*").alias("n"))
-    return counts.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth"))
+    step = F.lit(RUN).cast("long")
+    runs = counts.select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("at"))
+    dealt = runs.repartition("key", "at")
+    return dealt.select("key", F.explode(F.sequence("at", F.least(F.col("at") + step, F.col("n")) - 1)).alias("nth"))
 
 
 @query("op10_token_store")

@@ -78,7 +78,7 @@ def test_edit_distance_band():
 @pytest.mark.parametrize("tau", [1, 2])
 def test_line_dedup(docs, tau):
     got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs, tau=tau, min_bytes=12).collect()}
-    seen, want = [], set()
+    seen, whole, want = [], set(), set()
     for i, text in rows_of(docs):
         if text is None:
             want.add((i, None))
@@ -86,9 +86,12 @@ def test_line_dedup(docs, tau):
         left = []
         for line in text.split("\n"):
             raw = line.encode()
-            if len(raw) >= 12:
-                hit = any(abs(len(raw) - len(s)) <= tau and line_dedup.within_edits(raw, s, tau) for s in seen)
-                seen.append(raw)
+            if raw.strip(b" \t\n\x0b\x0c\r"):
+                hit = raw in whole or len(raw) >= 12 and any(
+                    abs(len(raw) - len(s)) <= tau and line_dedup.within_edits(raw, s, tau) for s in seen)
+                whole.add(raw)
+                if len(raw) >= 12:
+                    seen.append(raw)
                 if hit:
                     continue
             left.append(line)
@@ -319,6 +322,52 @@ def test_packing_is_best_fit():
             held[b].append(i)
 
 
+def test_packing_is_best_fit_with_thousands_of_clusters():
+    """Clusters share bits of the bitmap; equal sizes of other clusters lie in between."""
+    rng = np.random.default_rng(4)
+    for most in (12, 90):
+        n = 1500
+        sizes, clusters = rng.integers(1, most, n), rng.integers(1, 1 << 60, n // 2).astype(np.uint64)
+        clusters = clusters[rng.integers(0, len(clusters), n)]
+        got = packing.pack_shard(sizes, np.full(n, -1), clusters, 100, 9)
+        left, bits = np.empty(n, np.int64), np.zeros((n, packing.CLUSTER_BITS), bool)
+        used = 0
+        for i in np.lexsort((np.full(n, -1), clusters, -sizes)).tolist():
+            bit = int(clusters[i] % packing.CLUSTER_BITS)
+            fits = np.flatnonzero((left[:used] >= sizes[i]) & ~bits[:used, bit])
+            if not len(fits):
+                assert got[i] == used
+                left[used] = 100
+                used += 1
+            else:
+                assert left[got[i]] == left[fits].min()
+            left[got[i]] -= sizes[i]
+            bits[got[i], bit] = True
+
+
+def test_search_ties(spark):
+    """Vectors of 0 and 1: many different ones tie, and the smaller ids come first."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    grid = np.unique(rng.integers(0, 2, size=(900, 10)), axis=0)
+    grid = grid[grid.any(axis=1)]
+    ids = rng.permutation(len(grid))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, grid.astype(float), strict=True)],
+                               "vec_id long, embedding array<double>")
+    got = {}
+    for r in multi_index.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    hits = 0
+    for q, found in got.items():
+        score = dict(zip(ids.tolist(), (grid @ grid[int(np.flatnonzero(ids == q)[0])]).tolist(), strict=True))
+        order = sorted((i for i in score if i != q), key=lambda i: (-score[i], i))[:20]
+        listed = [found[k] for k in range(1, 21)]
+        assert listed == sorted(listed, key=lambda i: (-score[i], i))
+        hits += len(set(listed) & set(order))
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_search(spark):
     rng = np.random.default_rng(8)
     grid = rng.normal(size=(700, 16)) * rng.uniform(0.5, 2, size=(700, 1))

@@ -39,9 +39,7 @@ def docs(spark, texts):
 def library():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pieces_equal_the_library(docs, texts):
@@ -159,6 +157,60 @@ def test_attribution_equals_brute_force(spark, texts, library, rule):
         assert sorted(got[i]) == sorted(want), repr(text)
 
 
+def colliding_pair() -> tuple[str, str]:
+    """Two texts of 1,024 letters with equal polynomial sums modulo 2**64, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_no_collision_of_alternating_texts(spark, library):
+    from sablewatch.llm.blocks import PieceHash
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    one, two = colliding_pair()
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    a, b = PieceHash(data)(np.array([0, 1024]), np.array([1024, 2048]))
+    assert a != b
+    docs = spark.createDataFrame([(0, one), (1, two), (2, f"{one} {two}")], "doc_id long, text string").coalesce(1)
+    for r in pieces.encode_pieces(docs).collect():
+        assert list(r.ids) == sp.encode([one, two, f"{one} {two}"][r.doc_id])
+    store = token_store.write_store(docs, shared_folder(spark, "store"), shards=1)
+    for r in token_store.read_store(token_store.stored_keys(docs), store).collect():
+        assert np.frombuffer(r.ids, "<u2").tolist()[:-1] == library.encode([one, two, f"{one} {two}"][r.key]).ids
+
+
+def test_a_false_hit_gets_a_row_of_its_own(monkeypatch):
+    """With a hash that tells nothing apart, segments still get their own ids."""
+    from sablewatch.llm import segments
+
+    monkeypatch.setattr(segments, "PieceHash", lambda data: lambda start, end: np.zeros(len(start), np.uint64))
+    known = segments.SegmentTable(lambda found: {"ids": [np.array([len(p), p[0]]) for p in found]}, {"ids": np.int64})
+    data = np.frombuffer(b"aabbbacc", np.uint8)
+    for _ in range(2):
+        rows = known.look_up(data, np.array([0, 2, 5, 6]), np.array([2, 5, 6, 8]))
+        ids, _ = known.columns["ids"].take(rows)
+        assert ids.reshape(-1, 2).tolist() == [[2, 97], [3, 98], [1, 97], [2, 99]]
+
+
+def test_store_of_one_hot_id(spark, library):
+    """Rows of one id, and of no id, lie in several shards and are numbered through."""
+    rows = [(7, f"text {i % 40}") for i in range(300)] + [(None, f"none {i}") for i in range(150)] + [(i, "x") for i in range(100, 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = token_store.write_store(docs, shared_folder(spark, "store"), shards=6)
+    got = token_store.read_store(token_store.stored_keys(docs), store).collect()
+    assert len({(r.key, r.nth) for r in got}) == len(rows) == len(got)
+    assert sorted(r.nth for r in got if r.key == 7) == list(range(300))
+    found = sorted((r.key, np.frombuffer(r.ids, "<u2").tolist()) for r in got)
+    null = -(1 << 63)
+    assert found == sorted((null if k is None else k, library.encode(t).ids + [2]) for k, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_schema_of_ids_is_kept(spark):
     df = spark.createDataFrame([("k", "a b")], "doc_id string, text string")
     assert pieces.encode_pieces(df).schema["doc_id"].dataType == T.StringType()
