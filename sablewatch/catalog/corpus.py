@@ -508,13 +508,13 @@ def campaigns(spark, sf):
     return found.select("campaign", "size", "event_count", F.round("cohesion", 5).alias("cohesion"))
 
 
-def _campaigns(spark, sf):
+def _campaigns(spark, sf, threshold=C.CAMPAIGN_THRESHOLD):
     ev = events(spark, sf)
     table = ev.groupBy("src_ip").agg(
         F.count("*").alias("event_count"), F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"), F.max("asn").alias("asn"),
         F.max("country").alias("country"), F.lit("probe").alias("classification"))
-    return C.find_campaigns(tokens(spark, sf), table)
+    return C.find_campaigns(tokens(spark, sf), table, threshold)
 
 
 @query("campaign_facts", _recursive("""
@@ -533,9 +533,10 @@ def campaign_facts(spark, sf):
   FROM (SELECT campaign, facet, value, count(*) AS n FROM comps JOIN tokens USING (src_ip)
     WHERE facet IN ('credentials', 'payloads', 'paths') GROUP BY 1, 2, 3)
   JOIN (SELECT campaign, count(*) AS size FROM comps GROUP BY 1) USING (campaign)
-  WHERE n = size GROUP BY 1, 2""", TOKENS, EDGES, _REACH))
+  WHERE n = size GROUP BY 1, 2""", TOKENS, EDGES.replace("0.35", "0.45"), _REACH))
 def campaign_shared_values(spark, sf):
-    found, _ = _campaigns(spark, sf)
+    """At a threshold that leaves several campaigns, whose members have values in common."""
+    found, _ = _campaigns(spark, sf, 0.45)
     cells = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f"shared_{f}").alias("vs"))
                       for f in ("credentials", "payloads", "paths")])
     rows = found.select("campaign", F.explode(cells).alias("c")).select("campaign", "c.*")
