@@ -91,56 +91,72 @@ def _powers(n: int, base: int, prime: bool) -> np.ndarray:
     return out
 
 
-_TABLES: dict[int, tuple[np.ndarray, ...]] = {}
+_TABLES: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, ...]:
-    """Powers and inverse powers of both bases; those of a block's size are kept."""
+def _power_tables(n: int, prime: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Powers and inverse powers of a base; those of a block's size are kept."""
     size = BLOCK_BYTES + 1
-    if n <= size and size in _TABLES:
-        return tuple(t[:n] for t in _TABLES[size])
+    if n <= size and prime in _TABLES:
+        return tuple(t[:n] for t in _TABLES[prime])
+    base, inverse = (_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME))) if prime else (_BASE, _BASE_INVERSE)
     made = n if n > size or n < size // 8 else size
-    tables = (_powers(made, _BASE, False), _powers(made, _BASE_INVERSE, False), _powers(made, _PRIME_BASE, True),
-              _powers(made, pow(_PRIME_BASE, -1, int(_PRIME)), True))
+    tables = _powers(made, base, prime), _powers(made, inverse, prime)
     if made == size:
-        _TABLES[size] = tables
+        _TABLES[prime] = tables
     return tuple(t[:n] for t in tables)
 
 
 class PieceHash:
     """Polynomial prefix sums: the hash of any ``data[start:end]`` in constant time.
 
-    Modulo 2**64 alone, some long pieces of two alternating bytes collide whatever the
-    base; a second sum, modulo a prime, tells these apart.
+    Modulo 2**64 alone, some pieces of a thousand bytes of two kinds collide whatever the
+    base. So pieces of ``LONG`` bytes and more get a second sum, modulo a prime, which
+    tells these apart; it is made when first needed.
     """
 
+    LONG = 128
+
     def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> None:
         n = len(data)
-        powers, self.inverse, small, self.small_inverse = _power_tables(n + 1)
+        powers, self.inverse = _power_tables(n + 1, False)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.multiply(values[data], powers[:n], out=self.prefix[1:])
         np.cumsum(self.prefix, out=self.prefix)
-        # Sums of numbers below 2**31 do not overflow.
-        self.small = np.zeros(n + 1, np.uint64)
-        np.multiply((values % _PRIME)[data], small[:n], out=self.small[1:])
-        self.small[1:] %= _PRIME
-        np.cumsum(self.small, out=self.small)
-
-    def _joined(self, value: np.ndarray, small: np.ndarray, at) -> np.ndarray:
-        return mix(value ^ mix((small % _PRIME) * self.small_inverse[at] % _PRIME + _PRIME))
+        self._source, self._second = (data, values), None
+
+    def _prime_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._second is None:
+            data, values = self._source
+            powers, inverse = _power_tables(len(data) + 1, True)
+            # Sums of numbers below 2**31 do not overflow.
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.multiply((values % _PRIME)[data], powers[: len(data)], out=sums[1:])
+            sums[1:] %= _PRIME
+            self._second = np.cumsum(sums, out=sums), inverse
+        return self._second
+
+    def _joined(self, value: np.ndarray, start, end) -> np.ndarray:
+        sums, inverse = self._prime_sums()
+        return mix(value ^ mix((sums[end] - sums[start]) % _PRIME * inverse[start] % _PRIME + _PRIME))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed with the length, so that equal values mean equal pieces."""
-        value = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return self._joined(value + (np.asarray(end) - start).astype(np.uint64), self.small[end] - self.small[start], start)
+        start, end = np.asarray(start), np.asarray(end)
+        value = (self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64)
+        out = mix(value)
+        long = np.flatnonzero(end - start >= self.LONG)
+        if len(long):
+            out[long] = self._joined(value[long], start[long], end[long])
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """The hash of every ``data[i:i+size]``."""
-        if len(self.prefix) <= size:
+        n = len(self.prefix) - size
+        if n <= 0:
             return np.empty(0, np.uint64)
-        at = slice(0, len(self.prefix) - size)
-        return self._joined((self.prefix[size:] - self.prefix[:-size]) * self.inverse[at],
-                            self.small[size:] - self.small[:-size], at)
+        value = (self.prefix[size:] - self.prefix[:-size]) * self.inverse[:n]
+        return mix(value) if size < self.LONG else self._joined(value, slice(0, n), slice(size, None))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
