@@ -15,8 +15,8 @@ metric, and ProbMinHash signatures agree in a register with probability J.
    once they are later than the latest first arrival of its document.
 3. Registers are cut into bands; documents that share a band are candidates. Each
    is compared with its band's earliest document. Bands whose documents do not all
-   fall into one class that way are compared in full, in blocks of ``BLOCK``
-   documents, except inside classes, where no link could change the result; of the
+   fall into one class that way are compared in full, in blocks of ``BLOCK_BYTES``
+   bytes, except inside classes, where no link could change the result; of the
    links that join a document to one class, one is enough.
 4. Candidate pairs whose signatures agree often enough are verified on the whole
    texts, exactly. Classes are the connected components of the verified links.
@@ -49,8 +49,10 @@ BANDS, ROWS = 25, 5
 #: Agreement of signatures below which a pair is not verified: 3.4 standard
 #: deviations under the threshold.
 AGREE = 0.68
-#: Documents in a block of a full comparison.
-BLOCK = 64
+#: Bytes of shingles and signatures in a block of a full comparison, about.
+BLOCK_BYTES = 512 << 10
+#: Documents of a block whose signatures are compared with another block at a time.
+ROWS_AT_ONCE = 64
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -166,10 +168,38 @@ def _read_sets(rows: pa.StructArray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _root(roots: dict[int, int], node: int) -> int:
+    """The name of a class after the joins noted in ``roots``; shortens the way to it."""
+    while node in roots:
+        up = roots[node]
+        if up in roots:
+            roots[node] = roots[up]
+        node = up
+    return node
+
+
 def _marks(column: pa.Array, registers: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, registers)
 
 
+def _agreeing(one: np.ndarray, two: np.ndarray, class_x: np.ndarray, class_y: np.ndarray,
+              agree: float, bands: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, share)`` of signatures that agree, of different classes.
+
+    A pair is judged in the first band it shares.
+    """
+    out = []
+    for lo in range(0, len(one), ROWS_AT_ONCE):
+        same = one[lo:lo + ROWS_AT_ONCE, None, :] == two[None, :, :]
+        share = np.count_nonzero(same, axis=2) / one.shape[1]
+        i, j = np.nonzero((share >= agree) & (class_x[lo:lo + ROWS_AT_ONCE, None] != class_y[None, :]))
+        whole = same[i, j].reshape(len(i), bands, one.shape[1] // bands).all(axis=2)
+        first = whole.argmax(axis=1) == band
+        i, j = i[first], j[first]
+        out.append((i + lo, j, share[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class NearDuplicates:
     """The tables of one run; ``classes()`` gives its result."""
 
@@ -252,8 +282,8 @@ class NearDuplicates:
 
         return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
-    def links(self) -> DataFrame:
-        """Verified links ``a, b`` that connect every class."""
+    def components(self) -> DataFrame:
+        """``node, component`` of every text."""
         bands, registers, agree = self.bands, self.registers, self.agree
 
         def cut(batches):
@@ -285,22 +315,30 @@ class NearDuplicates:
                  .join(signs.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
                  .select("a", "b", "x", "y").mapInArrow(agreeing, "a long, b long"))
         by_head = cut_lineage(self._verified(cut_lineage(pairs)))
-        rest = cut_lineage(self._between_classes(members, by_head))
-        return by_head.unionByName(rest)
-
-    def _between_classes(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        """Verified links between documents of one band but of different classes."""
+        by_node = self.nodes.select("node").join(connected_components(by_head), "node", "left").select(
+            "node", F.coalesce("component", "node").alias("class"))
+        classes = cut_lineage(by_node)
+        # Classes are joined by name, so that no link is followed twice.
+        joined = connected_components(self._between_classes(members, classes))
+        return classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select(
+            "node", F.coalesce("component", "class").alias("component"))
+
+    def _between_classes(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """Classes ``a, b`` with a verified link between documents of one band."""
         bands, registers, agree = self.bands, self.registers, self.agree
         threshold = self.threshold
-        classes = connected_components(links)
-        placed = cut_lineage(members.filter("n > 2").join(classes, "node", "left").select(
-            "key", "band", "node", "head", "n", F.coalesce("component", "node").alias("class")))
+        placed = cut_lineage(members.filter("n > 2").join(classes, "node").select(
+            "key", "band", "node", "head", "n", "class"))
         heads = placed.filter("node = head").select("key", F.col("class").alias("head_class"))
         open_keys = (placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                      .filter("lo != hi").select("key"))
         opened = cut_lineage(placed.join(open_keys, "key", "left_semi").join(heads, "key"))
-        full = (opened.join(self.nodes.select("node", "marks"), "node").join(self._sets(opened), "node")
-                .withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))))
+        size = F.length("grams") + F.coalesce(F.length("counts"), F.lit(0)) + 4 * registers
+        sets = cut_lineage(self._sets(opened).withColumn("bytes", size))
+        parts = (opened.join(sets.select("node", "bytes"), "node").groupBy("key")
+                 .agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("parts")))
+        full = (opened.join(parts, "key").join(self.nodes.select("node", "marks"), "node").join(sets, "node")
+                .withColumn("part", F.pmod(F.xxhash64("node"), "parts")))
         # What is not of its head's class meets all blocks of the band.
         entry = F.struct("node", "class", "marks", "grams", "counts")
         whole = full.groupBy("key", "band", "part").agg(F.collect_list(entry).alias("right"))
@@ -308,36 +346,36 @@ class NearDuplicates:
                .groupBy("key", F.col("part").alias("odd")).agg(F.collect_list(entry).alias("left")))
 
         def compare(batches):
+            roots: dict[int, int] = {}  # an entry for each link this task returns
             for batch in batches:
                 a, b = [], []
                 for band, left, right in zip(*batch.columns, strict=True):
                     x, y, band = left.values, right.values, band.as_py()
                     one, two = (_marks(v.field("marks"), registers) for v in (x, y))
                     class_x, class_y = (v.field("class").to_numpy() for v in (x, y))
-                    node_x, node_y = (v.field("node").to_numpy() for v in (x, y))
-                    sets_x = sets_y = None
-                    for i in range(len(one)):
-                        same = two == one[i]
-                        share = same.mean(axis=1)
-                        # A pair is judged in the first band it shares.
-                        first = same.reshape(len(two), bands, -1).all(axis=2).argmax(axis=1)
-                        hits = np.flatnonzero((share >= agree) & (class_y != class_x[i]) & (first == band))
-                        if not len(hits):
-                            continue
-                        if sets_x is None:
-                            sets_x, sets_y = _read_sets(x), _read_sets(y)
-                        hits = hits[np.argsort(-share[hits], kind="stable")].tolist()
-                        score = plain_jaccards(sets_x[i], [sets_y[j] for j in hits])
-                        joined = set()
-                        for j, like in zip(hits, score.tolist(), strict=True):
-                            if class_y[j] in joined:
+                    i, j, share = _agreeing(one, two, class_x, class_y, agree, bands, band)
+                    if not len(i):
+                        continue
+                    order = np.lexsort((-share, i))
+                    i, j = i[order], j[order]
+                    sets_x, sets_y = _read_sets(x), _read_sets(y)
+                    for mine in np.split(j, np.flatnonzero(np.diff(i)) + 1):
+                        at = i[0]
+                        i = i[len(mine):]
+                        # Classes that this task has joined by links need no other link.
+                        own = _root(roots, class_x[at])
+                        mine = [k for k in mine.tolist() if _root(roots, class_y[k]) != own]
+                        score = plain_jaccards(sets_x[at], [sets_y[k] for k in mine])
+                        for k, like in zip(mine, score.tolist(), strict=True):
+                            other = _root(roots, class_y[k])
+                            if other == _root(roots, class_x[at]):
                                 continue
                             if like != like:  # NaN: a shingle repeats
-                                like = probability_jaccard(sets_x[i], sets_y[j])
+                                like = probability_jaccard(sets_x[at], sets_y[k])
                             if like >= threshold - 1e-9:
-                                joined.add(class_y[j])
-                                a.append(max(node_x[i], node_y[j]))
-                                b.append(min(node_x[i], node_y[j]))
+                                roots[other] = _root(roots, class_x[at])
+                                a.append(class_x[at])
+                                b.append(class_y[k])
                 if a:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -350,9 +388,8 @@ class NearDuplicates:
         The class is named by the least doc_id in it; the first row of that id and
         text order is kept, so each class keeps one row.
         """
-        found = connected_components(self.links())
-        own = self.nodes.select("node", "doc_id", "t1", "t2").join(found, "node", "left").select(
-            "node", "doc_id", "t1", "t2", F.coalesce("component", "node").alias("component"))
+        # The best of a component and the rows of it both read this table.
+        own = cut_lineage(self.nodes.select("node", "doc_id", "t1", "t2").join(self.components(), "node"))
         best = own.groupBy("component").agg(F.min(F.struct(F.struct("doc_id"), "node")).alias("best"))
         named = own.join(best, "component").select(
             "t1", "t2", F.col("best.col1.doc_id").alias("class_id"),
