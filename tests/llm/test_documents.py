@@ -243,8 +243,29 @@ def test_near_duplicates(docs):
     assert sorted((key(r.doc_id) for r in kept.collect())) == sorted(key(c) for c in {c for _, c in want})
 
 
-def test_star_of_variants_is_one_class(spark):
-    """Variants near the base alone, and one chained over another variant."""
+def test_agreeing_signatures_equal_pairwise_comparison():
+    rng = np.random.default_rng(3)
+    bands, rows = 5, 3
+    one = rng.integers(0, 2, (150, bands * rows)).astype(np.uint32)
+    two = rng.integers(0, 2, (40, bands * rows)).astype(np.uint32)
+    class_x, class_y = rng.integers(0, 4, 150), rng.integers(0, 4, 40)
+    for band in range(bands):
+        want = set()
+        for i in range(len(one)):
+            for j in range(len(two)):
+                same = one[i] == two[j]
+                shared = [b for b in range(bands) if same[b * rows:(b + 1) * rows].all()]
+                # Blocks meet under a band they share; argmax of none is the first.
+                if class_x[i] != class_y[j] and same.mean() >= 0.6 and (shared or [0])[0] == band:
+                    want.add((i, j, round(same.mean(), 9)))
+        got = zip(*near_dedup._agreeing(one, two, class_x, class_y, 0.6, bands, band), strict=True)
+        assert {(int(i), int(j), round(float(x), 9)) for i, j, x in got} == want
+
+
+@pytest.mark.parametrize("block_bytes", [near_dedup.BLOCK_BYTES, 6_000])
+def test_star_of_variants_is_one_class(spark, monkeypatch, block_bytes):
+    """Variants near the base alone, and one chained over another variant; also over many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block_bytes)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
 
