@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sablewatch.llm.bits import passes, send_filter
-from sablewatch.llm.blocks import Block, PieceHash, map_blocks, mix
+from sablewatch.llm.blocks import Block, PieceHash, blocks, map_blocks, mix, ragged, string_column
 from sablewatch.llm.registry import query, table
 from sablewatch.llm.storage import cut_lineage
 from sablewatch.llm.suffix_array import equal_to_previous, suffix_array
@@ -234,21 +234,26 @@ def deal_pieces(source: DataFrame, named: DataFrame, length: int, gram: int, cel
 
     def pieces(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-                parts = batch.column(3)[i].values
-                columns = (parts.field(c).to_numpy() for c in ("start", "size", "anchor", "gram"))
-                key, start, size, part = cells(raw, *columns, length, gram, cell)
-                row = np.full(len(key), i)
-                shares = parts.field("shares").to_numpy()[part].astype(np.uint64)
-                tie = np.full(len(key), batch.column(1)[i].as_py(), np.int64).view(np.uint64)
-                share = mix(tie + mix(start)) % shares
-                key = np.where(shares > 1, mix(key + mix(share)), key)
+            for block in blocks(batch.column(2)):
+                rows = batch.slice(block.rows.start, len(block))
+                lists = rows.column(3)
+                parts = lists.flatten()
+                start, size, anchor, gram_, shares = (
+                    parts.field(c).to_numpy() for c in ("start", "size", "anchor", "gram", "shares"))
+                doc = np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy())
+                key, start, size, part = cells(block.data, start + block.bounds[doc], size, anchor, gram_,
+                                               length, gram, cell)
+                doc, shares = doc[part], shares[part].astype(np.uint64)
+                at = start - block.bounds[doc]
+                tie = rows.column(1).to_numpy()[doc].view(np.uint64)
+                key = np.where(shares > 1, mix(key + mix(mix(tie + mix(at)) % shares)), key)
+                edges = np.append(0, np.cumsum(size)).astype(np.int32)
+                bytes_ = block.data[ragged(start, size)]
                 yield pa.RecordBatch.from_pydict({
-                    "key": _signed(key), "crowded": shares > 1, "doc_id": batch.column(0).take(row),
-                    "tie": batch.column(1).take(row), "start": start.astype(np.int32),
-                    "bytes": pa.array([raw[a : a + b].tobytes() for a, b in zip(
-                        start.tolist(), size.tolist(), strict=True)], pa.binary())})
+                    "key": _signed(key), "crowded": shares > 1, "doc_id": rows.column(0).take(doc),
+                    "tie": rows.column(1).take(doc), "start": at.astype(np.int32),
+                    "bytes": pa.Array.from_buffers(pa.binary(), len(size), [
+                        None, pa.py_buffer(edges), pa.py_buffer(bytes_)])})
 
     return texts.select("s.doc_id", "s.tie", "s.text", "parts").mapInArrow(
         pieces, f"key long, crowded boolean, doc_id {id_type}, tie long, start int, bytes binary")
@@ -319,16 +324,14 @@ def later_windows(batch: pa.RecordBatch, length: int):
     batch, crowded = batch.filter(pa.array(stays)), crowded[stays]
     if not batch.num_rows:
         return
-    raw = batch.column(5).to_pylist()
-    sizes = np.array([len(r) for r in raw], np.int64)
-    text = np.frombuffer(b"".join(raw), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(raw)), sizes)
+    text, bounds = string_column(batch.column(5))
+    text, bounds = text[bounds[0] : bounds[-1]], bounds - bounds[0]
+    starts, sizes = bounds[:-1], np.diff(bounds)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     order = suffix_array(text)
-    run = np.cumsum(~equal_to_previous(text, order, length))
-    # Only windows inside one piece count.
-    inside = order + length <= (starts + sizes)[owner[order]]
-    place, run = order[inside], run[inside]
+    # Only windows inside one piece count; equal ones stay neighbours without the others.
+    place = order[order + length <= bounds[1:][owner[order]]]
+    run = np.cumsum(~equal_to_previous(text, place, length))
     own = owner[place]
     at = place - starts[own] + batch.column(4).to_numpy()[own]
     turn = _turns(pa.RecordBatch.from_arrays(batch.columns[2:4], names=["doc_id", "tie"]))

@@ -60,21 +60,21 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sampled = sample[order]
 
     zeros = np.arange(0, n, 3)
-    zeros = zeros[_order(symbols[zeros], rank[zeros + 1])]
     # Merge: against 1 modulo 3 one symbol decides, then ranks; against 2 modulo 3 two.
     big = len(sample) + 2
+    zeros = zeros[np.argsort(symbols[zeros] * big + rank[zeros + 1])]
     one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
 
     def by_one(i):
         return symbols[i] * big + rank[i + 1]
 
     before = np.searchsorted(by_one(one), by_one(zeros))
-    # Two symbols and a rank: name the symbol pairs first, so that keys stay small.
-    pair_zero, pair_two = ((symbols[i] << 32) | symbols[i + 1] for i in (zeros, two))
-    pairs = np.unique(np.concatenate([pair_zero, pair_two]))
-    key_zero = np.searchsorted(pairs, pair_zero) * big + rank[zeros + 2]
-    key_two = np.searchsorted(pairs, pair_two) * big + rank[two + 2]
-    before += np.searchsorted(key_two, key_zero)
+    # Two symbols and a rank; pairs too large to be packed with it are named first.
+    pair_zero, pair_two = ((symbols[i] << width) | symbols[i + 1] for i in (zeros, two))
+    if 2 * width + big.bit_length() > 63:
+        pairs = np.unique(np.concatenate([pair_zero, pair_two]))
+        pair_zero, pair_two = np.searchsorted(pairs, pair_zero), np.searchsorted(pairs, pair_two)
+    before += np.searchsorted(pair_two * big + rank[two + 2], pair_zero * big + rank[zeros + 2])
     place = before + np.arange(len(zeros))
     out = np.empty(n, np.int64)
     taken = np.zeros(n, bool)
@@ -87,17 +87,21 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def equal_to_previous(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Whether each suffix in order shares ``length`` symbols with the one before it.
 
-    Prefixes of neighbours are compared in strides, shortest first, so that pairs
-    that differ early cost little.
+    ``text`` holds bytes. Prefixes of neighbours are compared in words of eight bytes,
+    first ones first, so that pairs that differ early cost little; the last word may
+    overlap the one before it.
     """
     n = len(text)
     same = np.zeros(len(order), bool)
     if len(order) < 2:
         return same
     live = np.flatnonzero((order[1:] + length <= n) & (order[:-1] + length <= n)) + 1
-    for k in range(length):
+    size = 8 if length >= 8 else 1
+    # The word at each byte, overlapping.
+    words = np.ndarray((max(n - size + 1, 0),), f"<u{size}", np.ascontiguousarray(text), strides=(1,))
+    for k in [*range(0, length - size, size), length - size]:
         if not len(live):
             break
-        live = live[text[order[live] + k] == text[order[live - 1] + k]]
+        live = live[words[order[live] + k] == words[order[live - 1] + k]]
     same[live] = True
     return same
