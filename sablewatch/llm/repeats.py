@@ -186,12 +186,13 @@ def removed_ranges(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     marked = found.filter("anchor < 0").select(*ranged)
     named = found.filter("anchor >= 0")
     spot = F.struct("doc_id", "tie", "start")
-    first = named.groupBy("gram", "name").agg(F.min(spot).alias("first"), F.count("*").alias("n"))
-    repeats = named.join(first.filter("n > 1"), ["gram", "name"])
-    equal = repeats.filter(~spot.eqNullSafe(F.col("first"))).select(*ranged)
+    first = cut_lineage(named.groupBy("gram", "name").agg(
+        F.min(F.struct("doc_id", "tie", "start", "size", "anchor")).alias("s"), F.count("*").alias("n")))
+    heads = first.filter("n > 1").select("gram", "name", F.struct("s.doc_id", "s.tie", "s.start").alias("first"))
+    equal = (named.join(heads, ["gram", "name"]).filter(~spot.eqNullSafe(F.col("first"))).select(*ranged))
 
     # Step 3: the text of stretches whose gram has several names.
-    dealt = (deal_pieces(source, named, length, gram, cell)
+    dealt = (deal_pieces(source, first, length, gram, cell)
              .repartition("key").sortWithinPartitions("key", "doc_id", "tie", "start"))
 
     def sort_suffixes(batches):
@@ -210,19 +211,19 @@ def removed_ranges(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     return marked.unionByName(equal).unionByName(differing).unionByName(crowded)
 
 
-def deal_pieces(source: DataFrame, named: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
+def deal_pieces(source: DataFrame, first: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
     """``key, crowded, doc_id, tie, start, bytes``: parts of stretches that differ.
 
-    Equal windows of grams that are not crowded have equal keys.
+    ``first`` holds the earliest stretch ``s`` of each gram and name. Equal windows of
+    grams that are not crowded have equal keys.
     """
     id_type = source.schema["doc_id"].dataType.simpleString()
-    mixed = (named.groupBy("gram").agg(F.min("name").alias("lo"), F.max("name").alias("hi"),
-                                       F.ceil(F.count("*") / CROWD).cast("int").alias("shares"))
-             .filter("lo != hi").select("gram", "shares"))
-    stand = named.join(mixed, "gram").groupBy("gram", "name").agg(
-        F.min(F.struct("doc_id", "tie", "start", "size", "anchor", "shares")).alias("s"))
+    mixed = (first.groupBy("gram").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("shares"),
+                                       F.count("*").alias("names"))
+             .filter("names > 1").select("gram", "shares"))
+    stand = first.select("gram", "s").join(mixed, "gram")
     wanted = cut_lineage(stand.groupBy("s.doc_id", "s.tie").agg(
-        F.collect_list(F.struct("s.start", "s.size", "s.anchor", "gram", "s.shares")).alias("parts")))
+        F.collect_list(F.struct("s.start", "s.size", "s.anchor", "gram", "shares")).alias("parts")))
     near = send_filter(wanted.select("tie"))
 
     def likely(batches):
