@@ -152,3 +152,26 @@ def test_a_flood_inside_one_window_is_spread(spark):
     assert got["n", "a"].span_hi == 1704067200000000 + (n - 1) * 97
     assert got["n", "s0"].observed == 7  # every 50 seconds, closed window of 300
     assert got["d", "s1"].observed == len({"x" if i % 3 == 0 else f"u{i % 7}" for i in range(1, 3600, 50)})
+
+
+def test_tasks_follow_events_and_steps(spark, make_events, monkeypatch):
+    """Many events and steps are dealt to more tasks, and the folds keep one sort order."""
+    from pyspark.sql import functions as F
+
+    from sablewatch.operators import rules as R
+
+    rows = [{"src_ip": f"198.51.100.{i % 7}", "ts": START + dt.timedelta(minutes=i), "service": f"v{i % 4}"}
+            for i in range(90)]
+    rules = [Rule("n", "n", "low", "threshold", window_minutes=30, threshold=2),
+             Rule("d", "d", "low", "distinct", window_minutes=30, threshold=2, distinct_field="service")]
+    events = make_events(rows)
+    span = lambda df: sorted(map(tuple, df.collect()))
+    want = span(fired_spans(events, rules))
+    monkeypatch.setattr(R, "TASK_EVENTS", 5)
+    monkeypatch.setattr(R, "TASK_STEPS", 10)
+    assert R._dealt(events).rdd.getNumPartitions() == 18
+    assert want and span(fired_spans(events, rules)) == want
+    steps = R._count_steps(R.rule_cells(events, rules))
+    peaks = R._peaks(steps, F.lit(2.0), 9)
+    folded = peaks._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")[0].partition("BroadcastHashJoin")[0]
+    assert folded.count("Sort [") <= 3
