@@ -175,3 +175,21 @@ def test_tasks_follow_events_and_steps(spark, make_events, monkeypatch):
     peaks = R._peaks(steps, F.lit(2.0), 9)
     folded = peaks._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")[0].partition("BroadcastHashJoin")[0]
     assert folded.count("Sort [") <= 3
+
+
+def test_evidence_is_dealt_to_tasks_by_the_number_of_events(spark, make_events, monkeypatch):
+    from sablewatch.operators import rules as R
+
+    name, inside, assemble = "spark.sql.shuffle.partitions", [], R._assemble
+
+    def watched(*args):
+        inside.append(int(spark.conf.get(name)))
+        return assemble(*args)
+
+    monkeypatch.setattr(R, "_assemble", watched)
+    monkeypatch.setattr(R, "TASK_EVENTS", 4)
+    usual = spark.conf.get(name)
+    rule = R.Rule("r", "r", "low", "match", where={"service": "ssh"})
+    alerts = R.evaluate_rules(make_events([{"src_ip": f"192.0.2.{i % 5}"} for i in range(40)]), [rule])
+    assert inside == [20] and spark.conf.get(name) == usual
+    assert sorted((r.src_ip, r.hit_count) for r in alerts.collect()) == [(f"192.0.2.{i}", 8) for i in range(5)]
