@@ -235,3 +235,52 @@ def test_list_functions_refuse_unknown_sorts(make_events):
                  lambda: timeseries(df, bucket="1m", hours=24 * 365)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_an_event_is_parsed_and_enriched_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def enrich(events):
+        def counted(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        return events.mapInArrow(counted, events.schema)
+
+    store = EventStore(spark, str(tmp_path / "events"), EVENT)
+    put(tmp_path / "in", "a.jsonl", "\n".join(
+        json.dumps({"event_id": f"e{i % 8}", "ts": f"2024-01-0{i % 2 + 1}T00:00:0{i}Z"}) for i in range(10)))
+    I.ingest(I.stream_lines(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), enrich=enrich,
+             rejected=str(tmp_path / "bad"), once=True).awaitTermination()
+    assert seen.value == 10
+    assert sorted(r.event_id for r in store.read().collect()) == [f"e{i}" for i in range(8)]
+
+
+def test_event_store_keeps_the_earliest_of_equal_ids(spark, make_events, tmp_path):
+    at = lambda day, second: dt.datetime(2024, 1, day, 0, 0, second)
+    events = make_events([
+        {"event_id": "a", "ts": at(1, 5), "username": "late"}, {"event_id": "a", "ts": at(1, 1), "username": "y"},
+        {"event_id": "a", "ts": at(1, 1), "username": "x"}, {"event_id": "a", "ts": at(2, 0), "username": "next day"},
+        {"event_id": "b", "ts": at(1, 0), "username": "one"}, {"event_id": None, "ts": at(1, 3), "username": "q"},
+        {"event_id": None, "ts": at(1, 2), "username": "p"}])
+    store = EventStore(spark, str(tmp_path / "events"), EVENT)
+    for batch in (0, 0):  # a batch run twice
+        store.add(events, batch)
+    rows = {(r.event_id, r.ts.day): r.username for r in store.read().collect()}
+    assert rows == {("a", 1): "x", ("a", 2): "next day", ("b", 1): "one", (None, 1): "p"}
+    assert store.read().count() == 4
+
+
+def test_first_batch_of_a_state_table_is_not_merged(spark, tmp_path):
+    calls = []
+
+    def merge(rows):
+        calls.append(1)
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+    table = StateTable(spark, str(tmp_path / "t"), ["k"], merge, buckets=2)
+    first = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long")
+    table.apply(first, 0)
+    assert not calls
+    table.apply(first, 0)  # again: starts from nothing
+    assert sorted(tuple(r) for r in table.read(first.schema).collect()) == [("a", 1, 0, 0), ("b", 2, 0, 0)]
