@@ -191,5 +191,5 @@ def test_evidence_is_dealt_to_tasks_by_the_number_of_events(spark, make_events,
     usual = spark.conf.get(name)
     rule = R.Rule("r", "r", "low", "match", where={"service": "ssh"})
     alerts = R.evaluate_rules(make_events([{"src_ip": f"192.0.2.{i % 5}"} for i in range(40)]), [rule])
-    assert inside == [20] and spark.conf.get(name) == usual
+    assert inside == [40] and spark.conf.get(name) == usual
     assert sorted((r.src_ip, r.hit_count) for r in alerts.collect()) == [(f"192.0.2.{i}", 8) for i in range(5)]
