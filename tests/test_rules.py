@@ -193,3 +193,21 @@ def test_evidence_is_dealt_to_tasks_by_the_number_of_events(spark, make_events,
     alerts = R.evaluate_rules(make_events([{"src_ip": f"192.0.2.{i % 5}"} for i in range(40)]), [rule])
     assert inside == [40] and spark.conf.get(name) == usual
     assert sorted((r.src_ip, r.hit_count) for r in alerts.collect()) == [(f"192.0.2.{i}", 8) for i in range(5)]
+
+
+def test_a_task_of_the_evidence_reads_a_bounded_amount(spark, make_events, monkeypatch):
+    """Inside, scans and joined shuffle partitions are bounded; the session's own settings come back."""
+    from sablewatch.operators import rules as R
+    from sablewatch.session import TASK_BYTES
+
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes",
+             "spark.sql.shuffle.partitions")
+    usual, seen, stored = [spark.conf.get(n) for n in names], [], []
+    monkeypatch.setattr(R, "cut_lineage", lambda df, cut=R.cut_lineage: (
+        seen.append([spark.conf.get(n) for n in names[:2]]), stored.append(df.columns), cut(df))[-1])
+    rule = Rule("n", "n", "high", "threshold", window_minutes=20, threshold=2)
+    alerts = R.evaluate_rules(make_events([{"ts": at(i)} for i in range(3)]), [rule]).collect()
+    assert [a.hit_count for a in alerts] == [3]
+    assert all(s == [str(TASK_BYTES)] * 2 for s in seen)
+    assert any("session_id" in c and "span_lo" not in c and "evidence" not in c for c in stored)  # members, once
+    assert [spark.conf.get(n) for n in names] == usual
