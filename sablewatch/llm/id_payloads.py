@@ -10,7 +10,8 @@ equal hashes of different segments change nothing.
 A new segment of plain letters, digits and ASCII signs is cut into the tokenizer's
 pieces here, which its merges then take one by one, because the library's own
 normalizer and splitter cost several times its merges; any other segment goes to the
-library whole. Both ways give the library's ids.
+library whole. Both ways give the library's ids. Where white space is kept, a text of such
+characters alone is cut into pieces at once, without segments.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[!-~{_LETTERS}]+")
 _PLAIN_SEGMENT = re.compile(rf"[ \t-\r]*[!-~{_LETTERS}]*")
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_PLAIN_TEXT = re.compile(rf"[ \t-\r!-~{_LETTERS}]*")
 _WORD_PIECES = re.compile(rf"{_SHORT}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _BYTE_PIECES = re.compile(
     rf"{_SHORT}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
@@ -83,6 +85,28 @@ def _plain_segments(segment: str) -> list[str] | None:
     return _BYTE_PIECES.findall(segment)
 
 
+class _Pieces(dict):
+    """A piece -> the bytes of its ids, by the model's merges alone."""
+
+    def __init__(self, model, code: str, kept: int) -> None:
+        super().__init__()
+        self.tokenize, self.code, self.kept = model.tokenize, code, kept
+        self.spelling = byte_spelling()
+        self.space = self.spelling[32]
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", self.space)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.spelling)
+        out = array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= self.kept:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class IdPayloads(dict):
     """A segment -> the bytes of its ids."""
 
@@ -92,18 +116,16 @@ class IdPayloads(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind, self.code = np.dtype("u4" if wide else "u2"), "I" if wide else "H"
         self.kept = kept
-        self.pieces: dict[str, bytes] = {}
-        self.spelling = byte_spelling()
+        self.pieces = _Pieces(self.tokenizer.model, self.code, kept)
         self.split, self.cut = _rules(json.loads(Path(path).read_text()))
 
     def __missing__(self, segment) -> bytes:
         text = segment.decode() if isinstance(segment, bytes) else segment
         parts = self.cut(text)
-        out = self._library(text) if parts is None else b"".join(map(self._piece, parts))
+        out = self._library(text) if parts is None else b"".join(map(self.pieces.__getitem__, parts))
         if len(segment) <= LONGEST_KEPT:
             if len(self) >= self.kept:
                 self.clear()
@@ -113,21 +135,16 @@ class IdPayloads(dict):
     def _library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        out = self.pieces.get(piece)
-        if out is None:
-            plain = piece.isascii() and piece.isalnum()
-            spelled = piece if plain else piece.encode().decode("latin-1").translate(self.spelling)
-            out = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(piece) <= LONGEST_KEPT:
-                if len(self.pieces) >= self.kept:
-                    self.pieces.clear()
-                self.pieces[piece] = out
-        return out
+    def _ids(self, part: bytes) -> bytes:
+        if self.cut is _plain_segments:
+            text = part.decode()
+            if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+                return b"".join(map(self.pieces.__getitem__, _BYTE_PIECES.findall(text)))
+        return b"".join(map(self.__getitem__, self.split(part)))
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a whole text."""
-        parts = [b"".join(map(self.__getitem__, self.split(part))) for part in chunks(text)]
+        parts = [self._ids(part) for part in chunks(text)]
         return np.frombuffer(parts[0] if len(parts) == 1 else b"".join(parts), self.kind)
 
 

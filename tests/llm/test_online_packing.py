@@ -155,3 +155,13 @@ def test_query_on_documents(spark, library):
         ids = [*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
         assert r.doc_tokens == len(ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_plain_texts_are_cut_into_pieces_without_segments():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known, whole = IdPayloads(path), Tokenizer.from_file(path)
+    for text in ("It's plain,  été 1999!\n\n\tend  ", " \n x", "", "a \n \n b'll don't"):
+        assert known.encode(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert known.pieces and not len(known)
