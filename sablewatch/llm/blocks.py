@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 # Odd multiplier and byte values for polynomial hashes modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -101,7 +101,9 @@ def _power_tables(n: int, prime: bool) -> tuple[np.ndarray, np.ndarray]:
         return tuple(t[:n] for t in _TABLES[prime])
     base, inverse = (_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME))) if prime else (_BASE, _BASE_INVERSE)
     made = n if n > size or n < size // 8 else size
-    tables = _powers(made, base, prime), _powers(made, inverse, prime)
+    # Those modulo the prime fit half the space; a worker keeps its tables as long as it lives.
+    kind = np.uint32 if prime else np.uint64
+    tables = _powers(made, base, prime).astype(kind, copy=False), _powers(made, inverse, prime).astype(kind, copy=False)
     if made == size:
         _TABLES[prime] = tables
     return tuple(t[:n] for t in tables)

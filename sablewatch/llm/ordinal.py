@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from sablewatch.llm.blocks import Block, PieceHash, map_blocks, mix, range_sums
 from sablewatch.llm.registry import query, table
 from sablewatch.llm.words import word_edges
+from sablewatch.session import small_batches
 
 #: Most labelled documents learned from.
 SAMPLE = 8_000
@@ -179,6 +180,7 @@ def fit_ordinal(docs: DataFrame, grades: DataFrame, *, n_grades: int, id_col: st
     chosen = (grades.filter(F.col("grade").isNotNull() & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).alias("doc_id")).agg(F.min("grade").cast("int").alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # At most `sample` rows of two numbers: small enough to send to every task.
     rows = source.join(F.broadcast(chosen), "doc_id").select("grade", "text")
@@ -205,15 +207,17 @@ def score_ordinal(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id
     """``doc_id, expected_grade, tails`` and the columns named in ``keep``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by max_features
-    # Kept columns travel under names of their own, whatever they are called.
-    inner = [f"_keep_{i}" for i in range(len(keep))]
+    small_batches(spark)
+    # Kept columns travel under names of their own, whatever they are called; a kept text
+    # is there already and is not sent twice.
+    inner = ["text" if c == text_col else f"_keep_{i}" for i, c in enumerate(keep)]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                         *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)))
+                         *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True) if n != "text"))
 
     def score(block, rows):
         tails = sent.value.tails(len(block), *text_features(block))
         return {"doc_id": rows.column(0), "expected_grade": tails.sum(axis=1), "tails": list(tails),
-                **{n: rows.column(2 + i) for i, n in enumerate(inner)}}
+                **{n: rows.column(rows.schema.get_field_index(n)) for n in inner}}
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = f"doc_id {kinds['doc_id']}, expected_grade double, tails array<double>"

@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sablewatch.llm import line_dedup, multi_index, near_dedup, ordinal, packing, repeats, repetition
@@ -434,6 +436,28 @@ def test_classifier_on_held_out_labels(spark):
     assert all(r.tails[0] >= r.tails[1] for r in held)
 
 
+def test_kept_text_goes_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "en"), (2, None, "de"), (2, None, "de"), (3, "", None)],
+                                 "doc_id long, text string, lang string")
+    model = ordinal.fit_ordinal(docs, spark.createDataFrame([], "doc_id long, grade int"), n_grades=3)
+    scored = ordinal.score_ordinal(docs, model, keep=("text", "lang"))
+    assert sorted(scored.select(*docs.columns).collect(), key=str) == sorted(docs.collect(), key=str)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "_keep_0" not in plan and "_keep_1" in plan
+    batches = docs.repartition(1).crossJoin(spark.range(4)).select(F.repeat(F.lit("x"), 3 << 20).alias("text"))
+    sizes = batches.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert max(r.n for r in sizes.collect()) < 16  # 48 MB of texts, not in one batch
+
+
+def test_tables_that_a_worker_keeps_are_small():
+    from sablewatch.llm import blocks
+
+    data = np.tile(np.frombuffer(b"0123456789abcdef", np.uint8), blocks.BLOCK_BYTES // 16)
+    hashes = blocks.PieceHash(data)
+    assert hashes([0], [4096]) == hashes([16], [4112]) != hashes([1], [4097])
+    assert sum(t.nbytes for pair in blocks._TABLES.values() for t in pair) <= 25 << 20
+
+
 def test_classifier_without_labels(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = ordinal.fit_ordinal(docs, none, n_grades=3)
