@@ -256,6 +256,18 @@ def test_an_event_is_parsed_and_enriched_once(spark, tmp_path):
     assert sorted(r.event_id for r in store.read().collect()) == [f"e{i}" for i in range(8)]
 
 
+def test_reasons_come_from_the_time_that_was_read(spark, make_events):
+    at = '"ts": "2024-01-01T00:00:00Z"'
+    lines = {"{%s}" % at: None, '{"src_port": "x", %s}' % at: None, "{%s" % at: "no JSON object",
+             "[{%s}]" % at: "no JSON object", "{}": "no time", '{"ts": "soon"}': "no time", "5": "no JSON object"}
+    rows = spark.createDataFrame([(line, "f") for line in lines], "line string, _file string")
+    assert {r.line: r.reason for r in I.rejected_lines(rows).collect()} == {k: v for k, v in lines.items() if v}
+    assert "from_json" not in str(I._reason())  # lines are not parsed again for it
+    arrivals = X.event_json(make_events([{}, {"username": None}]))
+    assert sorted(arrivals.collect()) == sorted(X.event_json_rows(make_events([{}, {"username": None}])).collect())
+    assert "Sort" not in arrivals._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_event_store_keeps_the_earliest_of_equal_ids(spark, make_events, tmp_path):
     at = lambda day, second: dt.datetime(2024, 1, day, 0, 0, second)
     events = make_events([
