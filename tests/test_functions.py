@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sablewatch.functions import net, text
+from sablewatch.functions.columns import rounded
 from sablewatch.functions.skew import chunked_lag
 from sablewatch.operators.search import truncate_headers
 
@@ -83,3 +84,11 @@ def test_chunked_lag_equals_a_plain_lag(spark):
 def test_header_truncation(spark):
     df = spark.createDataFrame([({"a" * 80: "v" * 2000, "b": "x"},)], "h map<string,string>")
     assert df.select(truncate_headers(F.col("h"))).first()[0] == {"a" * 64: "v" * 1024, "b": "x"}
+
+
+def test_rounded_is_round(spark):
+    """Ties, their neighbours, negative, large and missing numbers too; decimals stay for those."""
+    values = [i / 2_000_000 for i in range(200)] + [1.0000005, 0.2345675, 0.9999995, -0.0000005, 1e20, None, float("nan"), 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert df.filter(~rounded("x", 6).eqNullSafe(F.round("x", 6))).count() == 0
+    assert spark.range(10_000).select((F.col("id") / 9_999).alias("x")).filter(~rounded("x", 6).eqNullSafe(F.round("x", 6))).count() == 0
