@@ -296,3 +296,47 @@ def test_first_batch_of_a_state_table_is_not_merged(spark, tmp_path):
     assert not calls
     table.apply(first, 0)  # again: starts from nothing
     assert sorted(tuple(r) for r in table.read(first.schema).collect()) == [("a", 1, 0, 0), ("b", 2, 0, 0)]
+
+
+def test_tables_of_a_batch_are_deleted_with_it(spark, tmp_path):
+    """Only the stores stay of a stream, and of an evaluation its alerts; drained arrivals may go."""
+    import shutil
+    from pathlib import Path
+
+    from sablewatch.operators.rules import evaluate_rules
+    from sablewatch.session import shared_folder, stored
+
+    root = Path(shared_folder(spark, "x").removeprefix("file:")).parent
+    stages = lambda: {p.name for p in root.glob("stage-*")}
+    before = stages()
+    rules = [Rule("hit", "hit", "high", "threshold", window_minutes=10, threshold=3), Rule("any", "any", "low", "match")]
+    store = EventStore(spark, str(tmp_path / "events"), EVENT)
+    alerts = live.LiveAlerts(spark, str(tmp_path / "alerts"), store, rules)
+    for n in range(2):
+        lines = [json.dumps({"event_id": f"e{n}{i}", "ts": f"2024-01-01T00:0{n}:0{i}Z", "src_ip": "45.1.1.1"}) for i in range(3)]
+        rows = spark.createDataFrame([(line,) for line in [*lines, lines[0], "torn"]], "value string")
+        sinks.write_text(rows, str(tmp_path / "in" / str(n)), gzip=True)
+        I.ingest(I.stream_lines(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), then=[alerts.step], once=True,
+                 enrich=lambda e: e, rejected=str(tmp_path / "bad")).awaitTermination()
+        assert stages() == before
+        shutil.rmtree(tmp_path / "in" / str(n))
+    assert store.read().count() == 6 and spark.read.parquet(str(tmp_path / "bad")).count() == 2
+    got = evaluate_rules(store.read(), rules)
+    assert len(stages() - before) == 1
+    assert {(r.rule_id, r.hit_count) for r in got.collect()} == {("hit", 6), ("any", 6)}
+    assert {(r.rule_id, r.hit_count) for r in alerts.read().collect()} == {("hit", 6), ("any", 6)}
+
+    before, name = stages(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = spark.conf.get(name, None)
+    with pytest.raises(KeyError), stored(spark.range(3)) as table:
+        assert table.count() == 3
+        raise KeyError
+    assert stages() == before and spark.conf.get(name, None) == usual
+
+
+def test_compressed_lines_lie_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "GZIP_LINES", 10)
+    lines = [f'{{"n": "{i} ä"}}' for i in range(35)]
+    sinks.write_text(spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1), str(tmp_path / "out"), gzip=True)
+    assert len(list((tmp_path / "out").glob("*.gz"))) == 4
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(lines)
